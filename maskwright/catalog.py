@@ -1,4 +1,9 @@
 """Queries by name and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from maskwright.plans import act, detect, measure, screen
+
+_PARTS = (detect, screen, act, measure)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE.items()}
