@@ -1,2 +1,240 @@
+"""Queries of evaluation: recall, precision, F1, medians, sweeps, leaks, and the file sources."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from maskwright.functions import names, pii, verifier
+from maskwright.operators import context as C
+from maskwright.operators import evaluate as E
+from maskwright.operators import redact as R
+from maskwright.plans.inputs import PEOPLE, PERSONA, duck, sql, table
+from maskwright.plans.screen import _GREEDY, boxes
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, oracle: str | None = None, also: tuple[str, ...] = ()):
+    def add(f):
+        for n in (name, *also):
+            QUERIES[n] = f
+            if oracle:
+                ORACLE[n] = oracle
+        return f
+
+    return add
+
+
+_P = f"{duck(PERSONA)} AS p"
+
+
+def _labels(spark, sf_dir):
+    """Persona labels: every thirteenth was never perceived, every seventh is garbled and so missed."""
+    rows = sql(spark, sf_dir, PERSONA).where("type IS NOT NULL")
+    text = F.when(F.col("ord") % 13 == 0, None).when(F.col("ord") % 7 == 0, "garbled").otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("found_", pii.all_spans(F.col("text"), names.unstructured(F.col("text"))))
+    rows = rows.withColumn("spans", pii.resolved(F.col("found_")))
+    return rows.select("type", "value", "text", F.coalesce(E.covers(F.col("spans"), F.col("text"), F.col("type"), F.col("value")), F.lit(False)).alias("found"))
+
+
+_SEEN = f"(SELECT type, value, ord % 13 <> 0 AS seen, ord % 13 <> 0 AND ord % 7 <> 0 AS found FROM {_P} WHERE type IS NOT NULL) AS l"
+
+
+@query("agg_recall_by_type", f"SELECT type, count(*) FILTER (found) AS found, count(*) AS total, round(count(*) FILTER (found) / CAST(count(*) AS DOUBLE), 6) AS recall FROM {_SEEN} WHERE seen GROUP BY type")
+def agg_recall_by_type(spark, sf_dir):
+    return E.recall_by_type(_labels(spark, sf_dir)).drop("missed")
+
+
+@query("limit_missed", f"SELECT type, value FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY value) AS n FROM (SELECT DISTINCT type, value FROM {_SEEN} WHERE seen AND NOT found) AS d) AS t WHERE n <= 6")
+def limit_missed(spark, sf_dir):
+    return E.recall_by_type(_labels(spark, sf_dir)).select("type", F.explode("missed").alias("value"))
+
+
+@query("agg_recall_total", f"SELECT count(*) FILTER (seen AND found) AS found, count(*) FILTER (seen) AS total, count(*) FILTER (NOT seen) AS unperceived FROM {_SEEN}")
+def agg_recall_total(spark, sf_dir):
+    return E.recall_total(_labels(spark, sf_dir))
+
+
+@query("join_label_lookup", "SELECT user_id AS truth_id, (array_agg(event_type ORDER BY event_id DESC))[1] AS text FROM events WHERE user_id % 4 <> 0 GROUP BY user_id")
+def join_label_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("truth_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"))
+    return E.label_text(rows)
+
+
+@query("join_context_row", "SELECT user_id, event_type, (array_agg(props ORDER BY event_id))[1] AS text FROM events GROUP BY user_id, event_type")
+def join_context_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("ord"), F.col("props").alias("text"))
+    return E.first_context(rows, ["user_id", "event_type"])
+
+
+_VERDICT = "CASE event_id % 11 WHEN 0 THEN 'labelled' WHEN 1 THEN 'labelled' WHEN 2 THEN 'real' WHEN 3 THEN 'wrong_type' WHEN 4 THEN NULL ELSE 'false_positive' END"
+
+
+@query("join_verdict", f"SELECT event_id, {_VERDICT} AS verdict FROM events")
+def join_verdict(spark, sf_dir):
+    """Detections take the verdict of their (type, value); those without one are kept."""
+    reviewed = spark.createDataFrame([(0, "labelled"), (1, "labelled"), (2, "real"), (3, "wrong_type"), *[(i, "false_positive") for i in range(5, 11)]], "k long, verdict string")
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 11).alias("k"))
+    return rows.join(F.broadcast(reviewed), "k", "left").select("event_id", "verdict")
+
+
+_TALLY = f"SELECT count(*) FILTER (v = 'labelled') AS labelled, count(*) FILTER (v = 'real') AS real, count(*) FILTER (v = 'wrong_type') AS wrong_type, count(*) FILTER (v = 'false_positive') AS false_positive, count(*) FILTER (v IS NULL) AS unreviewed, count(*) AS n FROM (SELECT {_VERDICT} AS v FROM events) AS t"
+
+
+@query("agg_verdict_tally", f"SELECT labelled, real, wrong_type, false_positive, unreviewed, round((labelled + real + wrong_type) / CAST(n AS DOUBLE), 6) AS precision, round((labelled + real) / CAST(n AS DOUBLE), 6) AS type_precision FROM ({_TALLY}) AS t")
+def agg_verdict_tally(spark, sf_dir):
+    return E.verdict_tally(join_verdict(spark, sf_dir))
+
+
+@query("agg_distinct_values", f"SELECT DISTINCT event_id % 100 AS value FROM events WHERE {_VERDICT} IS NULL")
+def agg_distinct_values(spark, sf_dir):
+    return join_verdict(spark, sf_dir).where("verdict IS NULL").select((F.col("event_id") % 100).alias("value")).distinct()
+
+
+_KNOWN = f"(SELECT scope_id AS screen_id, value FROM {_P} WHERE type = 'NAME' AND ord % 3 = 0) AS k"
+_SEENV = f"(SELECT scope_id AS screen_id, ord, CASE WHEN ord % 2 = 0 THEN value ELSE value || ' Jr' END AS value FROM {_P} WHERE type = 'NAME') AS d"
+
+
+@query("join_injected_exclusion", f"SELECT screen_id, ord FROM {_SEENV} WHERE NOT EXISTS (SELECT 1 FROM {_KNOWN} WHERE k.screen_id = d.screen_id AND (contains(d.value, k.value) OR contains(k.value, d.value)))")
+def join_injected_exclusion(spark, sf_dir):
+    rows = sql(spark, sf_dir, PERSONA).where("type = 'NAME'").withColumnRenamed("scope_id", "screen_id")
+    seen = rows.select("screen_id", "ord", F.when(F.col("ord") % 2 == 0, F.col("value")).otherwise(F.concat("value", F.lit(" Jr"))).alias("value"))
+    return E.injected_excluded(seen, rows.where("ord % 3 = 0").select("screen_id", "value")).select("screen_id", "ord")
+
+
+_LEAKS = f"SELECT p.customer AS screen_id, p.type, p.value, CASE WHEN p.type IN ('NAME', 'ADDRESS') THEN 'unstructured' ELSE 'critical' END AS family FROM {_P} WHERE p.type IS NOT NULL AND p.customer % 3 = 0"
+
+
+@query("join_leak_scan", _LEAKS)
+def join_leak_scan(spark, sf_dir):
+    """Values in payloads: every third payload was sent raw, the others redacted."""
+    rows = sql(spark, sf_dir, PERSONA).withColumn("found", pii.all_spans(F.col("text"), names.unstructured(F.col("text")))).withColumn("spans", pii.resolved(F.col("found")))
+    sent = F.when(F.col("customer") % 3 == 0, F.col("text")).otherwise(R.redacted(F.col("text"), F.col("spans"))["text"])
+    payloads = rows.groupBy(F.col("customer").alias("screen_id")).agg(F.array_join(F.array_sort(F.collect_list(sent)), "\n").alias("payload"))
+    values = rows.where("type IS NOT NULL").select(F.col("customer").alias("screen_id"), "type", "value")
+    return E.leaks(values, payloads)
+
+
+@query("agg_leaks", f"SELECT family, count(*) AS n FROM ({_LEAKS}) AS l GROUP BY family")
+def agg_leaks(spark, sf_dir):
+    return join_leak_scan(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"))
+
+
+_COUNTS = f"SELECT (SELECT count(*) FROM (SELECT 1 FROM {{b}} WHERE source = 'dom') AS t) AS expected, (SELECT count(*) FROM (SELECT 1 FROM {{b}} WHERE source <> 'dom') AS t) AS transmitted, (SELECT count(*) FROM ({_GREEDY.replace('{', '{{').replace('}', '}}')}) AS g) AS matched"
+
+
+def _f1_sql() -> str:
+    from maskwright.plans.inputs import BOXES
+
+    counts = _COUNTS.format(b=f"{duck(BOXES)} AS b")
+    return f"SELECT expected, transmitted, matched, round(matched / CAST(transmitted AS DOUBLE), 6) AS precision, round(matched / CAST(expected AS DOUBLE), 6) AS recall, round(2 * matched / CAST(expected + transmitted AS DOUBLE), 6) AS f1 FROM ({counts}) AS t"
+
+
+@query("agg_element_f1", _f1_sql())
+def agg_element_f1(spark, sf_dir):
+    want, got = boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr")
+    m = C.matched(C.overlaps(want, got, 0.5)).groupBy("screen_id").agg(F.count("*").alias("matched"))
+    n = want.select("screen_id", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(got.select("screen_id", F.lit(0).alias("e"), F.lit(1).alias("t"))).groupBy("screen_id").agg(F.sum("e").alias("expected"), F.sum("t").alias("transmitted"))
+    rows = n.join(m, "screen_id", "left").select("expected", "transmitted", F.coalesce("matched", F.lit(0)).alias("matched"), F.lit(0).alias("role_ok"), F.lit(0).alias("name_ok"))
+    return E.element_f1(rows).drop("role_agreement", "name_agreement")
+
+
+_SCENES = "SELECT p_partkey, p_size % 5 AS labelled, p_size % 7 AS detected, least(p_size % 5, p_size % 7) AS matched FROM {part}"
+
+
+@query("agg_face_score", f"SELECT sum(labelled) AS labelled, sum(detected) AS detected, sum(matched) AS matched, round(sum(matched) / CAST(sum(labelled) AS DOUBLE), 6) AS recall, round(sum(matched) / CAST(sum(detected) AS DOUBLE), 6) AS precision FROM {duck(_SCENES)} AS s")
+def agg_face_score(spark, sf_dir):
+    return E.face_score(sql(spark, sf_dir, _SCENES))
+
+
+@query("agg_span_score", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS INT) AS tp, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS INT) AS fn, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS INT) AS fp FROM part")
+def agg_span_score(spark, sf_dir):
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    want = F.array(span(0, 10), span(20, 30))
+    got = F.when(F.col("p_size") % 2 == 0, F.array(span(5, 12), span(29, 40))).otherwise(F.array(span(5, 12), span(30, 40)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), E.span_score(want, got).alias("s")).select("id", "s.*")
+
+
+@query("agg_median", "SELECT user_id, CAST(floor(median(value) + 0.5) AS BIGINT) AS rounded, round(median(value), 6) AS plain, (list_sort(list(value)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper FROM events GROUP BY user_id")
+def agg_median(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(E.median_rounded(v).alias("rounded"), F.round(F.median(v), 6).alias("plain"), E.median_upper(v).alias("upper"))
+
+
+@query("agg_vision", "SELECT round(avg(value), 6) AS mean, count(*) FILTER (value > 20) AS many, (list_sort(list(value)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper FROM events")
+def agg_vision(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").agg(F.round(F.avg(v), 6).alias("mean"), F.count_if(v > 20).alias("many"), E.median_upper(v).alias("upper"))
+
+
+_RUNS = "SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run, event_id % 900 + 300 AS wall, event_id % 90 AS vision, event_id % 17 AS reason, event_id % 500 AS memory FROM {events}"
+
+
+@query("agg_profile", f"SELECT task, max(wall) FILTER (run = 0) AS cold, CAST(floor(median(wall) FILTER (run > 0) + 0.5) AS BIGINT) AS warm_wall, CAST(floor(median(vision) FILTER (run > 0) + 0.5) AS BIGINT) AS warm_vision, CAST(floor(median(reason) FILTER (run > 0) + 0.5) AS BIGINT) AS warm_reason, CAST(floor(median(wall - vision - reason) FILTER (run > 0) + 0.5) AS BIGINT) AS warm_other, max(memory) - max(memory) FILTER (run = 0) AS memory_delta FROM {duck(_RUNS)} AS r GROUP BY task")
+def agg_profile(spark, sf_dir):
+    return E.profile(sql(spark, sf_dir, _RUNS))
+
+
+@query("agg_threshold_sweep", "SELECT event_type AS \"group\", t AS threshold, count(*) FILTER (value / 100 < t) AS rejected, count(*) FILTER (NOT value / 100 < t) AS kept FROM events, (VALUES (0.3), (0.5), (0.7), (0.9)) AS s(t) GROUP BY event_type, t".replace("t AS threshold", "CAST(t AS DOUBLE) AS threshold"))
+def agg_threshold_sweep(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("group"), (F.col("value") / 100).alias("score"))
+    return E.threshold_sweep(rows, [0.3, 0.5, 0.7, 0.9])
+
+
+@query("agg_reasoner_accuracy", "SELECT event_type AS model, count(*) FILTER (event_id % 3 <> 0) AS correct, count(*) AS total, round(median(value), 6) AS median, max(value) AS slowest FROM events GROUP BY event_type")
+def agg_reasoner_accuracy(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count_if(F.col("event_id") % 3 != 0).alias("correct"), F.count("*").alias("total"), F.round(F.median(v), 6).alias("median"), F.max(v).alias("slowest"))
+
+
+@query("agg_dataset_index", f"SELECT count(DISTINCT customer) AS screens, count(*) AS elements, count(value) AS pii FROM {_P}")
+def agg_dataset_index(spark, sf_dir):
+    return sql(spark, sf_dir, PERSONA).agg(F.countDistinct("customer").alias("screens"), F.count("*").alias("elements"), F.count("value").alias("pii"))
+
+
+@query("join_persona", f"SELECT c_custkey, name FROM customer JOIN (VALUES {', '.join(f'({i}, {n!r})' for i, (n, _) in enumerate(PEOPLE))}) AS p(k, name) ON c_custkey % {len(PEOPLE)} = k", also=("gen_spans",))
+def join_persona(spark, sf_dir):
+    people = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(PEOPLE)], "k long, name string")
+    return table(spark, sf_dir, "customer").join(F.broadcast(people), F.col("c_custkey") % len(PEOPLE) == F.col("k")).select("c_custkey", "name")
+
+
+@query("oracle_ax_tree", "SELECT l_orderkey AS id, least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) - least(l_partkey, l_suppkey) AS w FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_partkey <> l_suppkey")
+def oracle_ax_tree(spark, sf_dir):
+    """Boxes of quads of the listed roles, by their extreme corners."""
+    xs = F.array("l_partkey", "l_suppkey", "l_suppkey", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R")).select(F.col("l_orderkey").alias("id"), F.array_min(xs).alias("x"), (F.array_max(xs) - F.array_min(xs)).alias("w"))
+    return rows.where("w > 0")
+
+
+# -- the name verifier
+
+
+@query("verify_names")
+def verify_names(spark, sf_dir):
+    """Names of all texts after the verifier has rejected what it is sure about."""
+    rows = sql(spark, sf_dir, PERSONA).select("ord", "text", "known")
+    return verifier.verified(rows, lambda window, name: 0.9 if name.split()[0].lower() in verifier.GIVEN else 0.01).select("ord", "type", "value")
+
+
+@query("word_piece")
+def word_piece(spark, sf_dir):
+    """Pieces of the benchmark's texts in a small vocabulary of its own."""
+    vocabulary = ["[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"], "the", "and", "##tion", "##er", ".", ","]
+    return table(spark, sf_dir, "benchmark").select("item_id", verifier.word_pieces(F.col("text"), vocabulary).alias("pieces"))
+
+
+@query("file_digest")
+def file_digest(spark, sf_dir):
+    from maskwright.sources.readers import digests
+
+    return digests(spark, f"{sf_dir}/region.parquet").select(F.length("sha256").alias("n"), "sha256")
+
+
+@query("scan_env", "SELECT i AS id, k AS key, v AS value FROM (VALUES (0, 'A', '1'), (1, 'B', 'x = y'), (3, 'C', 'q'), (4, 'D', '')) AS t(i, k, v)")
+def scan_env(spark, sf_dir):
+    from maskwright.sources.readers import settings
+
+    lines = spark.createDataFrame([(0, "A=1"), (1, ' B = "x = y" '), (2, "# no"), (3, "C='q'"), (4, "D="), (5, "none")], "id int, value string")
+    return lines.select("id", settings(F.col("value")).alias("s")).where("s IS NOT NULL").select("id", "s.*")

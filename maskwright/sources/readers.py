@@ -47,7 +47,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 def settings(lines: Column) -> Column:
     """``struct<key, value>`` of a KEY=VALUE line; null for comments and other lines. Quotes around a value are taken off."""
     bare = F.trim(lines)
-    value = F.trim(F.substring_index(bare, "=", -1)) if False else F.trim(F.expr("substring(trim(value), instr(trim(value), '=') + 1)"))
+    value = F.trim(F.substring(bare, F.instr(bare, "=") + 1, F.length(bare)))
     plain = F.regexp_replace(value, r"^([\"'])(.*)\1$", "$2")
     return F.when(~bare.startswith("#") & F.contains(bare, F.lit("=")), F.struct(F.trim(F.substring_index(bare, "=", 1)).alias("key"), plain.alias("value")))
 
