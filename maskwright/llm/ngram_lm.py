@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import fold, id_and_text, persist
 
 ORDER = 2
-MU = 2.0
+MU = 256.0
 BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 1_000_000
 #: Hashes of what isn't a word of a text: no word holds a space.
@@ -220,70 +220,52 @@ def _totals(order: int):
 
 
 class Automaton:
-    """The backoff automaton of one block, in lists: arcs by (state * words + word)."""
+    """The part of the backoff automaton that one block's texts can visit.
+
+    A state of depth k is a learnt k-gram, the empty one at depth 0.  ``seen[k]``
+    tells which (k + 1)-grams are arcs from depth k, ``log[k]`` what they cost,
+    and ``cost[k]`` what the failure arc of each k-gram costs.  ``Block.at``
+    resolves, for each place of a text, which arc a depth could take there.
+    """
 
     def __init__(self, b: Block, totals: list[np.ndarray], order: int, mu: float, base: np.ndarray):
-        v = self.v = len(b.words)
-        # States: 0 the empty context; then the learnt grams of orders 1 to order - 1.
-        state = []
-        made = 1
-        for k in range(order - 1):
-            s = np.zeros(len(b.keys[k]), np.int64)
-            known = totals[k] > 0
-            if k == 0:
-                known = known.copy()
-                known[0] = False  # nothing follows an end
-            s[known] = made + np.arange(known.sum())
-            made += int(known.sum())
-            # An unknown gram's state is that of its longest known suffix.
-            if k:
-                s[~known] = state[k - 1][b.suffix[k][~known]]
-            state.append(s)
-        self.fail = np.zeros(made, np.int64)
-        self.cost = np.zeros(made)
-        prob = [base]
-        arcs, logs, nexts = [np.arange(v)], [np.log10(base)], [state[0] if order > 1 else np.zeros(v, np.int64)]
+        self.order, self.b = order, b
+        self.seen, self.log, self.cost = [totals[0] > 0], [np.log10(base)], [np.zeros(0)]
+        prob = base
         for k in range(1, order):
-            context = b.context[k]
-            c, h = totals[k].astype(float), totals[k - 1][context].astype(float)
-            p = (c + mu * prob[k - 1][b.suffix[k]]) / (h + mu)
-            prob.append(p)
-            seen = np.flatnonzero(totals[k] > 0)
-            # A seen gram's context is seen too, so it is a state of order k.
-            arcs.append(state[k - 1][context[seen]] * v + self._word(b, k)[seen])
-            logs.append(np.log10(p[seen]))
-            nexts.append(state[k][seen] if k < order - 1 else state[k - 1][b.suffix[k][seen]])
-        for k in range(order - 1):
-            known = state[k] > 0 if k == 0 else totals[k] > 0
-            ids = state[k][known]
-            self.cost[ids] = np.log10(mu / (totals[k][known] + mu))
-            self.fail[ids] = state[k - 1][b.suffix[k][known]] if k else 0
-        keys = np.concatenate(arcs)
-        self.arc = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.log, self.next = np.concatenate(logs).tolist(), np.concatenate(nexts).tolist()
-        self.fail, self.cost = self.fail.tolist(), self.cost.tolist()
-        self.first = int(state[0][1]) if order > 1 else 0
-
-    @staticmethod
-    def _word(b: Block, k: int) -> np.ndarray:
-        """The last word of each gram of order k + 1."""
-        out = np.zeros(len(b.keys[k]), np.int64)
-        ok = b.at[k] >= 0
-        out[b.at[k][ok]] = b.at[0][ok]
-        return out
-
-    def score(self, words: list[int]) -> float:
-        """One traversal: the text's log10 probability."""
-        arc, log, nxt, fail, cost, v = self.arc.get, self.log, self.next, self.fail, self.cost, self.v
-        s, total = self.first, 0.0
-        for w in words:
-            a = arc(s * v + w)
-            while a is None:
-                total += cost[s]
-                s = fail[s]
-                a = arc(s * v + w)
-            total += log[a]
-            s = nxt[a]
+            lower = totals[k - 1].astype(float)
+            self.cost.append(np.log10(mu / (lower + mu)))
+            prob = (totals[k] + mu * prob[b.suffix[k]]) / (lower[b.context[k]] + mu)
+            self.seen.append(totals[k] > 0)
+            self.log.append(np.log10(prob))
+
+    def score(self, doc: int) -> float:
+        """One traversal of a text from left to right: its log10 probability.
+
+        The state's depth is carried; the state itself is the gram of that depth
+        that ends at the place before.
+        """
+        b, top = self.b, self.order - 1
+        lo = int(b.starts[doc])
+        here = slice(lo + 1, lo + 1 + int(b.lengths[doc]))
+        before = slice(here.start - 1, here.stop - 1)
+        arcs, logs, fails = [], [], [()]
+        for k in range(self.order):
+            at = b.at[k][here]
+            arcs.append((self.seen[k][at] & (at >= 0)).tolist())
+            logs.append(self.log[k][at].tolist())
+            if k:
+                fails.append(self.cost[k][b.at[k - 1][before]].tolist())
+        root, first = arcs[0], logs[0]
+        depth = int(top > 0 and bool(self.seen[0][1]))
+        total = 0.0
+        for i, known in enumerate(root):
+            k = depth
+            while k and not arcs[k][i]:
+                total += fails[k][i]
+                k -= 1
+            total += logs[k][i] if k else first[i]
+            depth = (k + 1 if k < top else top) if known else 0
         return total
 
 
@@ -304,8 +286,7 @@ def _scores(order: int, shards: int, mu: float, n: int, v: int):
             known = (totals[0] > 0)[b.token]
             sums = np.add.reduceat(flat, b.begins)
             hits = np.add.reduceat(known.astype(np.int64), b.begins)
-            words = b.token.tolist()
-            scores = [auto.score(words[x:y]) for x, y in zip(b.begins.tolist(), b.stops.tolist(), strict=True)]
+            scores = [auto.score(i) for i in range(len(b.lengths))]
             out.append(pa.table([pa.array(r["ids"], kind), pa.array(~b.train), pa.array(b.lengths), pa.array(hits), pa.array(sums), pa.array(scores, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], kind), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
