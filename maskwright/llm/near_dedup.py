@@ -17,8 +17,9 @@
    within tasks.  Verified links join the first ones.
 
 No partner or candidate is capped: what a pivot doesn't settle, step 4 does.
-The filter's cut is so low that a linked pair fails it with probability under
-1e-9; apart from that the result equals that of comparing all pairs.
+The bounds on sketches are so low that a pair at the very threshold fails one
+with a chance of 1e-7; apart from that the result equals that of comparing all
+pairs.
 
 Scale: texts are read twice (the second time only texts in surviving pairs keep
 their sets); the largest shuffle is one row a retained value.  Memory is that of
@@ -35,6 +36,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +45,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import id_and_text, persist
+from maskwright.llm.common import drop_table, id_and_text, persist
 from maskwright.llm.components import components
 
-SKETCH = 64
+SKETCH = 128
+#: Sketch sizes by which pairs are filtered: a short one first, as it discards chance meetings for little.
+FILTERS = (16, SKETCH)
+#: Chance that a linked pair fails a bound.
+TAIL = 1e-7
 PIVOTS = 4
+#: Classes whose values are counted and listed together, and values that one shard counts, about.
+LISTED = 4096
+SHARD_VALUES = 1_000_000
+#: Size of the bitmap of ids whose texts are wanted again: 1 MB.
+BITS = 1 << 23
 #: Lists up to this size are joined with themselves; longer ones are examined in blocks.
 SHORT = 48
 BLOCK = 1024
@@ -88,7 +99,7 @@ def overlap_needed(size: int, percent: int, k: int = SKETCH) -> int:
     """Values that the sketches of a set of ``size`` and any set as similar share at least.
 
     Sets within the sketch are whole, so the bound is exact; else a share of the
-    union's sketch, a binomial count, with a tail under 1e-9.
+    union's sketch, a binomial count, with a tail under ``TAIL``.
     """
     if size * 100 <= k * percent:  # any partner is whole too
         return math.ceil(size * percent / 100)
@@ -97,7 +108,7 @@ def overlap_needed(size: int, percent: int, k: int = SKETCH) -> int:
     p, tail = percent / 100, 0.0
     for t in range(k + 1):
         tail += math.comb(k, t) * p**t * (1 - p) ** (k - t)
-        if tail > 1e-9:
+        if tail > TAIL:
             return t
     return k
 
@@ -123,131 +134,327 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cut(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(cut(x.as_py())) for x in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
 
     return run
 
 
-def _verified(percent: int):
+def _packed(hashes: np.ndarray) -> bytes:
+    """48 bits a hash: within one pair of sets a chance meeting is rarer than 1e-8."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.int64)
+
+
+def _measured(percent: int):
+    """Exact overlap of pairs' full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                p, q = _unpacked(x.as_py()), _unpacked(y.as_py())
+                n = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                both.append(n)
+                linked.append(100 * n >= percent * (len(p) + len(q) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     return run
 
 
-def _estimated(percent: int) -> Column:
-    """The union's sketch holds enough common values; both sizes allow the similarity."""
-    whole = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
+def _estimated(percent: int, k: int) -> Column:
+    """The union's sketch of ``k`` holds enough common values."""
+    whole = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(whole, F.array_intersect("sa", "sb")))
-    low = overlap_needed(SKETCH, percent) / SKETCH
-    sizes = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return sizes & (common >= F.when(F.size(whole) < SKETCH, F.ceil(F.size(whole) * percent / 100)).otherwise(F.size(whole) * low))
+    return common >= F.when(F.size(whole) < k, F.ceil(F.size(whole) * percent / 100)).otherwise(overlap_needed(k, percent, k))
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the similarity."""
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
 def _filtered(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches allow the similarity."""
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").where(_estimated(percent)).select("a", "b")
+    for k in FILTERS:
+        one = sigs.select(F.col("doc_id").alias("a"), F.slice("sketch", 1, k).alias("sa"))
+        two = sigs.select(F.col("doc_id").alias("b"), F.slice("sketch", 1, k).alias("sb"))
+        pairs = pairs.join(one, "a").join(two, "b").where(_estimated(percent, k)).select("a", "b")
+    return pairs
+
 
+def _some(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be in ``ids``, without a shuffle: by a bitmap of BITS hashed ids.
 
-def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs that full sets confirm."""
+    Its size is fixed; with more ids than it can tell apart it lets more rows
+    pass, and the join that follows drops them.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[np.asarray(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
+
+    parts = ids.select(slot.alias("slot")).coalesce(4).mapInArrow(marked, "bits binary").collect()
+    whole = np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in parts] or [np.zeros(BITS // 8, np.uint8)])
+    sent = rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            found = batch.filter(pa.array(bits[np.asarray(batch.column(2))]))
+            yield pa.RecordBatch.from_arrays(found.columns[:2], ["doc_id", "text"])
+
+    return rows.select("doc_id", "text", slot.alias("slot")).where("doc_id IS NOT NULL").mapInArrow(passed, rows.select("doc_id", "text").schema)
+
+
+def _measure(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, both, linked) of pairs, by their full sets; only texts in pairs are cut again."""
     pairs = persist(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = persist(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     kind = dict(rows.dtypes)["doc_id"]
-    full = persist(rows.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(width), f"doc_id {kind}, hashes binary"), "sets")
+    full = persist(_some(rows, ids).join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(width), f"doc_id {kind}, hashes binary"), "sets")
     one = full.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"))
     two = full.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"))
-    return persist(pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_verified(percent), f"a {kind}, b {kind}").distinct(), "verified")
+    out = persist(pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_measured(percent), f"a {kind}, b {kind}, both long, linked boolean"), "measured")
+    for table in (pairs, ids, full):
+        drop_table(table)
+    return out
+
+
+def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes in blocks: ids, sizes, and all sketches behind one another."""
+    from pyspark import TaskContext
+
+    part, made = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for at in range(0, len(batch), LISTED):
+            b = batch.slice(at, LISTED)
+            sketch = b.column(2)
+            ends = np.asarray(sketch.value_lengths())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + made], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)), pa.array([b.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([ends.astype(np.int32).tobytes()], pa.binary()), pa.array([np.asarray(sketch.flatten()).astype(np.int64).tobytes()], pa.binary())],
+                ["block", "ids", "sizes", "lengths", "values"],
+            )
+            made += 1
+
+
+def _by_shard(values: bytes, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, distinct values ascending, counts): the order in which a block asks and is answered."""
+    distinct, counts = np.unique(np.frombuffer(values, np.int64), return_counts=True)
+    shard = (distinct.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(part):
+            yield int(shard[part[0]]), distinct[part], counts[part]
+
+
+def _asked(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(s, block, v.tobytes(), zlib.compress(n.astype(np.uint32).tobytes(), 1)) for s, v, n in _by_shard(values.as_py(), shards)]
+                for lo in range(0, len(rows), 256):
+                    cut = list(zip(*rows[lo : lo + 256], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cut, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "values", "counts"])
+
+    return run
+
+
+def _answered(key, table):
+    """How many classes hold each value, for each block in its own order."""
+    values = [np.frombuffer(x.as_py(), np.int64) for x in table["values"]]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table["counts"]])
+    _, where = np.unique(np.concatenate(values), return_inverse=True)
+    held = np.bincount(where, counts)[where].astype(np.int64)
+    cut = np.split(held, np.cumsum([len(x) for x in values])[:-1])
+    return pa.table([pa.array([key[0].as_py()] * len(cut), pa.int64()), table["block"].combine_chunks(), pa.array([zlib.compress(x.tobytes(), 1) for x in cut], pa.binary())], ["shard", "block", "held"])
+
+
+def _posts(percent: int, shards: int):
+    need = np.array([overlap_needed(n, percent) for n in range(SKETCH + 1)])
+
+    def run(key, blocks, answers):
+        kind, out = blocks.schema.field("ids").type.value_type, []
+        for r in blocks.to_pylist():
+            values, lengths = np.frombuffer(r["values"], np.int64), np.frombuffer(r["lengths"], np.int32)
+            got = {x["shard"]: np.frombuffer(zlib.decompress(x["held"]), np.int64) for x in answers.to_pylist()}
+            asked = [(v, got[s]) for s, v, _ in _by_shard(r["values"], shards)]
+            names, held = np.concatenate([v for v, _ in asked]), np.concatenate([h for _, h in asked])
+            order = np.argsort(names)
+            held = held[order][np.searchsorted(names[order], values)]
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((values, held, row))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keep = order[(rank < (lengths - need[lengths] + 1)[row[order]]) & (held[order] > 1)]
+            ids, sizes = r["ids"], np.array(r["sizes"], np.int64)
+            out.append(pa.table([pa.array(values[keep]), pa.array([ids[i] for i in row[keep]], kind), pa.array(sizes[row[keep]])], ["value", "doc_id", "n"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], kind), pa.array([], pa.int64())], ["value", "doc_id", "n"])
+
+    return run
 
 
 def posted(sigs: DataFrame, percent: int) -> DataFrame:
-    """(value, doc_id): each set under the rarest of its retained values.
+    """(value, doc_id, n): each set under the rarest of its retained values that other sets hold too.
 
     Sets of the wanted similarity share ``t`` retained values at least, so in any
-    common order they meet within the first ``size - t + 1`` of each.
+    common order they meet within the first ``size - t + 1`` of each.  Counts are
+    asked for by blocks of classes, a value once a block, and shards answer in
+    the block's order, so a frequent value costs one entry a block.
     """
-    values = sigs.select("doc_id", "print", "n_shingles", F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
-    shared = values.join(often, "value")
-    need = F.element_at(F.lit([overlap_needed(n, percent) for n in range(SKETCH + 1)]), F.least("n_shingles", F.lit(SKETCH)).cast("int") + 1)
-    kept = F.least("n_shingles", F.lit(SKETCH)).cast("int")
-    # Values that no other set holds come first in the order and need no list.
-    grouped = shared.groupBy("doc_id", "print").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
-    first = (kept - need + 1) - (kept - F.size("shared"))
-    return grouped.where(first > 0).select("doc_id", F.explode(F.slice("shared", F.lit(1), first)).alias("s")).select(F.col("s.value").alias("value"), "doc_id")
-
-
-def _pivoted(lists: DataFrame) -> DataFrame:
+    kind = dict(sigs.dtypes)["doc_id"]
+    blocks = persist(sigs.select("doc_id", "n_shingles", "sketch").mapInArrow(_listing, f"block long, ids array<{kind}>, sizes array<long>, lengths binary, values binary"), "blocks")
+    total = blocks.agg(F.sum(F.length("values"))).first()[0] or 0
+    shards = max(1, math.ceil(total / 8 / SHARD_VALUES))
+    asked = blocks.select("block", "values").mapInArrow(_asked(shards), "shard long, block long, values binary, counts binary")
+    answers = asked.groupBy("shard").applyInArrow(_answered, "shard long, block long, held binary")
+    out = persist(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_posts(percent, shards), f"value long, doc_id {kind}, n long"), "lists")
+    drop_table(blocks)
+    return out
+
+
+def _pivots(lists: DataFrame) -> DataFrame:
+    """(value, pivots): up to PIVOTS classes of each list, the same ones in lists of the same classes."""
+    least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("d"), "n")).alias(f"p{i}") for i in range(PIVOTS)]
+    found = lists.groupBy("value").agg(F.count("*").alias("listed"), *least).where("listed > 1")
+    return found.select("value", F.array_distinct(F.array(*[F.struct(F.col(f"p{i}.d").alias("d"), F.col(f"p{i}.n").alias("pn")) for i in range(PIVOTS)])).alias("pivots"))
+
+
+def _pivoted(lists: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of each class with its lists' pivots."""
-    pivots = lists.groupBy("value").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("d"))).alias(f"p{i}") for i in range(PIVOTS)]).where("n > 1")
-    pivots = pivots.select("value", F.array_distinct(F.array(*[F.col(f"p{i}.d") for i in range(PIVOTS)])).alias("pivots"))
-    met = lists.join(pivots, "value").select("doc_id", F.explode("pivots").alias("p")).where("doc_id != p")
-    return met.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
+    met = lists.join(pivots, "value").select("doc_id", "n", F.explode("pivots").alias("p")).select("doc_id", "n", "p.d", "p.pn").where((F.col("doc_id") != F.col("d")) & _alike("n", "pn", percent))
+    return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
+
+
+def _meeting(table, percent: int):
+    """Of a list's two blocks (or one with itself): rows of each, and which pairs may be linked.
 
+    A pair may not if its components are the same, or its sizes or exact overlaps
+    with a pivot rule the similarity out: sets that meet a pivot in p and q values
+    share at most min(p, q) of them, and at most the smaller rest besides.
+    """
+    side = np.asarray(table["side"])
+    codes: dict = {}
+    comp = np.array([codes.setdefault(c, len(codes)) for c in table["component"].to_pylist()])
+    size = np.asarray(table["n"])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = table["i"][0].as_py() == table["j"][0].as_py()
+    right = left if same else right
+    good = comp[left][:, None] != comp[right][None, :]
+    if same:
+        good &= np.tri(len(left), len(left), -1, dtype=bool)
+    x, y = size[left][:, None], size[right][None, :]
+    good &= (100 * x >= percent * y) & (100 * y >= percent * x)
+    need = (percent * (x + y) + 99 + percent) // (100 + percent)
+    names: dict = {}
+    met = [[(names.setdefault(p["d"], len(names)), p["both"]) for p in row or []] for row in table["met"].to_pylist()]
+    known = np.full((len(names), len(side)), -1, np.int64)
+    for i, row in enumerate(met):
+        for p, both in row:
+            known[p, i] = both
+    for o in known:
+        p, q = o[left][:, None], o[right][None, :]
+        good &= (p < 0) | (q < 0) | (np.minimum(p, q) + np.minimum(x - p, y - q) >= need)
+    return left, right, good
+
+
+def _partnered(percent: int):
+    """Rows of a list's blocks that have a partner left: only their sketches are fetched."""
+
+    def run(key, table):
+        left, right, good = _meeting(table, percent)
+        keep = np.zeros(table.num_rows, bool)
+        keep[left[good.any(1)]] = True
+        keep[right[good.any(0)]] = True
+        return table.filter(pa.array(keep))
+
+    return run
 
-def _blocks(percent: int):
-    """Pairs of two blocks of a long list whose sketches overlap enough, across components."""
+
+def _crossed(percent: int):
+    """Pairs of two blocks of a long list that may be linked, across components.
+
+    A pair is left to the list of its smallest common posted value, and dropped
+    if its sketches overlap too little.
+    """
 
     def run(key, table):
-        sketches = [np.asarray(x.values) for x in table["sketch"].combine_chunks()] if table.num_rows else []
-        ids, comp, side = table["doc_id"].to_pylist(), table["component"].to_pylist(), np.asarray(table["side"])
-        sizes, codes = np.asarray(table["n_shingles"]), {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        comp = np.array([codes[c] for c in comp])
-        values, inverse = np.unique(np.concatenate(sketches), return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), [len(s) for s in sketches])
-        need = np.array([overlap_needed(int(min(n, SKETCH)), percent) for n in sizes])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = len(right) == 0
-        right = left if same else right
-        overlap = np.zeros((len(left), len(right)), np.float32)
-        at = np.full(len(ids), -1)
-        order = np.argsort(inverse, kind="stable")
-        row, inverse = row[order], inverse[order]
-        for lo in range(0, len(values), 4096):
-            a, b = np.searchsorted(inverse, [lo, lo + 4096])
-            part = np.zeros((len(ids), 4096), np.float32)
-            part[row[a:b], inverse[a:b] - lo] = 1
-            overlap += part[left] @ part[right].T
-        del at
-        good = (overlap >= np.maximum(need[left][:, None], need[right][None, :])) & (comp[left][:, None] != comp[right][None, :])
-        if same:
-            good &= np.tri(len(left), len(left), -1, dtype=bool)
+        kind = table.schema.field("doc_id").type
+        value = key[0].as_py()
+        ids = table["doc_id"].to_pylist()
+        left, right, good = _meeting(table, percent)
+        if good.any():
+            earlier = [np.array([v for v in row if v < value], np.int64) for row in table["posted"].to_pylist()]
+            good &= _overlaps(earlier, left, right) == 0
+        if good.any():
+            sketches = [np.array(row, np.int64) for row in table["sketch"].to_pylist()]
+            least = np.array([overlap_needed(int(min(n, SKETCH)), percent) for n in table["n"].to_pylist()])
+            good &= _overlaps(sketches, left, right) >= np.maximum(least[left][:, None], least[right][None, :])
         x, y = np.nonzero(good)
         p, q = [ids[left[i]] for i in x], [ids[right[i]] for i in y]
-        kind = table.schema.field("doc_id").type
         return pa.table([pa.array([min(m, n) for m, n in zip(p, q, strict=True)], kind), pa.array([max(m, n) for m, n in zip(p, q, strict=True)], kind)], ["a", "b"])
 
     return run
 
 
-def _crossing(lists: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left and right sets."""
+    values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    often = count > 1
+    code = np.cumsum(often) - 1
+    keep = often[inverse]
+    row, inverse = row[keep], code[inverse[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(inverse, kind="stable")
+    row, inverse = row[order], inverse[order]
+    for lo in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(inverse, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], inverse[a:b] - lo] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """All pairs within a list that no component joins yet."""
     labelled = lists.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("value", "n")
+    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("listed")).where("lo < hi").select("value", "listed")
     rows = persist(labelled.join(mixed, "value"), "mixed")
-    short = rows.where(F.col("n") <= SHORT).select("value", "doc_id", "component")
-    mate = short.select("value", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    few = short.join(mate, "value").where("doc_id < b AND component != cb").select(F.col("doc_id").alias("a"), "b").distinct()
+    short = rows.where(F.col("listed") <= SHORT).select("value", "doc_id", "n", "component")
+    mate = short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    few = short.join(mate, [short["value"] == mate["value"], F.col("doc_id") < F.col("b"), F.col("component") != F.col("cb"), _alike("n", "nb", percent)]).select(F.col("doc_id").alias("a"), "b").distinct()
+    few = few.join(measured.select("a", "b"), ["a", "b"], "left_anti")
     few = _filtered(few, sigs, percent)
-    long = rows.where(F.col("n") > SHORT)
+    long = rows.where(F.col("listed") > SHORT)
     if long.isEmpty():
         return few
     kind = dict(rows.dtypes)["doc_id"]
+    # What is known of each class and its lists' pivots.
+    twice = measured.select(F.col("a").alias("doc_id"), F.col("b").alias("d"), "both").unionByName(measured.select(F.col("b").alias("doc_id"), F.col("a").alias("d"), "both"))
+    asked = long.select("value", "doc_id", "n").join(pivots, "value").select("doc_id", "n", F.array_sort("pivots.d").alias("d")).distinct()
+    asked = asked.groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("d")).select("doc_id", "n", F.explode("d").alias("d"))
+    known = asked.join(twice, ["doc_id", "d"], "left").withColumn("both", F.when(F.col("doc_id") == F.col("d"), F.col("n")).otherwise(F.col("both"))).where("both IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("d", "both")).alias("met"))
+    every = lists.groupBy("doc_id").agg(F.collect_set("value").alias("posted"))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks"))
-    dealt = long.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", block)
-    # The block meets itself and every other one; of two blocks the lower is side 0.
+    dealt = long.withColumn("blocks", F.ceil(F.col("listed") / BLOCK).cast("long")).withColumn("block", block)
+    # A block meets itself and every other one; of two blocks the lower is side 0.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("value", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(sigs.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    many = dealt.groupBy("value", "i", "j").applyInArrow(_blocks(percent), f"a {kind}, b {kind}").distinct()
+    dealt = dealt.select("value", "doc_id", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    # First without sketches: what sizes, components and pivots rule out need not be fetched.
+    light = dealt.join(known, "doc_id", "left").select("value", "i", "j", "doc_id", "n", "component", "side", "met")
+    light = persist(light.groupBy("value", "i", "j").applyInArrow(_partnered(percent), light.schema), "partnered")
+    about = sigs.select("doc_id", "sketch").join(light.select("doc_id").distinct(), "doc_id", "left_semi").join(every, "doc_id")
+    many = light.join(about, "doc_id").groupBy("value", "i", "j").applyInArrow(_crossed(percent), f"a {kind}, b {kind}").distinct()
+    many = many.join(measured.select("a", "b"), ["a", "b"], "left_anti")
     return few.unionByName(many).distinct()
 
 
@@ -263,14 +470,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"))
     reps = persist(classes.withColumnRenamed("class_id", "doc_id"), "classes")
-    lists = persist(posted(reps, percent), "lists")
-    first = _links(_filtered(_pivoted(lists), reps, percent), rows, width, percent)
+    members = persist(sigs.drop("sketch"), "members")
+    drop_table(sigs)
+    lists = posted(reps, percent)
+    pivots = persist(_pivots(lists), "pivots")
+    measured = _measure(_filtered(_pivoted(lists, pivots, percent), reps, percent), rows, width, percent)
+    first = measured.where("linked").select("a", "b")
     comps = persist(components(first), "components")
-    second = _links(_crossing(lists, comps, reps, percent), rows, width, percent)
+    second = _measure(_crossing(lists, pivots, measured, comps, reps, percent), rows, width, percent).where("linked").select("a", "b")
     if not second.isEmpty():
         comps = persist(components(first.unionByName(second)), "components")
     named = reps.select(F.col("print").alias("p"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node")).join(comps, "node", "left").select("p", "n", F.coalesce("component", "node").alias("component_id"))
-    out = sigs.drop("sketch").join(named, [F.col("print") == F.col("p"), F.col("n_shingles") == F.col("n")], "left")
+    out = members.join(named, [F.col("print") == F.col("p"), F.col("n_shingles") == F.col("n")], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
