@@ -26,8 +26,8 @@ whatever their names, are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ DIM = 8
 GRAMS = (3, 4, 5)
 PASSAGE = 32
 WORDS = 400_000
-SAMPLE = 10_000
-SAMPLE_BYTES = 200_000
+SAMPLE = 9000
+SAMPLE_BYTES = 100_000
 #: The first START epochs train on EARLY random passages of each document, as no passage is known to be the toxic one.
 EPOCHS, START, EARLY, RATE = 14, 6, 6, 2.0
 INIT = 0.02
@@ -109,11 +109,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     index: dict[bytes, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
-    bags = [subwords(w) for w in index]
-    counts = np.array([len(b) for b in bags], np.int64)
-    flat = np.fromiter(chain.from_iterable(bags), np.int32, int(counts.sum()))
-    at = np.concatenate([[0], np.cumsum(counts)])
-    del bags
+    gathered, sizes = array("i"), array("i")
+    for w in index:
+        bag = subwords(w)
+        gathered.extend(bag)
+        sizes.append(len(bag))
+    del texts, index
+    counts, flat = np.array(sizes, np.int32), np.array(gathered, np.int32)
+    at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    del gathered, sizes
     y = np.array(labels, np.float32)
     aside = rng.random(len(docs)) < 0.2
     tokens = np.concatenate([*docs, np.empty(0, np.int32)])
@@ -203,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
     # Three times the sample: labels may name documents that aren't there.
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * sample)
     rows = id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= sample_bytes)
-    rows = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(F.col("text").cast("string")), "toxic").limit(sample).collect()
-    return train([bytes(r["text"]) for r in rows], [r["toxic"] for r in rows])
+    rows = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(F.col("text").cast("string")), "toxic").limit(sample).toArrow()
+    return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
