@@ -29,6 +29,8 @@ PATTERNS = [
     ("PHONE", r"(?<!\w)(?:\+?91[ -]?)?[6-9]\d{4}[ -]?\d{5}(?!\d)"),
     ("PHONE", r"(?<!\w)0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?!\d)"),
 ]
+#: What a text needs for a detector, by type; far cheaper to look for than the pattern.
+NEEDS = {"EMAIL": "@", "CARD": "[0-9](?:[ -]?[0-9]){12}", "OTP": "[0-9]{4}", "AADHAAR": "[0-9]{4}", "PAN": "[0-9]{4}", "PHONE": "[0-9]{3}"}
 #: Types whose spans may lose their head to an earlier span and keep the tail.
 TRIMMED_TYPES = ("NAME", "ADDRESS")
 MASK_AT, REVIEW_AT = 0.6, 0.4
@@ -47,6 +49,12 @@ def luhn(value: Column) -> Column:
     return F.coalesce((F.length(digits) >= 13) & F.call_function("luhn_check", digits), F.lit(False))
 
 
+def worth(text: Column, kind: str) -> Column:
+    """A text could hold a match of the type."""
+    need = NEEDS.get(kind, "")
+    return F.contains(text, F.lit(need)) if need == "@" else text.rlike(need)
+
+
 def matches(text: Column, pattern: str, kind: str, confidence=None) -> Column:
     """All matches of one pattern, left to right; texts without one cost a single search.
 
@@ -64,7 +72,7 @@ def matches(text: Column, pattern: str, kind: str, confidence=None) -> Column:
         return F.when(p["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(pairs, begin, step, lambda s: s["out"])).otherwise(none)
+    return F.when(F.coalesce(worth(text, kind) & text.rlike(pattern), F.lit(False)), F.aggregate(pairs, begin, step, lambda s: s["out"])).otherwise(none)
 
 
 def detector(text: Column, index: int) -> Column:

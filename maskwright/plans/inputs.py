@@ -52,7 +52,7 @@ ELEMENTS = f"""SELECT l_orderkey AS screen_id, l_linenumber AS ord, {_ROLE} AS r
 TASK = "Download the monthly report"
 
 #: Boxes of two sources that overlap now and then: screen_id, ord, source, x, y, w, h, score.
-BOXES = """SELECT l_orderkey % 500 AS screen_id, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN (l_partkey + l_suppkey + l_linenumber) % 2 = 0 THEN 'dom' ELSE 'vision_ocr' END AS source,
+BOXES = """SELECT CAST(floor(l_orderkey / 20) AS BIGINT) AS screen_id, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN (l_partkey + l_suppkey + l_linenumber) % 2 = 0 THEN 'dom' ELSE 'vision_ocr' END AS source,
     l_partkey % 4 * 3 + l_partkey % 25 * 40 AS x, l_suppkey % 3 * 2 + l_suppkey % 10 * 30 AS y, 90 + l_partkey % 5 AS w, 28 + l_suppkey % 4 AS h, CAST(l_partkey * 7 % 100 AS DOUBLE) / 100 AS score
     FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""
 
