@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskwright.plans import act, detect, measure, screen
+from maskwright.plans import act, detect, measure, screen, whole
 
-_PARTS = (detect, screen, act, measure)
+_PARTS = (detect, screen, act, measure, whole)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE.items()}

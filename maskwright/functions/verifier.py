@@ -117,3 +117,16 @@ def verified(rows: DataFrame, score: Callable[[str, str], float], text: str = "t
     asked = found.withColumn("__no", rejected(F.col(text), F.col("__found"), score))
     spans = asked.withColumn("__kept", pii.without(F.col("__found"), F.col("__no"))).withColumn("__s", F.explode_outer(pii.resolved(F.col("__kept")))).where("__s IS NOT NULL")
     return spans.select(*rows.columns, F.col("__s.type").alias("type"), F.col("__s.value").alias("value"), F.col("__s.start").alias("start"), F.col("__s.end").alias("end"), F.col("__s.confidence").alias("confidence"))
+
+
+def person_share(logits: Column) -> Column:
+    """The larger of the person labels' softmax shares, of one token's logits."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    return F.greatest(*[F.get(e, F.lit(i)) for i in PERSON]) / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+
+
+def best_share(tokens: Column, start: Column, end: Column) -> Column:
+    """The best ``share`` among tokens (start, end, share) that a span overlaps; 0 if none does."""
+    hit = F.filter(tokens, lambda t: (t["end"] > t["start"]) & (t["start"] < end) & (t["end"] > start))
+    return F.coalesce(F.array_max(F.transform(hit, lambda t: t["share"])), F.lit(0.0))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +22,26 @@ REVIEW = "reviewedAt string, method string, distinctValues int, detections int,
 STAGES = ("observe", "decide", "reason", "confirm", "act", "error")
 
 
-def screens(spark: SparkSession, folder: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a temporary one in local sessions without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="maskwright-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        shared = f"file://{shared}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def screens(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Ground-truth screens of a folder of JSON files, without its two index files."""
-    rows = spark.read.schema(SCREEN).option("multiLine", True).json(f"{folder}/*.json")
+    rows = spark.read.schema(SCREEN).option("multiLine", True).json(f"{folder}/{pattern}")
     return rows.where(~F.input_file_name().rlike("/(?:sources|index)\\.json$")).where(F.col("id").isNotNull())
 
 
-def indexed_screens(spark: SparkSession, folder: str) -> DataFrame:
+def indexed_screens(spark: SparkSession, folder: str, index: str | None = None, pattern: str = "*.json") -> DataFrame:
     """The screens that the index names."""
-    named = spark.read.schema(INDEX).option("multiLine", True).json(f"{folder}/index.json").select(F.explode("rows").alias("r")).select("r.id")
-    return screens(spark, folder).join(named, "id", "left_semi")
+    named = spark.read.schema(INDEX).option("multiLine", True).json(index or f"{folder}/index.json").select(F.explode("rows").alias("r")).select("r.id")
+    return screens(spark, folder, pattern).join(named, "id", "left_semi")
 
 
 def review(spark: SparkSession, path: str) -> DataFrame:
