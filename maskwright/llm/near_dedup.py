@@ -13,8 +13,9 @@
    estimates, then verified on full sets; the links give components.
 4. Lists that now lie in one component are finished: further pairs in them can't
    change a result.  In the others, all pairs that cross components are
-   examined; long lists in blocks of ``BLOCK`` by ``BLOCK``, on the sketches,
-   within tasks.  Verified links join the first ones.
+   examined; long lists in blocks of ``BLOCK`` by ``BLOCK`` within tasks, which
+   compare full sets and pass on a spanning forest of their links.  These join
+   the first ones.
 
 No partner or candidate is capped: what a pivot doesn't settle, step 4 does.
 The bounds on sketches are so low that a pair at the very threshold fails one
@@ -23,7 +24,7 @@ pairs.
 
 Scale: texts are read twice (the second time only texts in surviving pairs keep
 their sets); the largest shuffle is one row a retained value.  Memory is that of
-one text, or of two blocks of sketches.
+one text, or of two blocks of sets.
 
 Defined cases: null, empty and all-blank texts have an empty set, link with
 nothing and are kept; a text of fewer words than a shingle is one shingle of
@@ -61,7 +62,7 @@ SHARD_VALUES = 1_000_000
 BITS = 1 << 23
 #: Lists up to this size are joined with themselves; longer ones are examined in blocks.
 SHORT = 48
-BLOCK = 1024
+BLOCK = 1536
 #: Distinct words whose hashes one task remembers.
 WORDS = 1_000_000
 EMPTY_HASH = b"\0" * 16
@@ -130,11 +131,11 @@ def _sketched(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, short: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(cut(x.as_py())) for x in batch.column(1)], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(s) if short else s.tobytes() for s in (cut(x.as_py()) for x in batch.column(1))], pa.binary())], ["doc_id", "hashes"])
 
     return run
 
@@ -365,10 +366,17 @@ def _meeting(table, percent: int):
 
 
 def _partnered(percent: int):
-    """Rows of a list's blocks that have a partner left: only their sketches are fetched."""
+    """Rows of a list's blocks that have a partner left: only their sets are fetched.
+
+    A pair is left to the list of its smallest common posted value.
+    """
 
     def run(key, table):
         left, right, good = _meeting(table, percent)
+        value = key[0].as_py()
+        if good.any():
+            earlier = [np.array([v for v in row if v < value], np.int64) for row in table["posted"].to_pylist()]
+            good &= _overlaps(earlier, left, right) == 0
         keep = np.zeros(table.num_rows, bool)
         keep[left[good.any(1)]] = True
         keep[right[good.any(0)]] = True
@@ -378,27 +386,40 @@ def _partnered(percent: int):
 
 
 def _crossed(percent: int):
-    """Pairs of two blocks of a long list that may be linked, across components.
+    """Links of two blocks of a long list across components, by full sets; a spanning forest of them.
 
-    A pair is left to the list of its smallest common posted value, and dropped
-    if its sketches overlap too little.
+    Pairs whose sketches, the smallest values of their sets, overlap too little
+    are not compared further; nor are pairs that links found here join already.
     """
 
     def run(key, table):
         kind = table.schema.field("doc_id").type
-        value = key[0].as_py()
         ids = table["doc_id"].to_pylist()
         left, right, good = _meeting(table, percent)
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in table["hashes"]]
+        out = []
         if good.any():
-            earlier = [np.array([v for v in row if v < value], np.int64) for row in table["posted"].to_pylist()]
-            good &= _overlaps(earlier, left, right) == 0
-        if good.any():
-            sketches = [np.array(row, np.int64) for row in table["sketch"].to_pylist()]
-            least = np.array([overlap_needed(int(min(n, SKETCH)), percent) for n in table["n"].to_pylist()])
-            good &= _overlaps(sketches, left, right) >= np.maximum(least[left][:, None], least[right][None, :])
-        x, y = np.nonzero(good)
-        p, q = [ids[left[i]] for i in x], [ids[right[i]] for i in y]
-        return pa.table([pa.array([min(m, n) for m, n in zip(p, q, strict=True)], kind), pa.array([max(m, n) for m, n in zip(p, q, strict=True)], kind)], ["a", "b"])
+            least = np.array([overlap_needed(min(len(s), SKETCH), percent) for s in sets])
+            good &= _overlaps([s[:SKETCH] for s in sets], left, right) >= np.maximum(least[left][:, None], least[right][None, :])
+            root = list(range(len(ids)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(good), strict=True):
+                x, y = int(left[i]), int(right[j])
+                p, q = find(x), find(y)
+                if p == q:
+                    continue
+                n = len(sets[x]) + len(sets[y])
+                both = n - len(np.unique(np.concatenate([sets[x], sets[y]])))
+                if 100 * both >= percent * (n - both):
+                    root[p] = q
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], kind)], ["a", "b"])
 
     return run
 
@@ -423,17 +444,17 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """All pairs within a list that no component joins yet."""
+def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: DataFrame, sigs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within lists that no component joins yet: enough of them to give the components."""
     labelled = lists.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("listed")).where("lo < hi").select("value", "listed")
-    rows = persist(labelled.join(mixed, "value"), "mixed")
-    short = rows.where(F.col("listed") <= SHORT).select("value", "doc_id", "n", "component")
+    met = persist(labelled.join(mixed, "value"), "mixed")
+    short = met.where(F.col("listed") <= SHORT).select("value", "doc_id", "n", "component")
     mate = short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     few = short.join(mate, [short["value"] == mate["value"], F.col("doc_id") < F.col("b"), F.col("component") != F.col("cb"), _alike("n", "nb", percent)]).select(F.col("doc_id").alias("a"), "b").distinct()
     few = few.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    few = _filtered(few, sigs, percent)
-    long = rows.where(F.col("listed") > SHORT)
+    few = _measure(_filtered(few, sigs, percent), rows, width, percent).where("linked").select("a", "b")
+    long = met.where(F.col("listed") > SHORT)
     if long.isEmpty():
         return few
     kind = dict(rows.dtypes)["doc_id"]
@@ -443,19 +464,19 @@ def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: D
     asked = asked.groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("d")).select("doc_id", "n", F.explode("d").alias("d"))
     known = asked.join(twice, ["doc_id", "d"], "left").withColumn("both", F.when(F.col("doc_id") == F.col("d"), F.col("n")).otherwise(F.col("both"))).where("both IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.collect_list(F.struct("d", "both")).alias("met"))
-    every = lists.groupBy("doc_id").agg(F.collect_set("value").alias("posted"))
+    every = long.groupBy("doc_id").agg(F.collect_set("value").alias("posted"))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks"))
     dealt = long.withColumn("blocks", F.ceil(F.col("listed") / BLOCK).cast("long")).withColumn("block", block)
     # A block meets itself and every other one; of two blocks the lower is side 0.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("value", "doc_id", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    # First without sketches: what sizes, components and pivots rule out need not be fetched.
-    light = dealt.join(known, "doc_id", "left").select("value", "i", "j", "doc_id", "n", "component", "side", "met")
-    light = persist(light.groupBy("value", "i", "j").applyInArrow(_partnered(percent), light.schema), "partnered")
-    about = sigs.select("doc_id", "sketch").join(light.select("doc_id").distinct(), "doc_id", "left_semi").join(every, "doc_id")
-    many = light.join(about, "doc_id").groupBy("value", "i", "j").applyInArrow(_crossed(percent), f"a {kind}, b {kind}").distinct()
-    many = many.join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    return few.unionByName(many).distinct()
+    # First without sets: what sizes, components, pivots and other lists rule out need not be fetched.
+    light = dealt.join(known, "doc_id", "left").join(every, "doc_id").select("value", "i", "j", "doc_id", "n", "component", "side", "met", "posted")
+    light = persist(light.groupBy("value", "i", "j").applyInArrow(_partnered(percent), light.schema).drop("posted"), "partnered")
+    ids = persist(light.select("doc_id").distinct(), "ids")
+    full = _some(rows, ids).join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(width, False), f"doc_id {kind}, hashes binary")
+    many = light.join(full, "doc_id").groupBy("value", "i", "j").applyInArrow(_crossed(percent), f"a {kind}, b {kind}")
+    return few.unionByName(many)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -477,7 +498,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     measured = _measure(_filtered(_pivoted(lists, pivots, percent), reps, percent), rows, width, percent)
     first = measured.where("linked").select("a", "b")
     comps = persist(components(first), "components")
-    second = _measure(_crossing(lists, pivots, measured, comps, reps, percent), rows, width, percent).where("linked").select("a", "b")
+    second = persist(_crossing(lists, pivots, measured, comps, reps, rows, width, percent), "second")
     if not second.isEmpty():
         comps = persist(components(first.unionByName(second)), "components")
     named = reps.select(F.col("print").alias("p"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node")).join(comps, "node", "left").select("p", "n", F.coalesce("component", "node").alias("component_id"))
