@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import names, pii
 from maskwright.operators import redact as R
-from maskwright.plans.inputs import PERSONA, duck, sql, table
+from maskwright.plans.inputs import PERSONA, duck, sql, table, texts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -59,7 +59,7 @@ for _kind in ("EMAIL", "CARD", "OTP", "AADHAAR", "PAN"):
 
         @query(f"pii_{kind.lower()}", _sql_spans(kind, source, "ord" if persona else "doc_id"))
         def run(spark, sf_dir):
-            rows = sql(spark, sf_dir, PERSONA) if persona else table(spark, sf_dir, "documents")
+            rows = sql(spark, sf_dir, PERSONA) if persona else texts(spark, sf_dir, "documents")
             return _flat(rows, "ord" if persona else "doc_id", pii.of_type(F.col("text"), kind))
 
     _make(_kind)
@@ -80,7 +80,7 @@ _phone("pii_phone_landline", 6, r"(^|\W)(0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4})($|\D)"
 
 @query("pii_structured", f"SELECT doc_id, type, value, s_start, s_end, confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s_start, s_start - s_end, rank) - 1 AS INT) AS at FROM ({_all_sql()}) AS u")
 def pii_structured(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pii.structured(F.col("text"))).alias("at", "s"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(pii.structured(F.col("text"))).alias("at", "s"))
     return rows.select("doc_id", F.col("s.type").alias("type"), F.col("s.value").alias("value"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"), F.col("s.confidence").alias("confidence"), "at")
 
 
@@ -131,7 +131,7 @@ def flt_operator_glue(spark, sf_dir):
 @query("pii_all")
 def pii_all(spark, sf_dir):
     """Every detection over all documents, both families."""
-    rows = table(spark, sf_dir, "documents")
+    rows = texts(spark, sf_dir, "documents")
     return _flat(rows, "doc_id", pii.all_spans(F.col("text"), names.unstructured(F.col("text"))))
 
 
@@ -143,7 +143,7 @@ _DOC_SPANS = f"{_resolved_sql()} SELECT s.doc_id, s.type, s.value, s.s_start, s.
 
 @query("resolve_spans", _DOC_SPANS)
 def resolve_spans(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", pii.structured(F.col("text")).alias("found"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", pii.structured(F.col("text")).alias("found"))
     return _flat(rows, "doc_id", pii.resolved(F.col("found")))
 
 
@@ -169,7 +169,7 @@ def privacy_decision(spark, sf_dir):
 )
 def redact(spark, sf_dir):
     """The flagship: structured data of every document as tokens, each document a scope of its own."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hits = rows.withColumn("found", pii.structured(F.col("text"))).withColumn("spans", pii.resolved(F.col("found")))
     out = hits.withColumn("r", R.redacted(F.col("text"), F.col("spans")))
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.matches").alias("n_matches"), F.col("r.requires_review").alias("requires_review"))
@@ -183,7 +183,7 @@ def proj_redacted_span(spark, sf_dir):
 @query("redact_all")
 def redact_all(spark, sf_dir):
     """All detectors over every document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hits = rows.withColumn("found", pii.all_spans(F.col("text"), names.unstructured(F.col("text")))).withColumn("spans", pii.resolved(F.col("found")))
     out = hits.withColumn("r", R.redacted(F.col("text"), F.col("spans")))
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.matches").alias("n_matches"), F.col("r.requires_review").alias("requires_review"), F.col("r.tokens").alias("tokens"))

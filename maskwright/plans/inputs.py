@@ -84,3 +84,14 @@ def duck(text: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt over all cores if it has fewer files than cores.
+
+    A small file has one row group and so one task with rows, while detection
+    costs far more than moving them; tables of many files are not shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

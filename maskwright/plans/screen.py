@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import geometry as G
 from maskwright.functions import text as T
 from maskwright.operators import context as C
-from maskwright.plans.inputs import BOXES, ELEMENTS, TASK, duck, sql, table
+from maskwright.plans.inputs import BOXES, ELEMENTS, TASK, duck, sql, table, texts
 from maskwright.sources import html as H
 
 QUERIES: dict = {}
@@ -46,7 +46,7 @@ _LINKS = """SELECT page_id, i AS ord, replace(replace(replace(replace(t[i], '&lt
 
 @query("scan_dom", f"SELECT page_id AS screen_id, 'dom_' || ord AS id, CAST(ord AS INT) AS ord, 'link' AS role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({_LINKS}) AS l", also=("scan_dom.walk", "win_dom_id", "set_distinct_nodes"))
 def scan_dom(spark, sf_dir):
-    return H.scan_dom(table(spark, sf_dir, "pages")).select("screen_id", "id", "ord", "role", "text")
+    return H.scan_dom(texts(spark, sf_dir, "pages")).select("screen_id", "id", "ord", "role", "text")
 
 
 @query("proj_bbox", """SELECT l_orderkey AS id, CAST(floor(l_discount * 100 - 4.5 + 0.5) AS BIGINT) AS x, CAST(floor(l_extendedprice / 7 + 0.5) AS BIGINT) AS w FROM (SELECT l_orderkey, l_discount, l_extendedprice FROM lineitem) AS t""")
@@ -92,12 +92,12 @@ def flt_bot_block(spark, sf_dir):
 
 @query("capture_freeze", "SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g') AS html FROM pages")
 def capture_freeze(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", H.frozen(F.col("html")).alias("html"))
+    return texts(spark, sf_dir, "pages").select("page_id", H.frozen(F.col("html")).alias("html"))
 
 
 @query("page_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+    return texts(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
 # -- context
@@ -316,7 +316,7 @@ def agg_ocr_mean(spark, sf_dir):
 
 @query("normalize_ws", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS h FROM documents")
 def normalize_ws(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_ws(F.col("text")).cast("binary")).alias("h"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_ws(F.col("text")).cast("binary")).alias("h"))
 
 
 @query("name_agreement", f"SELECT a_id, b_id, (length(x) > 0 AND length(y) > 0 AND (contains(x, y) OR contains(y, x))) AS ok FROM (SELECT a_id, b_id, lower({_NORM.format('a')}) AS x, lower({_NORM.format('substr(a, 1, CAST(b_id % 5 * 9 AS BIGINT))')}) AS y FROM ({_TWO}) AS t) AS u")
@@ -326,7 +326,7 @@ def name_agreement(spark, sf_dir):
 
 @query("windowed", "SELECT doc_id, CASE WHEN p > 0 THEN substr(text, CAST(greatest(0, p - 1 - 200) + 1 AS BIGINT), CAST(least(length(text), p - 1 + 5 + 200) - greatest(0, p - 1 - 200) AS BIGINT)) END AS win, CAST(CASE WHEN p > 0 THEN p - 1 - greatest(0, p - 1 - 200) END AS INT) AS at FROM (SELECT doc_id, text, strpos(text, ' the ') AS p FROM documents) AS t")
 def windowed(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.windowed(F.col("text"), F.lit(" the ")).alias("w"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", T.windowed(F.col("text"), F.lit(" the ")).alias("w"))
     return rows.select("doc_id", F.col("w.window").alias("win"), F.col("w.start").alias("at"))
 
 
