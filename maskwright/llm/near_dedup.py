@@ -62,7 +62,9 @@ SHARD_VALUES = 1_000_000
 BITS = 1 << 23
 #: Lists up to this size are joined with themselves; longer ones are examined in blocks.
 SHORT = 48
-BLOCK = 1536
+BLOCK = 4096
+#: Rows of a block that are compared with the other block at once.
+STRIPE = 256
 #: Distinct words whose hashes one task remembers.
 WORDS = 1_000_000
 EMPTY_HASH = b"\0" * 16
@@ -347,21 +349,24 @@ def _meeting(table, percent: int):
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     same = table["i"][0].as_py() == table["j"][0].as_py()
     right = left if same else right
-    good = comp[left][:, None] != comp[right][None, :]
-    if same:
-        good &= np.tri(len(left), len(left), -1, dtype=bool)
-    x, y = size[left][:, None], size[right][None, :]
-    good &= (100 * x >= percent * y) & (100 * y >= percent * x)
-    need = (percent * (x + y) + 99 + percent) // (100 + percent)
     names: dict = {}
     met = [[(names.setdefault(p["d"], len(names)), p["both"]) for p in row or []] for row in table["met"].to_pylist()]
     known = np.full((len(names), len(side)), -1, np.int64)
     for i, row in enumerate(met):
         for p, both in row:
             known[p, i] = both
-    for o in known:
-        p, q = o[left][:, None], o[right][None, :]
-        good &= (p < 0) | (q < 0) | (np.minimum(p, q) + np.minimum(x - p, y - q) >= need)
+    good = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(left), STRIPE):
+        rows = left[lo : lo + STRIPE]
+        x, y = size[rows][:, None], size[right][None, :]
+        may = (comp[rows][:, None] != comp[right][None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x)
+        need = (percent * (x + y) + 99 + percent) // (100 + percent)
+        for o in known:
+            p, q = o[rows][:, None], o[right][None, :]
+            may &= (p < 0) | (q < 0) | (np.minimum(p, q) + np.minimum(x - p, y - q) >= need)
+        good[lo : lo + STRIPE] = may
+    if same:
+        good &= np.tri(len(left), len(left), -1, dtype=bool)
     return left, right, good
 
 
@@ -466,12 +471,11 @@ def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: D
     known = known.groupBy("doc_id").agg(F.collect_list(F.struct("d", "both")).alias("met"))
     every = long.groupBy("doc_id").agg(F.collect_set("value").alias("posted"))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks"))
-    dealt = long.withColumn("blocks", F.ceil(F.col("listed") / BLOCK).cast("long")).withColumn("block", block)
+    dealt = long.join(known, "doc_id", "left").join(every, "doc_id").withColumn("blocks", F.ceil(F.col("listed") / BLOCK).cast("long")).withColumn("block", block)
     # A block meets itself and every other one; of two blocks the lower is side 0.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("value", "doc_id", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     # First without sets: what sizes, components, pivots and other lists rule out need not be fetched.
-    light = dealt.join(known, "doc_id", "left").join(every, "doc_id").select("value", "i", "j", "doc_id", "n", "component", "side", "met", "posted")
+    light = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", (F.col("block") > F.col("other")).cast("int").alias("side"), "met", "posted")
     light = persist(light.groupBy("value", "i", "j").applyInArrow(_partnered(percent), light.schema).drop("posted"), "partnered")
     ids = persist(light.select("doc_id").distinct(), "ids")
     full = _some(rows, ids).join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(_sets(width, False), f"doc_id {kind}, hashes binary")
