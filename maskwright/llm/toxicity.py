@@ -16,7 +16,7 @@ number a bucket (``BUCKETS`` floats, 0.5 MB) is broadcast.
 
 Scale: one narrow pass; memory is that of a text and a cache of ``WORDS`` words.
 
-Defined cases: null and empty texts get the score of a passage without words;
+Defined cases: texts without a word, null ones too, score 0;
 rows without label, or with a null one, aren't learnt from; with no labelled
 row at all every score is 0; repeated rows are scored alike; null ids count as
 empty text in the fold; an empty table gives an empty result; other columns,
@@ -95,6 +95,8 @@ class Scorer:
 
     def __call__(self, text: bytes) -> float:
         found, known, w = words(text), self.known, self.model.weights
+        if not found:
+            return 0.0
         if len(known) > WORDS:
             known.clear()
         for x in set(found).difference(known):
@@ -103,7 +105,7 @@ class Scorer:
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit on whole documents with one label each."""
+    """Fit on whole documents with one label each; the list of texts is emptied to spare memory."""
     if not texts:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, none=True)
     rng = np.random.default_rng(seed)
@@ -114,7 +116,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         bag = subwords(w)
         gathered.extend(bag)
         sizes.append(len(bag))
-    del texts, index
+    texts.clear()
+    del index
     counts, flat = np.array(sizes, np.int32), np.array(gathered, np.int32)
     at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     del gathered, sizes
@@ -207,8 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
     # Three times the sample: labels may name documents that aren't there.
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * sample)
     rows = id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= sample_bytes)
-    rows = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(F.col("text").cast("string")), "toxic").limit(sample).toArrow()
-    return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    rows = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(F.col("text").cast("string")), "toxic").limit(sample).select("text", "toxic")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        m = train(texts, marks)
+        yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "bias": m.bias, "scale": m.scale, "shift": m.shift, "none": m.none}])
+
+    # The bounded sample is one task's work on an executor; the driver gets the weights only.
+    m = rows.coalesce(1).mapInArrow(trained, "weights binary, bias double, scale double, shift double, none boolean").first()
+    return Model(np.frombuffer(m["weights"], np.float32), m["bias"], m["scale"], m["shift"], m["none"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
