@@ -222,6 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: i
 
     # The bounded sample is one task's work on an executor; the driver gets the weights only.
     m = rows.coalesce(1).mapInArrow(trained, "weights binary, bias double, scale double, shift double, none boolean").first()
+    if m is None:  # not a row, and so not a task
+        return train([], [])
     return Model(np.frombuffer(m["weights"], np.float32), m["bias"], m["scale"], m["shift"], m["none"])
 
 
