@@ -109,7 +109,8 @@ def interactive(n: Node) -> bool:
 
 
 def credential(n: Node) -> bool:
-    return n.get("autocomplete").lower().strip() in CREDENTIAL_AUTOCOMPLETE or (n.tag == "input" and n.get("type").lower() in CREDENTIAL_TYPES) or n.get("data-privagent-sensitive") == "true"
+    """Fields whose value must never be read; pages mark others with ``data-<name>-sensitive="true"``."""
+    return n.get("autocomplete").lower().strip() in CREDENTIAL_AUTOCOMPLETE or (n.tag == "input" and n.get("type").lower() in CREDENTIAL_TYPES) or any(k.startswith("data-") and k.endswith("-sensitive") and v == "true" for k, v in n.at.items())
 
 
 def _half_up(x: float) -> int:

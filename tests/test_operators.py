@@ -82,7 +82,7 @@ def test_loop_batch_and_stream_agree(spark, tmp_path):
 HTML = """<html><head><title>T</title></head><body><a href="/x"> Home <b>page</b></a><a>no</a><input type="hidden" name="h"><input type="PASSWORD"><input autocomplete="cc-csc">
 <label for="q">Search <i>it</i></label><input id="q" value="secret"><label>Agree<input type="checkbox"></label><div style="display:none"><button>gone</button></div>
 <button aria-label=" Close ">x</button><span role="tab" tabindex="-1">Tab</span><p tabindex="0">P</p><p tabindex="-1">N</p><select><option>One</option></select>
-<textarea name="n">typed</textarea><div data-privagent-sensitive="true" role="button">s</div><button style="width:0">w</button></body></html>"""
+<textarea name="n">typed</textarea><div data-agent-sensitive="true" role="button">s</div><button style="width:0">w</button></body></html>"""
 
 
 def test_dom_scan():
