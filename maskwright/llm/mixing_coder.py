@@ -1,22 +1,35 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
-
-A block codes up to ``BLOCK_IDS`` ids and knows nothing of other blocks: its
-models start fresh and its bytes end with a checksum.  So blocks are coded side
-by side, as lanes of numpy vectors: each step codes the next id of every block.
-
-An id is coded as
-
-1. a flag: is it the id that last followed the two ids before (order 2)?
-2. if not, a flag: is it the one that last followed the id before (order 1)?
-3. if not, its high and low byte by adaptive order-0 counts.
-
-A flag's probability mixes three predictions in the logistic domain - the hit
-rates at the order's confidence, at the other order's, and of all flags so far -
-with weights that learn from each flag.  All arithmetic is in integers, so any
-machine decodes what another encoded.
-
-Block bytes: ids (4), payload length (4), crc32 of the ids as little-endian
-32-bit numbers (4), payload.  A wrong checksum raises ``ValueError``.
+"""Adaptive context-mixing range coder for token ids.
+
+A block codes up to ``BLOCK_IDS`` ids of at most ``DISTINCT`` kinds and knows
+nothing of other blocks: its models start fresh and a checksum guards its ids.
+The block opens with its distinct ids; what is coded are their ranks.  Its
+sequence is cut into up to ``LANES`` stretches that share the block's models and
+are coded in step, as numpy vectors: each step codes the next id of every
+stretch, so the models learn from all of them at once.
+
+Three predictions are mixed:
+
+* order 2: the id that last followed the two ids before, and how often in a row;
+* order 1: the id that last followed the id before, likewise;
+* order 0: each id's share of the block so far.
+
+The chance that the order-2 guess is right, and that the order-1 guess is right
+if that one is wrong, are mixed in the logistic domain from the hit rates at the
+order-2 confidence, at the order-1 confidence and at the guess's order-0 share,
+with weights that learn from the outcomes; what the very context has shown so
+far then refines the mixture.  The outcome is one range-coded symbol of three.
+An id that neither order guessed follows by the order-0 counts of such ids.
+
+Contexts are few (``CONTEXTS``), so probabilities are tables that are made anew
+after every few thousand ids; a step only looks them up.  All arithmetic is in
+integers (a quotient below 2^16 of integers below 2^48 is exact in doubles), so
+any machine decodes what another encoded.
+
+Block bytes: ids, stretches, distinct ids, bytes of the dictionary (4 each),
+crc32 of all that follows and of the ids as little-endian 32-bit numbers (4),
+the dictionary (zlib over gaps), 16-bit digits of each stretch (2 each), the
+digits.  A damaged block
+raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -27,16 +40,23 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
-#: Lanes in step: bounds the models' memory (140 kB a lane).
-LANES = 768
-SLOTS = 4096
-TOP, BOT, MASK = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-U = np.uint64
-HIGH = 1 << 8
-STEP, LIMIT = 24, 1 << 15
-HEAD = struct.Struct("<III")
-MAX_ID = (1 << 16) - 1
+BLOCK_IDS = 1 << 20
+DISTINCT = 1 << 15
+LANES = 2048
+#: Ids of a stretch, at least: what its last digit and its length cost is shared by them.
+STRETCH_IDS = 128
+#: Order-2 contexts are hashed to so many places.
+PLACES = 1 << 17
+#: Ids after which the tables are made anew, at most; a young block's are made anew sooner.
+REFRESH = 1 << 14
+SURE = 7
+#: Confidence of both orders (3 bits each), whether they agree, order-0 shares of both guesses (3 bits each).
+CONTEXTS = 1 << 13
+#: So many outcomes weigh the mixture against what a context itself has shown.
+PRIOR = 24
+TOTAL = 1 << 16
+MAX_ID = (1 << 32) - 1
+HEAD = struct.Struct("<IIIII")
 
 
 def _squash_table() -> np.ndarray:
@@ -44,250 +64,259 @@ def _squash_table() -> np.ndarray:
     return np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 
 
-def _stretch_table(squash: np.ndarray) -> np.ndarray:
-    """The logit of a probability: the inverse of the squash table, in integers."""
-    return (np.searchsorted(squash, np.arange(4096)) - 2047).clip(-2047, 2047)
-
-
 SQUASH = _squash_table()
-STRETCH = _stretch_table(SQUASH)
-#: What counting symbol s adds to 17 cumulative counts.
-GROWTH = ((np.arange(17)[None, :] > np.arange(16)[:, None]) * STEP).astype(np.uint16)
+#: The logit of a probability: the inverse of the squash table, in integers.
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047)
+
+_context = np.arange(CONTEXTS)
+SURE_2, SURE_1, AGREE, SHARE_2, SHARE_1 = _context >> 10, _context >> 7 & 7, _context >> 6 & 1, _context >> 3 & 7, _context & 7
+
+
+class _Flag:
+    """Mixes the chance of one outcome, for every context, from three rates."""
+
+    def __init__(self, keys: list[np.ndarray]):
+        self.keys = keys
+        self.hits = [np.full(int(k.max()) + 1, 1, np.int64) for k in keys]
+        self.tries = [np.full(len(h), 2, np.int64) for h in self.hits]
+        self.weights = np.full((2, 3), 26000, np.int64)
+        self.own_hits, self.own_tries = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
+
+    def chances(self) -> np.ndarray:
+        """Chance of each context, of 4096 parts of 256."""
+        self.logits = np.stack([STRETCH[(h * 4096 // t).clip(1, 4095)][k] for k, h, t in zip(self.keys, self.hits, self.tries, strict=True)])
+        self.mixed = SQUASH[((self.weights[AGREE].T * self.logits).sum(0) >> 16).clip(-2047, 2047) + 2047]
+        return (self.own_hits * (4096 * 256) + PRIOR * 256 * self.mixed) // (self.own_tries + PRIOR)
+
+    def learn(self, hits: np.ndarray, tries: np.ndarray) -> None:
+        error = hits * 4096 - tries * self.mixed
+        for a in (0, 1):
+            n = int(tries[AGREE == a].sum())
+            if n:
+                slope = (self.logits[:, AGREE == a] * error[AGREE == a]).sum(1) // n
+                self.weights[a] = (self.weights[a] + (slope * 3 >> 6)).clip(-(1 << 17), 1 << 17)
+        for k, h, t in zip(self.keys, self.hits, self.tries, strict=True):
+            h += np.bincount(k, hits, len(h)).astype(np.int64)
+            t += np.bincount(k, tries, len(t)).astype(np.int64)
+        self.own_hits += hits
+        self.own_tries += tries
 
 
 class _Lanes:
-    """Models and coder state of n blocks."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.low, self.range = np.zeros(n, U), np.full(n, 0xFFFFFFFF, U)
-        # Byte counts: table 0 of high bytes, table 1 + h of low bytes below h. Cumulative counts of
-        # the 16 groups of a byte's high half, and within each group; all start even.
-        self.groups = np.tile((np.arange(17) * 32).astype(np.uint16), (n * (HIGH + 1), 1))
-        self.within = np.tile((np.arange(17) * 2).astype(np.uint16), (n * (HIGH + 1) * 16, 1))
-        self.guess = np.zeros((2, n, SLOTS), np.int32)  # id + 1; 0: none yet
-        self.sure = np.zeros((2, n, SLOTS), np.int8)
-        self.rates = np.full((3, n, 16), 2048, np.int64)
-        self.weights = np.full((n, 2, 3), 24000, np.int64)
-        self.one = np.zeros(n, np.int64)
-        self.two = np.zeros(n, np.int64)
-
-    # -- predictions
-
-    def slots(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        one = self.one[:m] * 40503 & (SLOTS - 1)
-        two = (self.one[:m] * 2654435761 + self.two[:m] * 40503 >> 7) & (SLOTS - 1)
-        return one, two
-
-    def mixed(self, lanes: np.ndarray, order: int, mine: np.ndarray, other: np.ndarray):
-        """Probability of a hit, and what the update needs."""
-        p = np.stack([self.rates[order, lanes, mine], self.rates[1 - order, lanes, other], self.rates[2, lanes, 0]], 1)
-        s = STRETCH[p]
-        w = self.weights[lanes, order]
-        logit = ((w * s).sum(1) >> 16).clip(-2047, 2047)
-        return SQUASH[logit + 2047], s
-
-    def learn(self, lanes: np.ndarray, order: int, mine: np.ndarray, hit: np.ndarray, p: np.ndarray, s: np.ndarray) -> None:
-        goal = hit.astype(np.int64) << 12
-        self.weights[lanes, order] += (s * ((goal - p) * 6)[:, None]) >> 10
-        goal = np.minimum(goal, 4095)
-        old = self.rates[order, lanes, mine]
-        self.rates[order, lanes, mine] = (old + ((goal - old) >> 5)).clip(1, 4094)
-        old = self.rates[2, lanes, 0]
-        self.rates[2, lanes, 0] = (old + ((goal - old) >> 5)).clip(1, 4094)
-
-    def settle(self, m: int, ids: np.ndarray, slots: tuple[np.ndarray, np.ndarray]) -> None:
-        """Both orders remember the id; a right guess gains confidence."""
-        lanes = np.arange(m)
-        for order, slot in enumerate(slots):
-            right = self.guess[order, lanes, slot] == ids + 1
-            sure = self.sure[order, lanes, slot]
-            self.sure[order, lanes, slot] = np.where(right, np.minimum(sure + 1, 15), sure >> 1)
-            lost = ~right & (sure <= 1)
-            self.guess[order, lanes[lost], slot[lost]] = ids[lost] + 1
-        self.two[:m] = self.one[:m]
-        self.one[:m] = ids
-
-    def count(self, table: np.ndarray, symbol: np.ndarray) -> None:
-        """Count the symbols once more; a table is halved at the limit."""
-        group, half = symbol >> 4, symbol & 15
-        sums = self.groups[table] + GROWTH[group]
-        self.groups[table] = sums
-        inner = table * 16 + group
-        self.within[inner] += GROWTH[half]
-        for t in table[sums[:, 16] > LIMIT]:
-            single = (np.diff(self.within[t * 16 : t * 16 + 16].astype(np.int64), axis=1) + 1) >> 1
-            self.within[t * 16 : t * 16 + 16, 1:] = np.cumsum(single, axis=1)
-            self.groups[t, 1:] = np.cumsum(single.sum(1))
-
-    def narrow(self, lanes: np.ndarray, table: np.ndarray, symbol: np.ndarray) -> None:
-        """Code one byte with its table's counts, then count it."""
-        group, half = symbol >> 4, symbol & 15
-        inner = self.within[table * 16 + group]
-        rows = np.arange(len(lanes))
-        start = inner[rows, half]
-        self.shrink(lanes, self.groups[table, group].astype(U) + start, (inner[rows, half + 1] - start).astype(U), self.groups[table, 16].astype(U))
-        self.count(table, symbol)
-
-    def shrink(self, lanes, cum, freq, total):
-        part = self.range[lanes] // total
-        self.low[lanes] = (self.low[lanes] + cum * part) & MASK
-        self.range[lanes] = part * freq
-        while True:
-            lo, rg = self.low[lanes], self.range[lanes]
-            same = (lo ^ ((lo + rg) & MASK)) < TOP
-            small = ~same & (rg < BOT)
-            need = same | small
-            if not need.any():
-                return
-            at = lanes[need]
-            self.range[at] = np.where(small[need], (~lo[need] + U(1)) & (BOT - U(1)), rg[need])
-            self.shift(at)
-            self.low[at] = (self.low[at] << U(8)) & MASK
-            self.range[at] = (self.range[at] << U(8)) & MASK
-            lanes = at
-
-    def run(self, sizes: np.ndarray, code) -> None:
-        """``code(lanes, step)`` objects: sizes descend, so the lanes still on are the first ones."""
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            m = int(np.searchsorted(-sizes, -t, side="left"))
-            self.step(t, m, code)
-
-    def step(self, t: int, m: int, code) -> None:
-        lanes = np.arange(m)
-        slots = self.slots(m)
-        guesses = [self.guess[o, lanes, slots[o]] - 1 for o in (0, 1)]
-        sures = [self.sure[o, lanes, slots[o]].astype(np.int64) for o in (0, 1)]
-        ids = np.full(m, -1, np.int64)
-        left = lanes
-        for order in (1, 0):
-            ask = guesses[order][left] >= 0
-            if order == 0:
-                ask &= guesses[0][left] != guesses[1][left]
-            at = left[ask]
-            if len(at):
-                mine, other = sures[order][at], sures[1 - order][at]
-                p, s = self.mixed(at, order, mine, other)
-                hit = code.flag(self, t, at, guesses[order][at], p.astype(U))
-                self.learn(at, order, mine, hit, p, s)
-                ids[at[hit]] = guesses[order][at[hit]]
-                left = left[ids[left] < 0]
-        if len(left):
-            table = left * (HIGH + 1)
-            high = code.symbol(self, t, left, table, 8)
-            self.narrow(left, table, high)
-            table = table + 1 + high
-            low = code.symbol(self, t, left, table, 0)
-            self.narrow(left, table, low)
-            ids[left] = high << 8 | low
-        self.settle(m, ids, slots)
+    """Models of a block, and the coder state of its stretches."""
+
+    def __init__(self, n: int, lanes: int, kinds: int):
+        self.n, self.lanes, self.kinds = n, lanes, kinds
+        self.steps = -(-n // lanes)
+        self.full = n - (lanes - 1) * self.steps  # steps of the last stretch, the only shorter one
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.after = np.zeros(kinds, np.int64)  # rank << 3 | confidence
+        self.after_two = np.zeros(PLACES, np.int64)
+        self.flags = _Flag([SURE_2, SURE_1 << 1 | AGREE, SHARE_2]), _Flag([SURE_2, SURE_1, SHARE_1])
+        self.all, self.missed = np.ones(kinds, np.int64), np.ones(kinds, np.int64)
+        self.range = np.full(lanes, 1 << 48, np.int64)
+        self.contexts, self.outcomes, self.ranks, self.misses = [], [], [], []
+        self.tables()
+
+    def tables(self) -> None:
+        """Probabilities of all contexts and order-0 ranges, from what was counted so far."""
+        two, one = (f.chances() for f in self.flags)
+        self.end_two = (two * TOTAL // (4096 * 256)).clip(1, TOTAL - 2)
+        rest = TOTAL - self.end_two
+        width = (one * rest // (4096 * 256)).clip(1, rest - 1)
+        self.end_one = np.where(AGREE, self.end_two, self.end_two + width)
+        share = self.all * 4096 // int(self.all.sum())
+        # log2 of the share: under 1/2048, 1/1024, ... up to 1/32 and above.
+        self.share = np.searchsorted([2, 4, 8, 16, 32, 64, 128], share, side="right")
+        width = 1 + self.missed * (TOTAL - self.kinds) // int(self.missed.sum())
+        width[int(np.argmax(width))] += TOTAL - int(width.sum())
+        self.starts = np.concatenate([[0], np.cumsum(width)])
+        self.slots = np.repeat(np.arange(self.kinds), width)
+
+    def refresh(self) -> None:
+        seen = np.bincount(np.concatenate(self.contexts) * 3 + np.concatenate(self.outcomes), minlength=3 * CONTEXTS).reshape(-1, 3)
+        tries = seen.sum(1)
+        self.flags[0].learn(seen[:, 0], tries)
+        self.flags[1].learn(np.where(AGREE, 0, seen[:, 1]), np.where(AGREE, 0, tries - seen[:, 0]))
+        self.all += np.bincount(np.concatenate(self.ranks), minlength=self.kinds)
+        if self.misses:
+            self.missed += np.bincount(np.concatenate(self.misses), minlength=self.kinds)
+        self.contexts, self.outcomes, self.ranks, self.misses = [], [], [], []
+        self.tables()
+
+    def run(self) -> None:
+        due = 0
+        for t in range(self.steps):
+            m = self.lanes if t < self.full else self.lanes - 1
+            self.step(t, m)
+            due += m
+            if due * 4 >= min(t * self.lanes, 4 * REFRESH):
+                self.refresh()
+                due = 0
+
+    def step(self, t: int, m: int) -> None:
+        one, two = self.one[:m], self.two[:m]
+        place = ((one << 15 | two) * 2654435761 >> 24) & (PLACES - 1)
+        first, second = self.after[one], self.after_two[place]
+        guess_1, sure_1, guess_2, sure_2 = first >> 3, first & SURE, second >> 3, second & SURE
+        context = (((sure_2 << 3 | sure_1) << 1 | (guess_1 == guess_2)) << 3 | self.share[guess_2]) << 3 | self.share[guess_1]
+        rank, outcome = self.code(t, m, guess_2, guess_1, self.end_two[context], self.end_one[context])
+        right = outcome == 0
+        self.after_two[place] = np.where(right, second + (sure_2 < SURE), np.where(sure_2 > 1, guess_2 << 3 | sure_2 >> 1, rank << 3))
+        right = rank == guess_1
+        self.after[one] = np.where(right, first + (sure_1 < SURE), np.where(sure_1 > 1, guess_1 << 3 | sure_1 >> 1, rank << 3))
+        self.contexts.append(context)
+        self.outcomes.append(outcome)
+        self.ranks.append(rank)
+        self.two[:m] = one
+        self.one[:m] = rank
 
 
 class _Encoder(_Lanes):
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
-        super().__init__(len(sizes))
-        self.ids = ids
-        self.out = np.zeros((len(sizes), 6 * ids.shape[1] + 16), np.uint8)
-        self.pos = np.zeros(len(sizes), np.int64)
-        self.run(sizes, self)
-        for _ in range(4):
-            self.shift(np.arange(self.n))
-            self.low = (self.low << U(8)) & MASK
-
-    def shift(self, at: np.ndarray) -> None:
-        self.out[at, self.pos[at]] = (self.low[at] >> U(24)).astype(np.uint8)
-        self.pos[at] += 1
-
-    @staticmethod
-    def flag(self, t, at, guess, p):
-        hit = self.ids[at, t] == guess
-        self.shrink(at, np.where(hit, U(0), p), np.where(hit, p, U(4096) - p), U(4096))
-        return hit
-
-    @staticmethod
-    def symbol(self, t, at, table, shift):
-        return self.ids[at, t] >> shift & 255
+    def __init__(self, ranks: np.ndarray, lanes: int, kinds: int):
+        super().__init__(len(ranks), lanes, kinds)
+        padded = np.zeros(self.steps * lanes, np.int64)
+        padded[: self.n] = ranks
+        self.at = np.ascontiguousarray(padded.reshape(lanes, self.steps).T)
+        self.low = np.zeros(lanes, np.int64)
+        #: Digits by place, then stretch; a carry stays in its digit's 17th bit until the end.
+        self.out = np.zeros((2 * self.steps + 2, lanes), np.uint32)
+        self.pos = np.zeros(lanes, np.int64)
+        self.every = np.arange(lanes)
+        self.run()
+        self.out[self.pos, self.every] = (self.low + 0xFFFFFFFF) >> 32
+        self.pos += 1
+        for i in range(len(self.out) - 1, 0, -1):
+            self.out[i - 1] += self.out[i] >> 16
+        self.out &= 0xFFFF
+
+    def code(self, t, m, guess_2, guess_1, end_two, end_one):
+        rank = self.at[t, :m]
+        hit, miss = rank == guess_2, (rank != guess_2) & (rank != guess_1)
+        start = np.where(hit, 0, np.where(miss, end_one, end_two))
+        stop = np.where(hit, end_two, np.where(miss, TOTAL, end_one))
+        low, width, pos = self.narrow(self.low[:m], self.range[:m], self.pos[:m], self.every[:m], start, stop)
+        at = np.flatnonzero(miss)
+        if len(at):
+            lost = rank[at]
+            low[at], width[at], pos[at] = self.narrow(low[at], width[at], pos[at], at, self.starts[lost], self.starts[lost + 1])
+            self.misses.append(lost)
+        self.low[:m], self.range[:m], self.pos[:m] = low, width, pos
+        return rank, np.where(hit, 0, 1 + miss)
+
+    def narrow(self, low, width, pos, lane, start, stop):
+        part = width >> 16
+        low = low + start * part
+        width = (stop - start) * part
+        need = width < 1 << 32
+        full = np.flatnonzero(need)
+        self.out[pos[full], lane[full]] = low[full] >> 32
+        low[full] = (low[full] & 0xFFFFFFFF) << 16
+        width[full] <<= 16
+        return low, width, pos + need
 
 
 class _Decoder(_Lanes):
-    def __init__(self, payloads: list[bytes], sizes: np.ndarray):
-        super().__init__(len(sizes))
-        wide = max(map(len, payloads), default=0) + 8
-        self.data = np.zeros((len(payloads), wide), np.uint8)
-        for i, p in enumerate(payloads):
-            self.data[i, : len(p)] = np.frombuffer(p, np.uint8)
-        self.pos = np.full(len(sizes), 4)
-        self.code = np.zeros(len(sizes), U)
-        for i in range(4):
-            self.code = self.code << U(8) | self.data[:, i].astype(U)
-        self.ids = np.zeros((len(sizes), int(sizes[0]) if len(sizes) else 0), np.int64)
-        self.run(sizes, self)
-
-    def shift(self, at: np.ndarray) -> None:
-        self.code[at] = ((self.code[at] << U(8)) & MASK) | self.data[at, np.minimum(self.pos[at], self.data.shape[1] - 1)].astype(U)
-        self.pos[at] += 1
-
-    def settle(self, m, ids, slots):
-        self.ids[:m, int(self.t)] = ids
-        super().settle(m, ids, slots)
-
-    def step(self, t, m, code):
-        self.t = t
-        super().step(t, m, code)
-
-    def target(self, at, total):
-        part = self.range[at] // total
-        return np.minimum(((self.code[at] - self.low[at]) & MASK) // part, total - U(1))
-
-    @staticmethod
-    def flag(self, t, at, guess, p):
-        hit = self.target(at, U(4096)) < p
-        self.shrink(at, np.where(hit, U(0), p), np.where(hit, p, U(4096) - p), U(4096))
-        return hit
-
-    @staticmethod
-    def symbol(self, t, at, table, shift):
-        sums = self.groups[table]
-        goal = self.target(at, sums[:, 16].astype(U)).astype(np.uint16)
-        group = (sums[:, 1:] <= goal[:, None]).sum(1)
-        goal -= sums[np.arange(len(at)), group]
-        return group << 4 | (self.within[table * 16 + group][:, 1:] <= goal[:, None]).sum(1)
+    def __init__(self, n: int, lanes: int, kinds: int, lengths: np.ndarray, digits: np.ndarray):
+        # Behind its last digit a stretch reads zeros.
+        self.data = np.zeros(len(digits) + 3 * lanes + 3, np.int64)
+        before = np.cumsum(lengths) - lengths
+        gap = 3 * np.arange(lanes)
+        self.data[np.arange(len(digits)) + np.repeat(gap, lengths)] = digits
+        self.pos = before + gap
+        self.value = self.data[self.pos] << 32 | self.data[self.pos + 1] << 16 | self.data[self.pos + 2]
+        self.pos += 3
+        super().__init__(n, lanes, kinds)
+        self.at = np.zeros((self.steps, lanes), np.int64)
+        self.run()
+
+    def code(self, t, m, guess_2, guess_1, end_two, end_one):
+        value, width, pos = self.value[:m], self.range[:m], self.pos[:m]
+        part = width >> 16
+        goal = (value / part).astype(np.int64)
+        hit, miss = goal < end_two, goal >= end_one
+        start = np.where(hit, 0, np.where(miss, end_one, end_two))
+        stop = np.where(hit, end_two, np.where(miss, TOTAL, end_one))
+        value, width, pos = self.narrow(value, part, pos, start, stop)
+        rank = np.where(hit, guess_2, guess_1)
+        at = np.flatnonzero(miss)
+        if len(at):
+            part = width[at] >> 16
+            lost = self.slots[(value[at] / part).astype(np.int64).clip(0, TOTAL - 1)]
+            value[at], width[at], pos[at] = self.narrow(value[at], part, pos[at], self.starts[lost], self.starts[lost + 1])
+            rank[at] = lost
+            self.misses.append(lost)
+        self.value[:m], self.range[:m], self.pos[:m] = value, width, pos
+        self.at[t, :m] = rank
+        return rank, np.where(hit, 0, 1 + miss)
+
+    def narrow(self, value, part, pos, start, stop):
+        value = value - start * part
+        width = (stop - start) * part
+        need = width < 1 << 32
+        full = np.flatnonzero(need)
+        # A damaged block may ask for more digits than there are; its checksum then fails.
+        value[full] = value[full] << 16 | self.data[np.minimum(pos[full], len(self.data) - 1)]
+        width[full] <<= 16
+        return value & 0xFFFFFFFFFFFF, width, pos + need
+
+
+def _lanes(n: int) -> int:
+    """Stretches of a block of n ids; each but the last is equally long, and none is empty."""
+    steps = max(STRETCH_IDS, -(-n // LANES))
+    return -(-n // steps)
+
+
+def _block(ids: np.ndarray) -> bytes:
+    kinds, ranks = np.unique(ids, return_inverse=True)
+    e = _Encoder(ranks, _lanes(len(ids)), len(kinds))
+    dictionary = zlib.compress(np.diff(kinds, prepend=0).astype("<u4").tobytes(), 6)
+    digits = e.out.T[np.arange(len(e.out)) < e.pos[:, None]]
+    body = dictionary + e.pos.astype("<u2").tobytes() + digits.astype("<u2").tobytes()
+    return HEAD.pack(len(ids), e.lanes, len(kinds), len(dictionary), _checksum(body, ids)) + body
+
+
+def _checksum(body: bytes, ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(body))
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
-    """Blocks of a sequence of ids below 65,536."""
+    """Blocks of a sequence of ids below 2^32."""
     if len(ids) and (ids.min() < 0 or ids.max() > MAX_ID):
-        raise ValueError("ids must be between 0 and 65,535")
-    cuts = [ids[i : i + block_ids] for i in range(0, len(ids), block_ids)]
-    out = []
-    for k in range(0, len(cuts), LANES):
-        part = cuts[k : k + LANES]  # only the last block of all is shorter
-        sizes = np.array([len(x) for x in part])
-        table = np.zeros((len(part), sizes[0]), np.int64)
-        for i, x in enumerate(part):
-            table[i, : len(x)] = x
-        e = _Encoder(table, sizes)
-        for i, x in enumerate(part):
-            data = e.out[i, : e.pos[i]].tobytes()
-            out.append(HEAD.pack(len(x), len(data), zlib.crc32(x.astype("<u4").tobytes())) + data)
+        raise ValueError("ids must be between 0 and 2^32 - 1")
+    out, at = [], 0
+    while at < len(ids):
+        n = min(block_ids, len(ids) - at)
+        while n > DISTINCT and len(np.unique(ids[at : at + n])) > DISTINCT:
+            n //= 2
+        out.append(_block(np.asarray(ids[at : at + n], np.int64)))
+        at += n
     return out
 
 
+def _ids(block: bytes) -> np.ndarray:
+    if len(block) < HEAD.size:
+        raise ValueError("a block is cut short")
+    n, lanes, kinds, size, check = HEAD.unpack_from(block)
+    if not n or lanes != _lanes(n) or not 0 < kinds <= DISTINCT:
+        raise ValueError("a block's head is wrong")
+    at = HEAD.size + size
+    if len(block) < at + 2 * lanes:
+        raise ValueError("a block is cut short")
+    try:
+        gaps = np.frombuffer(zlib.decompress(block[HEAD.size : at]), "<u4")
+    except zlib.error as e:
+        raise ValueError("a block's dictionary is damaged") from e
+    lengths = np.frombuffer(block, "<u2", lanes, at).astype(np.int64)
+    if len(gaps) != kinds or len(block) != at + 2 * lanes + 2 * int(lengths.sum()):
+        raise ValueError("a block is cut short")
+    d = _Decoder(n, lanes, kinds, lengths, np.frombuffer(block, "<u2", offset=at + 2 * lanes))
+    ids = np.cumsum(gaps, dtype=np.int64)[d.at.T.reshape(-1)[:n]]
+    if _checksum(block[HEAD.size :], ids) != check:
+        raise ValueError("a block's checksum is wrong")
+    return ids
+
+
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block."""
-    heads = [HEAD.unpack_from(b) for b in blocks]
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
-    out: list = [None] * len(blocks)
-    for k in range(0, len(order), LANES):
-        part = order[k : k + LANES]
-        sizes = np.array([heads[i][0] for i in part])
-        for i in part:
-            if len(blocks[i]) != HEAD.size + heads[i][1]:
-                raise ValueError("a block is cut short")
-        d = _Decoder([blocks[i][HEAD.size :] for i in part], sizes)
-        for row, i in enumerate(part):
-            ids = d.ids[row, : heads[i][0]]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
-                raise ValueError("a block's checksum is wrong")
-            out[i] = ids
-    return out
+    return [_ids(b) for b in blocks]

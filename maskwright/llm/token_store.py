@@ -1,43 +1,56 @@
-"""Token ids in compressed binary blocks, written and read back.
+"""Token ids in compressed binary files, written and read back.
 
 Texts are encoded by a public tokenizer, an end id follows each, and the ids, in
-ascending order of the documents, are cut into blocks of ``BLOCK_IDS`` for the
-context-mixing coder (:mod:`maskwright.llm.mixing_coder`).  Blocks are reset and
-checksummed on their own, so any of them can be read alone.  On a cluster a
-store is a Parquet table with a row a segment: its documents, their sizes and
-its blocks' bytes; :func:`write_file` and :func:`read_file` put the same blocks
-into a plain file with an index.
+ascending order of the documents, are cut into segments whose ids the
+context-mixing coder (:mod:`maskwright.llm.mixing_coder`) turns into blocks.
+Blocks are reset and checksummed on their own.
+
+A store is a folder of files, one a partition of the documents.  A file is
+
+    MAGIC, segments, index, footer
+
+* segment: bytes of its directory (4), number of blocks (4), each block's bytes
+  (4), the directory - an Arrow stream of (doc_id, n_tokens) -, the blocks;
+* index: offset, bytes and ids of each segment (8 each);
+* footer: offset of the index (8), number of segments (8), MAGIC.
+
+So a reader finds any segment from the index and reads nothing else.  Files are
+written under a name of the attempt and renamed when whole: a task that is lost
+or run twice leaves the same file.  They go to ``spark.checkpoint.dir`` through
+Arrow's file systems (local and mounted paths, HDFS, S3, GCS, ABFS).
 
 Encoding splits a text where a blank precedes a character that isn't white
 space: the byte-level pre-tokenizer always starts a token there, so a stretch
 between two such places is encoded once a task and looked up afterwards.
 
-Scale: one range shuffle by id, then narrow passes; a document's start is its
-partition's start, known from one row a segment, plus its place in the
-partition.  Memory is that of a segment of ``SEGMENT_BYTES`` of text, or one
-text, and of the coder's lanes.
+Scale: one range shuffle by id and text, then narrow passes.  Reading deals out
+segments, not files.  A document's start is its partition's start, added up from
+one number a partition, plus its place in the partition.  Memory is that of a
+segment of ``SEGMENT_BYTES`` of text, or one text, and of one block.
 
 Defined cases: null and empty texts are just the end id; null ids come first;
 repeated rows are stored again, in the order of their texts' hashes; an empty
-table gives an empty store; other columns are not read.
+table gives a store without files; other columns are not read.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
-import zlib
+import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from maskwright.llm import mixing_coder
-from maskwright.llm.common import persist
+from maskwright.llm.common import persist, scratch
 
 END_ID = 2
 SEGMENT_BYTES = 8 << 20
@@ -46,6 +59,19 @@ STRETCHES = 500_000
 ODD = re.compile(r" (?=\s)| $")
 CUT = re.compile(r"(?= \S)")
 MAGIC = b"MWTOKENS"
+ENTRY, FOOTER = struct.Struct("<QQQ"), struct.Struct("<QQ8s")
+
+
+class _Numbers(dict):
+    """Stretches by number; one that is asked for first gets the next and waits to be encoded."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self.waiting.append(stretch)
+        n = self[stretch] = len(self)
+        return n
 
 
 class Encoder:
@@ -56,128 +82,200 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.known: dict[str, list[int]] = {}
-
-    def stretches(self, text: str) -> list[str]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Numbers()
+        #: Ids of all stretches behind one another, and where each begins; number 0 is the end id.
+        self.known[None] = 0
+        self.ids, self.begin = np.array([self.end_id], np.int64), np.array([0, 1], np.int64)
+
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        if not text:
+            return []
         if ODD.search(text):
             return CUT.split(text)
         first, *rest = text.split(" ")
         out = [" " + x for x in rest]
         return [first, *out] if first else out
 
-    def __call__(self, text: str) -> np.ndarray:
-        known = self.known
-        if len(known) > STRETCHES:
-            known.clear()
-        cut = self.stretches(text) if text else []
-        new = list(set(cut).difference(known))
-        if new:
-            for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[s] = e.ids
-        ids = list(chain.from_iterable(map(known.__getitem__, cut)))
-        ids.append(self.end_id)
-        return np.array(ids, np.int64)
-
-
-def _encoded(path: str, end_id: int, kind_ids: pa.DataType):
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts behind one another, each text's with the end id, and their numbers."""
+        if len(self.known) > STRETCHES:
+            self.forget()
+        parts, end = [], np.zeros(1, np.int64)
+        for text in texts:
+            cut = self.stretches(text)
+            parts += [np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut)), end]
+        if self.known.waiting:
+            new = [e.ids for e in self.tokenizer.encode_batch(self.known.waiting, add_special_tokens=False)]
+            self.known.waiting.clear()
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            self.ids = np.concatenate([self.ids, *(np.array(x, np.int64) for x in new)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        number = np.concatenate([*parts, np.empty(0, np.int64)])
+        begin = self.begin[number]
+        size = self.begin[number + 1] - begin
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
+        last = np.cumsum([len(x) for x in parts[::2]]) + np.arange(len(texts))
+        return ids, np.diff(stop[last], prepend=0) if len(texts) else np.empty(0, np.int64)
+
+
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _segment(names: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    blocks = mixing_coder.encode(ids)
+    batch = pa.RecordBatch.from_arrays([names, pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    directory = sink.getvalue()
+    return b"".join([struct.pack(f"<II{len(blocks)}I", len(directory), len(blocks), *map(len, blocks)), directory, *blocks])
+
+
+def _opened(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names, numbers of ids, and ids of a segment."""
+    size, n = struct.unpack_from("<II", data)
+    lengths = struct.unpack_from(f"<{n}I", data, 8)
+    at = 8 + 4 * n
+    table = pa.ipc.open_stream(data[at : at + size]).read_all()
+    at += size
+    blocks = []
+    for x in lengths:
+        blocks.append(data[at : at + x])
+        at += x
+    ids = np.concatenate([*mixing_coder.decode(blocks), np.empty(0, np.int64)])
+    sizes = np.asarray(table["n_tokens"])
+    if at != len(data) or len(ids) != sizes.sum():
+        raise ValueError("a segment's ids don't fit its documents")
+    return table["doc_id"].combine_chunks(), sizes, ids
+
+
+class FileWriter:
+    """One file of segments; nothing is seen under its name before it is whole."""
+
+    def __init__(self, path: str):
+        self.fs, self.path = _file_system(path)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.draft = f"{self.path}.{uuid.uuid4().hex}.draft"
+        self.out = self.fs.open_output_stream(self.draft, compression=None)
+        self.out.write(MAGIC)
+        self.at, self.index = len(MAGIC), []
+
+    def add(self, names: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> tuple[int, int, int]:
+        """Offset, bytes and ids of the new segment."""
+        data = _segment(names, sizes, ids)
+        self.out.write(data)
+        self.index.append((self.at, len(data), len(ids)))
+        self.at += len(data)
+        return self.index[-1]
+
+    def close(self) -> None:
+        self.out.write(b"".join(ENTRY.pack(*x) for x in self.index) + FOOTER.pack(self.at, len(self.index), MAGIC))
+        self.out.close()
+        self.fs.move(self.draft, self.path)
+
+
+def read_index(path: str) -> list[tuple[int, int, int]]:
+    """Offset, bytes and ids of each segment of a file, from its end."""
+    fs, path = _file_system(path)
+    with fs.open_input_file(path) as f:
+        size = f.size()
+        if size < len(MAGIC) + FOOTER.size or f.read_at(len(MAGIC), 0) != MAGIC:
+            raise ValueError("not a token file")
+        at, n, magic = FOOTER.unpack(f.read_at(FOOTER.size, size - FOOTER.size))
+        if magic != MAGIC or at + n * ENTRY.size + FOOTER.size != size:
+            raise ValueError("not a whole token file")
+        return list(ENTRY.iter_unpack(f.read_at(n * ENTRY.size, at)))
+
+
+def read_segment(path: str, offset: int, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Document ids, their numbers of ids, and the ids of one segment; only its bytes are read."""
+    fs, path = _file_system(path)
+    with fs.open_input_file(path) as f:
+        return _opened(f.read_at(size, offset))
+
+
+def _written(path: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encode = TaskContext.get().partitionId(), Encoder(path, end_id)
-        docs, ids, size, made = [], [], 0, 0
+        name, out = f"{folder}/part-{part:06d}.tokens", None
+        names, texts, size = [], [], 0
+        rows: list[tuple] = []
 
-        def row() -> pa.RecordBatch:
-            sizes = [len(x) for x in ids]
-            blocks = mixing_coder.encode(np.concatenate(ids))
-            cells = [[part], [made], [docs], [sizes], [sum(sizes)], [blocks]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(kind_ids), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "segment", "doc_ids", "sizes", "n_ids", "blocks"])
+        def flush() -> None:
+            nonlocal out, names, texts, size
+            ids, sizes = encode(texts)
+            out = out or FileWriter(name)
+            rows.append((part, len(rows), name, len(sizes), *out.add(pa.concat_arrays(names), sizes, ids)))
+            names, texts, size = [], [], 0
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                docs.append(name)
-                ids.append(encode(text))
-                size += len(text) + 64
+            for i, text in enumerate(batch.column(1)):
+                names.append(batch.column(0).slice(i, 1))
+                texts.append(text.as_py() or "")
+                size += len(texts[-1]) + 64
                 if size >= SEGMENT_BYTES:
-                    yield row()
-                    docs, ids, size, made = [], [], 0, made + 1
-        if docs:
-            yield row()
+                    flush()
+        if texts:
+            flush()
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], ["part", "segment", "path", "n_docs", "offset", "bytes", "n_ids"])
 
     return run
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The store of ``docs`` in the shared folder: part, segment, doc_ids, sizes, n_ids, blocks."""
-    from pyspark.sql.pandas.types import to_arrow_type
+    """Writes the files of ``docs`` in the shared folder; a row a segment: part, segment, path, n_docs, offset, bytes, n_ids."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # The text's hash parts rows that repeat an id, or have none.
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    folder = scratch(docs.sparkSession, "store")
+    return persist(ordered.mapInArrow(_written(tokenizer_path, end_id, folder), "part int, segment int, path string, n_docs long, offset long, bytes long, n_ids long"), "segments")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    coded = ordered.mapInArrow(_encoded(tokenizer_path, end_id, to_arrow_type(rows.schema["doc_id"].dataType)), f"part int, segment int, doc_ids array<{kind}>, sizes array<long>, n_ids long, blocks array<binary>")
-    return persist(coded, "tokens")
 
+def _read(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                names, sizes, ids = read_segment(r["path"], r["offset"], r["bytes"])
+                stops = np.cumsum(sizes)
+                at = np.concatenate([[0], 4 * stops])
+                data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([names.cast(kind), pa.array(r["start"] + stops - sizes), pa.array(sizes), data.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-def _segment_ids(blocks: list[bytes]) -> np.ndarray:
-    return np.concatenate([*mixing_coder.decode(blocks), np.empty(0, np.int64)])
-
+    return run
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(len(batch)):
-            part, segment, sizes, blocks = (batch.column(j)[i].as_py() for j in (0, 1, 3, 4))
-            names = batch.column(2)[i].values
-            ids = _segment_ids(blocks).astype("<u4")
-            stops = np.cumsum(sizes)
-            if len(ids) != stops[-1]:
-                raise ValueError("a segment's ids don't fit its documents")
-            docs = np.split(ids, stops[:-1])
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), names, pa.array(stops - sizes), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in docs], pa.binary())], ["part", "segment", "doc_id", "within", "n_tokens", "ids"])
 
+def read(store: DataFrame, kind: str = "bigint") -> DataFrame:
+    """One row a document of the files that ``store`` lists: doc_id (of type ``kind``), start (ids of all documents before it), n_tokens, ids (little-endian 32-bit numbers)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
 
-def read(store: DataFrame) -> DataFrame:
-    """One row a document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit numbers)."""
     spark = store.sparkSession
-    # One number a segment, as many as there are pieces of SEGMENT_BYTES of text: added up per partition on the executors first.
+    # One number a partition of the documents.
     sums = store.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     before, total = [], 0
     for r in sums:
         before.append((r["part"], total))
         total += r["n"]
     parts = spark.createDataFrame(before, "part int, part_start long")
-    from pyspark.sql.window import Window
-
     earlier = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = store.select("part", "segment", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("segment_start")).join(parts, "part")
-    starts = starts.select("part", "segment", (F.col("part_start") + F.col("segment_start")).alias("base"))
-    kind = store.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = store.select("part", "segment", "doc_ids", "sizes", "blocks").mapInArrow(_read, f"part int, segment int, doc_id {kind}, within long, n_tokens long, ids binary")
-    return rows.join(starts, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
-
-
-def write_file(path: str, ids: np.ndarray) -> None:
-    """A sequence of ids as a plain file: magic, number of blocks, their sizes, the blocks."""
-    blocks = mixing_coder.encode(np.asarray(ids, np.int64))
-    with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<I", len(blocks)) + struct.pack(f"<{len(blocks)}I", *map(len, blocks)))
-        f.writelines(blocks)
-
-
-def read_file(path: str, first: int = 0, last: int | None = None) -> np.ndarray:
-    """The ids of blocks ``first`` up to ``last`` of a file; only these are read."""
-    with open(path, "rb") as f:
-        if f.read(len(MAGIC)) != MAGIC:
-            raise ValueError("not a token file")
-        (n,) = struct.unpack("<I", f.read(4))
-        sizes = struct.unpack(f"<{n}I", f.read(4 * n))
-        f.seek(sum(sizes[:first]), os.SEEK_CUR)
-        blocks = [f.read(x) for x in sizes[first:last]]
-    return _segment_ids(blocks)
+    starts = store.withColumn("within", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).join(parts, "part")
+    segments = starts.select("path", "offset", "bytes", (F.col("part_start") + F.col("within")).alias("start"))
+    # A segment is a task's work for seconds, so a task gets few of them.
+    n = max(1, min(store.count(), 100_000))
+    return segments.repartition(n, "start").mapInArrow(_read(to_arrow_type(_parse_datatype_string(kind))), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Writes the store, reads it back: doc_id, start, n_tokens, ids_crc32."""
-    got = read(write(docs, tokenizer_path, end_id))
+    got = read(write(docs, tokenizer_path, end_id), dict(docs.dtypes)["doc_id"])
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
