@@ -140,6 +140,8 @@ def _segment(names: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> bytes:
 def _opened(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Names, numbers of ids, and ids of a segment."""
     size, n = struct.unpack_from("<II", data)
+    if 8 + 4 * n + size > len(data):
+        raise ValueError("a segment is cut short")
     lengths = struct.unpack_from(f"<{n}I", data, 8)
     at = 8 + 4 * n
     table = pa.ipc.open_stream(data[at : at + size]).read_all()
