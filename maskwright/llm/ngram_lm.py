@@ -21,12 +21,25 @@ visit.
     blocks (one narrow pass, written)  ->  lists by shard  ->  totals by block
     blocks + totals (cogrouped by block)  ->  scores
 
-Scale: rows that are shuffled are arrays of 6-byte keys (with the shard 64 bits
-and more), sorted, so they stay near 7 bytes a distinct n-gram and block; a word
-however frequent has one entry a block.  Blocks hold ``BLOCK_BYTES`` of text and
-shards about ``SHARD_KEYS`` entries, both bounded however large the input is; a
-single text longer than a block is a block of its own.  Every table between the
-steps lies in the shared folder.
+A block writes to at most ``FAN`` places.  Where more shards are needed, lists go
+there in several hops: up to ``FAN`` blocks' lists for one place are merged into
+one, which is cut into ``FAN`` finer ones, and totals come back the same way.
+So rows grow with the blocks, ``FAN`` a block and hop, not with blocks times
+shards: 1 TB of text has 250,000 blocks, 170,000 shards of 1 million entries a
+word order, and so three hops of at most 250,000 * 56 = 14 million rows an order
+(their fan being the cube root of the shards).
+
+Scale: rows that are shuffled are arrays of 6-byte keys, sorted, so they stay
+near 7 bytes a distinct n-gram and block; a word however frequent has one entry
+a block.  Blocks hold ``BLOCK_BYTES`` of text and shards about ``SHARD_KEYS``
+entries, both bounded however large the input is; a single text longer than a
+block is a block of its own.  Every table between the steps lies in the shared
+folder.
+
+N-grams are told apart by hashes: words by 64 bits, longer ones by 48 bits beside
+their shard's number.  Two that share a hash would be one n-gram with both their
+counts: in a shard of 1 million keys that happens to one pair with a chance of
+0.002, so about one n-gram in a billion gets another one's counts added.
 
 Defined cases: null and empty texts are one end token; with nothing learnt every
 token has probability 1; repeated rows are counted and scored again; null ids
@@ -50,8 +63,10 @@ from maskwright.llm.common import fold, id_and_text, persist
 
 ORDER = 2
 MU = 256.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_KEYS = 1_000_000
+#: Places that one block's lists go to, and blocks' lists that one place merges, at most.
+FAN = 256
 #: Hashes of what isn't a word of a text: no word holds a space.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"the end", b"the start"))
 KEY_BYTES = 6
@@ -105,68 +120,67 @@ def _blocks(block_bytes: int):
 class Block:
     """A block's texts and its distinct n-grams of each order, in a fixed order.
 
-    ``grams[k]`` are the keys of the distinct (k + 1)-grams, ``at[k]`` the gram
-    that ends at each token (-1 where it would begin before the text), and
+    ``keys[k]`` are the hashes of the distinct (k + 1)-grams, ``at[k]`` the gram
+    that ends at each place (-1 where it would begin before the text), and
     ``context[k]``/``suffix[k]`` the (k)-grams without the last or first word.
     """
 
     def __init__(self, words: bytes, codes: bytes, lengths: bytes, train: bytes, order: int):
         self.words = np.frombuffer(words, np.uint64)
-        size = np.uint32 if len(self.words) > 65536 else np.uint16
-        token = np.frombuffer(codes, size).astype(np.int64)
+        token = np.frombuffer(codes, np.uint32 if len(self.words) > 65536 else np.uint16)
         self.lengths, self.train = np.frombuffer(lengths, np.int64), np.frombuffer(train, np.bool_)
         n, docs = len(token), len(self.lengths)
         # A start stands before each text; it is a context, never a token.
-        stops = np.cumsum(self.lengths)
-        begins = stops - self.lengths
-        place = np.arange(n) + np.repeat(np.arange(1, docs + 1), self.lengths)
-        text = np.ones(n + docs, np.int64)
-        text[place] = token
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.starts = self.begins + np.arange(docs)
+        text = np.ones(n + docs, np.int32)
+        text[np.arange(n) + np.repeat(np.arange(1, docs + 1), self.lengths)] = token
+        self.token = token
         learnt = np.repeat(self.train, self.lengths + 1)
-        self.token, self.begins, self.stops, self.place = token, begins, stops, place
-        self.starts = begins + np.arange(docs)
-        self.at, self.keys, self.counts, self.context, self.suffix = [], [], [], [], []
-        at = text
-        keys = self.words
-        counts = np.bincount(text, learnt, len(keys)).astype(np.int64)
-        v = len(keys)
-        self._add(at, keys, counts, None, None)
-        since = np.arange(n + docs) - np.repeat(self.starts, self.lengths + 1)
+        since = np.arange(n + docs, dtype=np.int32) - np.repeat(self.starts, self.lengths + 1).astype(np.int32)
+        self.at, self.keys, self.counts, self.context, self.suffix = [text], [self.words], [_count(text, learnt, len(self.words))], [None], [None]
         for k in range(1, order):
             ok = np.flatnonzero(since >= k)
-            pair = at[ok - 1] * v + text[ok]
+            pair = self.at[-1][ok - 1] * np.int64(len(self.words)) + text[ok]
             distinct, where = np.unique(pair, return_inverse=True)
-            now = np.full(n + docs, -1, np.int64)
-            now[ok] = where
-            context, word = distinct // v, distinct % v
-            first = np.full(len(distinct), -1, np.int64)
-            first[where] = at[ok]
-            suffix = first
-            mixed = (self.keys[k - 1][context] * np.uint64(0x9E3779B97F4A7C15)) ^ (self.words[word] + np.uint64(k))
+            del pair
+            context, word = (x.astype(np.int32) for x in np.divmod(distinct, len(self.words)))
+            suffix = np.empty(len(distinct), np.int32)
+            suffix[where] = self.at[-1][ok]
+            mixed = (self.keys[-1][context] * np.uint64(0x9E3779B97F4A7C15)) ^ (self.words[word] + np.uint64(k))
             mixed ^= mixed >> np.uint64(31)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
-            counts = np.bincount(where, learnt[ok], len(distinct)).astype(np.int64)
-            self._add(now, mixed, counts, context, suffix)
-            at = now
-        # at[k] still holds (k+1)-grams by position; for longer contexts only those that exist.
-
-    def _add(self, at, keys, counts, context, suffix) -> None:
-        self.at.append(at)
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.context.append(context)
-        self.suffix.append(suffix)
-
-    def lists(self, k: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, grams in the order of their keys) of order k + 1."""
-        # The top bits, which the 48-bit keys lack.
-        shard = (self.keys[k] >> np.uint64(48 if shards <= 1 << 16 else 40)) % np.uint64(shards)
-        order = np.lexsort((self.keys[k], shard))
-        cut = np.flatnonzero(np.diff(shard[order])) + 1
-        for part in np.split(order, cut):
-            if len(part):
-                yield int(shard[part[0]]), part
+            now = np.full(n + docs, -1, np.int32)
+            now[ok] = where
+            self.at.append(now)
+            self.keys.append(mixed)
+            self.counts.append(_count(where, learnt[ok], len(distinct)))
+            self.context.append(context)
+            self.suffix.append(suffix)
+
+
+def _count(codes: np.ndarray, use: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(codes[use], minlength=n).astype(np.uint32)
+
+
+def _route(shards: int) -> tuple[int, int]:
+    """(fan, hops): the least number of hops with a fan of at most FAN, and the least fan for it."""
+    hops = fan = 1
+    while FAN**hops < shards:
+        hops += 1
+    while fan**hops < shards:
+        fan += 1
+    return fan, hops
+
+
+def _dealt(keys: np.ndarray, fan: int, hop: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(digit, positions of its keys in their order): where keys go at a hop, by their top bits, which 48-bit keys lack."""
+    digit = ((keys >> np.uint64(40)) // np.uint64(fan**hop) % np.uint64(fan)).astype(np.uint16)
+    order = np.argsort(digit, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(digit[order])) + 1):
+        if len(part):
+            yield int(digit[part[0]]), part
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
@@ -174,51 +188,128 @@ def _packed(keys: np.ndarray, width: int) -> bytes:
 
 
 def _unpacked(data: bytes, width: int) -> np.ndarray:
+    if width == 8:
+        return np.frombuffer(data, np.uint64)
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view(np.uint64)
 
 
-def _width(k: int) -> int:
-    """Words keep all 64 bits, as their counts are results; longer grams 48 beside their shard."""
-    return 8 if k == 0 else KEY_BYTES
+def _width(k: int, last: bool) -> int:
+    """Words keep all 64 bits, as their counts are results; longer grams 48 beside their shard, on the last hop."""
+    return KEY_BYTES if k and last else 8
+
+
+def _numbers(counts: np.ndarray) -> bytes:
+    """Counts in 32 bits, or 64 where they need them, told by the first byte."""
+    wide = len(counts) and counts.max() >= 2**32
+    return bytes([8 if wide else 4]) + zlib.compress(counts.astype(np.uint64 if wide else np.uint32).tobytes(), 1)
 
 
-def _lists(order: int, shards: int):
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.uint64 if data[0] == 8 else np.uint32)
+
+
+LISTS = "place long, sender long, keys binary, counts binary"
+ANSWERS = "place long, sender long, totals binary, seen long"
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.binary() for x in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
+
+
+def _list_rows(keys: np.ndarray, counts: np.ndarray, sender: int, path: int, k: int, order: int, fan: int, hop: int, hops: int) -> Iterator[tuple]:
+    for digit, part in _dealt(keys, fan, hop):
+        yield (path * fan + digit) * order + k, sender, _packed(keys[part], _width(k, hop == hops - 1)), _numbers(counts[part])
+
+
+def _lists(order: int, fan: int, hops: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                b = Block(r["words"], r["codes"], r["lengths"], r["train"], order)
-                rows = []
+            for i in range(len(batch)):
+                block, *parts = (batch.column(j)[i].as_py() for j in range(5))
+                b = Block(*parts, order)
                 for k in range(order):
-                    for shard, part in b.lists(k, shards):
-                        rows.append((shard * order + k, r["block"], _packed(b.keys[k][part], _width(k)), zlib.compress(b.counts[k][part].astype(np.uint32).tobytes(), 1)))
-                for lo in range(0, len(rows), 256):
-                    cut = list(zip(*rows[lo : lo + 256], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cut, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "keys", "counts"])
+                    yield from _rows(list(_list_rows(b.keys[k], b.counts[k], block, 0, k, order, fan, 0, hops)), LISTS).to_batches()
 
     return run
 
 
+class _Merged:
+    """The union of several senders' lists for one place, and where each sender's keys are in it."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.senders = table["sender"].to_pylist()
+        keys = [_unpacked(x.as_py(), width) for x in table["keys"]]
+        self.cuts = np.cumsum([len(x) for x in keys])[:-1]
+        self.keys, self.where = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        counts = np.concatenate([_counts(x.as_py()) for x in table["counts"]])
+        self.counts = np.bincount(self.where, counts, len(self.keys)).astype(np.int64)
+
+    def answers(self, place: int, totals: np.ndarray, seen: int) -> pa.Table:
+        """Each sender's totals in its own order."""
+        rows = [(place, sender, _numbers(totals[x]), 0) for sender, x in zip(self.senders, np.split(self.where, self.cuts), strict=True)]
+        rows[0] = (*rows[0][:3], seen)
+        return _rows(rows, ANSWERS)
+
+
 def _totals(order: int):
-    """Adds a shard's counts and answers each block in its own order."""
+    """Adds a shard's counts and answers each sender; of words, tells how many learnt ones there are."""
 
     def run(key, table):
         k = key[0].as_py() % order
-        blocks = table["block"].to_pylist()
-        keys = [_unpacked(x.as_py(), _width(k)) for x in table["keys"]]
-        counts = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table["counts"]]
-        sizes = np.array([len(x) for x in keys])
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.int64)
-        seen = int((total > 0).sum()) - int(k == 0 and START in distinct and total[np.searchsorted(distinct, np.uint64(START))] > 0) if k == 0 else 0
-        answers = [zlib.compress(x.astype(np.uint32 if total.max() < 2**32 else np.uint64).tobytes(), 1) for x in np.split(total[where], np.cumsum(sizes)[:-1])]
-        wide = bool(total.max() >= 2**32)
-        return pa.table([pa.array([key[0].as_py()] * len(blocks), pa.int64()), pa.array(blocks, pa.int64()), pa.array(answers, pa.binary()), pa.array([wide] * len(blocks)), pa.array([seen, *[0] * (len(blocks) - 1)], pa.int64())], ["shard", "block", "totals", "wide", "seen"])
+        m = _Merged(table, _width(k, True))
+        seen = int(((m.counts > 0) & (m.keys != np.uint64(START))).sum()) if k == 0 else 0
+        return m.answers(key[0].as_py(), m.counts, seen)
+
+    return run
+
+
+def _merge(order: int, fan: int, hop: int, hops: int):
+    """One list of several senders' lists, dealt out for the next hop."""
+
+    def run(key, table):
+        place, group = key[0].as_py(), key[1].as_py()
+        path, k = divmod(place, order)
+        m = _Merged(table, 8)
+        return _rows(list(_list_rows(m.keys, m.counts, group, path, k, order, fan, hop + 1, hops)), LISTS)
 
     return run
 
 
+def _spread(order: int, fan: int, hop: int):
+    """The totals of a merged list, passed on to its senders."""
+
+    def run(key, table, answers):
+        place = key[0].as_py()
+        path, k = divmod(place, order)
+        m = _Merged(table, 8)
+        got = {x: _counts(y.as_py()) for x, y in zip(answers["place"].to_pylist(), answers["totals"], strict=True)}
+        totals = np.zeros(len(m.keys), np.int64)
+        for digit, part in _dealt(m.keys, fan, hop + 1):
+            totals[part] = got[(path * fan + digit) * order + k]
+        return m.answers(place, totals, sum(answers["seen"].to_pylist()))
+
+    return run
+
+
+def _answered(lists: DataFrame, senders: int, order: int, fan: int, hop: int, hops: int) -> DataFrame:
+    """Totals for every row of ``lists``."""
+    if hop == hops - 1:
+        return persist(lists.groupBy("place").applyInArrow(_totals(order), ANSWERS), "totals")
+    groups = -(-senders // fan)
+    # Blocks are dealt to groups by a hash; groups are numbered densely.
+    group = F.pmod(F.xxhash64("sender"), F.lit(groups)) if hop == 0 else F.floor(F.col("sender") / fan)
+    lists = persist(lists.withColumn("team", group.cast("long")), "lists")
+    merged = lists.groupBy("place", "team").applyInArrow(_merge(order, fan, hop, hops), LISTS)
+    up = _answered(merged, groups, order, fan, hop + 1, hops)
+    above = F.floor(F.floor(F.col("place") / order) / fan) * order + F.col("place") % order
+    up = up.withColumn("above", above.cast("long"))
+    return persist(lists.groupBy("place", "team").cogroup(up.groupBy("above", "sender")).applyInArrow(_spread(order, fan, hop), ANSWERS), "totals")
+
+
 class Automaton:
     """The part of the backoff automaton that one block's texts can visit.
 
@@ -269,30 +360,32 @@ class Automaton:
         return total
 
 
-def _scores(order: int, shards: int, mu: float, n: int, v: int):
+def _scores(order: int, fan: int, hops: int, mu: float, n: int, v: int):
     def run(key, blocks, answers):
         kind = blocks.schema.field("ids").type.value_type
-        out = []
-        for r in blocks.to_pylist():
-            b = Block(r["words"], r["codes"], r["lengths"], r["train"], order)
-            totals = [np.zeros(len(x), np.int64) for x in b.keys]
-            got = {x["shard"]: np.frombuffer(zlib.decompress(x["totals"]), np.uint64 if x["wide"] else np.uint32) for x in answers.to_pylist()}
-            for k in range(order):
-                for shard, part in b.lists(k, shards):
-                    totals[k][part] = got[shard * order + k]
-            base = (totals[0] + 0.1) / (n + 0.1 * (v + 1))
-            auto = Automaton(b, totals, order, mu, base)
-            flat = np.log10(base)[b.token]
-            known = (totals[0] > 0)[b.token]
-            sums = np.add.reduceat(flat, b.begins)
-            hits = np.add.reduceat(known.astype(np.int64), b.begins)
-            scores = [auto.score(i) for i in range(len(b.lengths))]
-            out.append(pa.table([pa.array(r["ids"], kind), pa.array(~b.train), pa.array(b.lengths), pa.array(hits), pa.array(sums), pa.array(scores, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], kind), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        if not blocks.num_rows:
+            return pa.table([pa.array([], kind), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], OUT)
+        b = Block(*(blocks[c][0].as_py() for c in ("words", "codes", "lengths", "train")), order)
+        got = dict(zip(answers["place"].to_pylist(), answers["totals"], strict=True))
+        totals = []
+        for k, keys in enumerate(b.keys):
+            totals.append(np.zeros(len(keys), np.int64))
+            for digit, part in _dealt(keys, fan, 0):
+                totals[k][part] = _counts(got.pop(digit * order + k).as_py())
+        base = (totals[0] + 0.1) / (n + 0.1 * (v + 1))
+        auto = Automaton(b, totals, order, mu, base)
+        known = (totals[0] > 0)[b.token]
+        sums = np.add.reduceat(np.log10(base)[b.token], b.begins)
+        hits = np.add.reduceat(known.astype(np.int64), b.begins)
+        scores = [auto.score(i) for i in range(len(b.lengths))]
+        return pa.table([blocks["ids"].combine_chunks().flatten(), pa.array(~b.train), pa.array(b.lengths), pa.array(hits), pa.array(sums), pa.array(scores, pa.float64())], OUT)
 
     return run
 
 
+OUT = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+
 def score(docs: DataFrame, learn: Column | None = None, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -301,13 +394,13 @@ def score(docs: DataFrame, learn: Column | None = None, order: int = ORDER, mu:
     rows = id_and_text(docs, id_col, text_col).withColumn("learn", F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
     kind = dict(rows.dtypes)["doc_id"]
     blocks = persist(rows.mapInArrow(_blocks(block_bytes), f"block long, words binary, codes binary, lengths binary, train binary, n_tokens long, n_train long, train_docs long, ids array<{kind}>"), "blocks")
-    sizes = blocks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
+    sizes = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.count("*")).first()
     tokens, n = sizes[0] or 0, sizes[1] or 0
-    shards = max(1, math.ceil(tokens / SHARD_KEYS))
-    lists = blocks.select("block", "words", "codes", "lengths", "train").mapInArrow(_lists(order, shards), "shard long, block long, keys binary, counts binary")
-    answers = persist(lists.groupBy("shard").applyInArrow(_totals(order), "shard long, block long, totals binary, wide boolean, seen long"), "totals")
+    fan, hops = _route(max(1, math.ceil(tokens / SHARD_KEYS)))
+    lists = blocks.select("block", "words", "codes", "lengths", "train").mapInArrow(_lists(order, fan, hops), LISTS)
+    answers = _answered(lists, sizes[2], order, fan, 0, hops)
     v = answers.agg(F.sum("seen")).first()[0] or 0
-    out = blocks.groupBy("block").cogroup(answers.select("shard", "block", "totals", "wide").groupBy("block")).applyInArrow(_scores(order, shards, mu, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(answers.select("place", F.col("sender").alias("block"), "totals").groupBy("block")).applyInArrow(_scores(order, fan, hops, mu, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
