@@ -1,9 +1,10 @@
-"""What the corpus operators share: scratch tables and safe column selection.
+"""What the corpus operators share: scratch tables, safe column selection, filters by text.
 
 Long lineages are cut with Parquet tables in the folder that the cluster names
 in ``spark.checkpoint.dir``; every executor and the driver can read it, so a
-lost executor costs only its running tasks.  A folder of our own is set only
-where the session names none (local tests).
+lost executor costs only its running tasks.  A session on one machine that names
+none gets a temporary folder; one on a cluster is refused, as its executors
+would write to folders of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,13 @@ _ours: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one if it is unset."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _ours:
         _ours["dir"] = tempfile.mkdtemp(prefix="maskwright-")
         atexit.register(shutil.rmtree, _ours["dir"], ignore_errors=True)
@@ -71,6 +77,35 @@ def fold(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def tasks(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def filtered(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text is kept, in one narrow pass and with all columns as they were.
+
+    ``judge`` is called once a task and gives the function that tells which of
+    some texts (UTF-8 bytes, null as empty) stay.  Every row is judged by its own
+    text, so null or repeated ids don't matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
+            found = batch.filter(pa.array(keep(texts), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns[:-1], names=batch.schema.names[:-1])
+
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(fresh(docs, "judged_text"))
+    return docs.select("*", text).mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """Rows of ``docs`` whose (id, ``text``) isn't in ``gone``, a table of two columns; nulls equal nulls."""
+    key = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    gone = gone.toDF(*key)
+    return docs.join(gone, F.col(id_col).eqNullSafe(gone[key[0]]) & text.eqNullSafe(gone[key[1]]), "left_anti")

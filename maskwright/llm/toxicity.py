@@ -9,12 +9,15 @@ the passage of a document that the current model finds most toxic (and on a
 random one of a clean document); a document's score is that of its most toxic passage, calibrated on
 documents that training left out.
 
-The classifier is fitted on a bounded sample of labelled rows: at most
-``sample`` documents of at most ``sample_bytes`` bytes each, by a hash of the
-id.  Scoring covers every whole text.  Because the model is linear, only one
+The classifier is fitted on a bounded sample of labelled rows: of those with a
+document of at most ``sample_bytes`` bytes the first ``sample``, by a hash of
+the id, and of these as many as have ``total_bytes`` together.  Scoring covers
+every whole text.  Because the model is linear, only one
 number a bucket (``BUCKETS`` floats, 0.5 MB) is broadcast.
 
-Scale: one narrow pass; memory is that of a text and a cache of ``WORDS`` words.
+Scale: the sample is drawn from ids and lengths, so labels and documents meet
+without their texts; scoring is one narrow pass.  Memory is that of a text and a
+cache of ``WORDS`` words.
 
 Defined cases: texts without a word, null ones too, score 0;
 rows without label, or with a null one, aren't learnt from; with no labelled
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import fold, id_and_text
+from maskwright.llm.common import filtered, fold, id_and_text
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -43,6 +46,7 @@ PASSAGE = 32
 WORDS = 400_000
 SAMPLE = 9000
 SAMPLE_BYTES = 100_000
+TOTAL_BYTES = 64 << 20
 #: The first START epochs train on EARLY random passages of each document, as no passage is known to be the toxic one.
 EPOCHS, START, EARLY, RATE = 14, 6, 6, 2.0
 INIT = 0.02
@@ -162,21 +166,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             row = np.repeat(np.arange(len(seg)), size)
             n = counts[tok]
             sub = flat[np.repeat(at[tok] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            seg_of = np.repeat(row, n)
             weight = np.repeat(1.0 / (n * size[row]), n).astype(np.float32)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(seg_of)) + 1])
-            h = np.add.reduceat(emb[sub] * weight[:, None], edge)
-            logit = h @ out + bias
-            logit -= logit.max(1, keepdims=True)
-            p = np.exp(logit)
-            p /= p.sum(1, keepdims=True)
-            target = y[own[seg]].astype(int)
-            p[np.arange(len(seg)), target] -= 1
-            g = p / 16
-            back = g @ out.T
-            d_out, d_bias = h.T @ g, g.sum(0)
-            buckets, inverse = np.unique(sub, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, weight * back[seg_of, j], len(buckets)) for j in range(DIM)], 1).astype(np.float32)
+            _, buckets, grad, d_out, d_bias = gradients(emb, out, bias, sub, np.repeat(row, n), weight, y[own[seg]].astype(int))
             g_emb[buckets] += (grad**2).mean(1)
             g_out += d_out**2
             g_bias += d_bias**2
@@ -190,6 +181,28 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), scale, shift)
 
 
+def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, sub: np.ndarray, row: np.ndarray, weight: np.ndarray, target: np.ndarray):
+    """Loss of some passages, a sixteenth of the sum of their cross entropies, and its gradients.
+
+    Subword ``sub[i]`` counts ``weight[i]`` in passage ``row[i]`` (ascending).
+    Returns the loss, the buckets that occur, and the gradients of their
+    embeddings, of the softmax and of the bias.
+    """
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+    h = np.add.reduceat(emb[sub] * weight[:, None], edge)
+    logit = h @ out + bias
+    logit -= logit.max(1, keepdims=True)
+    p = np.exp(logit)
+    p /= p.sum(1, keepdims=True)
+    loss = -np.log(p[np.arange(len(p)), target]).sum() / 16
+    p[np.arange(len(p)), target] -= 1
+    g = p / 16
+    back = g @ out.T
+    buckets, inverse = np.unique(sub, return_inverse=True)
+    grad = np.stack([np.bincount(inverse, weight * back[row, j], len(buckets)) for j in range(emb.shape[1])], 1).astype(emb.dtype)
+    return loss, buckets, grad, h.T @ g, g.sum(0)
+
+
 def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and shift of a logistic fit of labels by logits, with a little shrinkage."""
     a, b = 1.0, 0.0
@@ -203,20 +216,30 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * mid / spread
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample of the labelled rows of ``docs`` for whose ids ``use`` (over doc_id) holds."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     known = known.where(use) if use is not None else known
-    # Three times the sample: labels may name documents that aren't there.
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * sample)
-    rows = id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= sample_bytes)
-    rows = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(F.col("text").cast("string")), "toxic").limit(sample).select("text", "toxic")
+    rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64(F.col("text").cast("string")))
+    sizes = rows.select("doc_id", "h", F.octet_length("text").alias("n")).where(F.col("n") <= sample_bytes)
+    # Rows that repeat a document and its label are learnt from once.
+    first = sizes.join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h", "toxic").limit(sample).collect()
+    picked, total = [], 0
+    for r in first:
+        total += r["n"]
+        if total > total_bytes:
+            break
+        picked.append((r["doc_id"], r["h"], r["toxic"]))
+    few = docs.sparkSession.createDataFrame(picked, f"doc_id {dict(rows.dtypes)['doc_id']}, h long, toxic int")
+    rows = rows.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h", "toxic").select("text", "toxic")
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
         for batch in batches:
             texts += batch.column(0).to_pylist()
             marks += batch.column(1).to_pylist()
+        if not texts:
+            return
         m = train(texts, marks)
         yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "bias": m.bias, "scale": m.scale, "shift": m.shift, "none": m.none}])
 
@@ -246,7 +269,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those scored at the threshold or above, all columns as they were."""
-    gone = score(docs, fit(docs, labels, fold("doc_id", 4) != 2, id_col=id_col), id_col=id_col).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those scored at the threshold or above, all columns as they were; each row by its own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold("doc_id", 4) != 2, id_col=id_col, text_col=text_col))
+
+    def judge():
+        of = Scorer(sent.value)
+        return lambda texts: [of(x) < threshold for x in texts]
+
+    return filtered(docs, judge, text_col)

@@ -397,3 +397,62 @@ def test_toxicity_learns_and_catches_misspellings(spark):
     assert {r.score for r in none} == {0.0}
     kept = toxicity.drop_toxic(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert kept.columns == SCHEMA.replace(",", "").split()[::2] and 300 < kept.count() < 400
+
+
+def test_toxicity_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    emb, out, bias = rng.normal(size=(9, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    row = np.array([0, 0, 0, 1, 2, 2])
+    sub, weight, target = np.array([1, 3, 1, 8, 0, 3]), rng.random(6), np.array([1, 0, 1])
+    loss = lambda: toxicity.gradients(emb, out, bias, sub, row, weight, target)[0]
+    _, buckets, d_emb, d_out, d_bias = toxicity.gradients(emb, out, bias, sub, row, weight, target)
+    whole = np.zeros_like(emb)
+    whole[buckets] = d_emb
+    for values, slopes in ((emb, whole), (out, d_out), (bias, d_bias)):
+        for i in np.ndindex(values.shape):
+            old = values[i]
+            values[i] = old + 1e-6
+            up = loss()
+            values[i] = old - 1e-6
+            down = loss()
+            values[i] = old
+            assert slopes[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_score_by_brute_force():
+    """A document's score is that of the passage whose mean over words of the mean over subwords is largest."""
+    rng = random.Random(4)
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), -0.4, 1.7, 0.2)
+    for n in (1, 5, 32, 47, 48, 49, 100, 20_000):
+        found = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+        values = []
+        for w in found:
+            marked = f"<{w}>"
+            grams = [marked[i : i + k] for k in (3, 4, 5) for i in range(len(marked) - k + 1)]
+            values.append(np.mean([model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in ["=" + w, *grams]]))
+        cuts = list(range(0, n, 32))
+        if len(cuts) > 1 and n - cuts[-1] < 16:
+            cuts.pop()
+        best = max(np.mean(values[a:b]) for a, b in zip(cuts, [*cuts[1:], n], strict=True))
+        assert toxicity.Scorer(model)(" ".join(found).replace("a", "A").encode()) == pytest.approx(1 / (1 + math.exp(-(1.7 * (best - 0.4) + 0.2))))
+
+
+def test_toxicity_awkward_rows(spark):
+    """Null and repeated ids are judged by their own text; labels without documents don't shrink the fit; columns may clash."""
+    rng = random.Random(2)
+    bad, pool = "blargface snorkhead vilewort", ["lorum", "ipsor", "dolam", "sitet", "conum"]
+    rows, labels = [], []
+    for i in range(300):
+        y = i % 3 == 0
+        rows.append((i, " ".join([*(rng.choice(pool) for _ in range(20)), *([bad] if y else [])]), "x", "y"))
+        labels.append((i, int(y)))
+    planted = [(None, bad), (None, "lorum ipsor " * 9), (5, bad + " " + bad), (5, "lorum ipsor " * 9), (5, "lorum ipsor " * 9), (7000, "lorum ipsor dolam sitet conum " * 10_000)]
+    rows += [(i, t, "x", "y") for i, t in planted]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, judged_text string, __id string")
+    marks = spark.createDataFrame(labels + [(i, 0) for i in range(10_000, 40_000)] + [(None, 1)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert [x for x in planted if x in got] == [x for x in planted if bad not in x[1]]
+    assert got.count(planted[3]) == 2
+    assert {r.toxic for r in marks.join(kept, "doc_id").collect()} == {0}
