@@ -13,15 +13,17 @@ at most e pieces, so among the k + 1 pieces the untouched ones are found on
 diagonals within k of each other; windows of one item that overlap are verified
 once.
 
-Scale: one narrow pass without a shuffle.  The automaton goes to the executors
-with the task; test items are a stated query set, taken in blocks of at most
-``BLOCK_BYTES`` of text, so a set of any size costs memory of one block and one
-pass for each.
+Scale: test items are a stated query set.  They are dealt by a hash into blocks of
+about ``BLOCK_BYTES`` of text, and the driver holds one block at a time, which
+goes to the executors as a broadcast.  One block, the usual case, is one narrow
+pass without a shuffle.  With more, each pass writes only the rows with a match,
+named by id and text hash, and these join the documents in the end.
 
 Defined cases: a null or empty text is clean; null or blank items match
-nothing; items shorter than ``min_chars`` are matched exactly (k = 0); repeated
-rows and items are judged like others; an empty table or set gives an empty or
-all-clean result; null ids are passed through; other columns are not read.
+nothing; short items have the budget of their length, so those under 1 / ``rate``
+characters are matched exactly; every row is judged by its own text, whatever its
+id, and repeated rows and items like others; an empty table or set gives an empty
+or all-clean result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import id_and_text
+from maskwright.llm.common import drop_table, filtered, id_and_text, persist
 
 RATE = 0.1
-MIN_CHARS = 40
 BLOCK_BYTES = 4 << 20
 
 
@@ -45,8 +47,8 @@ def fold(text: bytes) -> str:
     return b" ".join(text.lower().split()).decode("utf-8", "replace")
 
 
-def budget(item: str, rate: float, min_chars: int) -> int:
-    return int(rate * len(item)) if len(item) >= min_chars else 0
+def budget(item: str, rate: float) -> int:
+    return int(rate * len(item))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -134,8 +136,8 @@ class Item:
 class Matcher:
     """Finds items within their error budgets in folded texts."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
-        self.items = [Item(i, x, budget(x, rate, min_chars)) for i, x in items if x]
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
+        self.items = [Item(i, x, budget(x, rate)) for i, x in items if x]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for j, item in enumerate(self.items):
             for n, piece in enumerate(item.parts):
@@ -147,8 +149,8 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(where)
 
-    def find(self, text: str) -> list[tuple[object, int]]:
-        """(item id, smallest distance) of the items in ``text``, in the items' order."""
+    def find(self, text: str, first: bool = False) -> list[tuple[object, int]]:
+        """(item id, smallest distance) of the items in ``text``, in the items' order; ``first``: any one of them is enough."""
         if not self.any or not text:
             return []
         best: dict[int, int] = {}
@@ -159,57 +161,83 @@ class Matcher:
                 far = self.items[j].distance(text, end - size + 1, n)
                 if far is not None and far < best.get(j, far + 1):
                     best[j] = far
+                    if first:
+                        return [(self.items[j].name, far)]
         return [(self.items[j].name, best[j]) for j in sorted(best)]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    block, size = [], 0
-    for row in id_and_text(benchmark, id_col, text_col).toLocalIterator():
-        text = fold(bytes(row["text"]))
-        if text:
-            block.append((row["doc_id"], text))
-            size += len(text)
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+class Blocks:
+    """The items in blocks; one at a time is in the driver, and broadcast."""
 
+    def __init__(self, benchmark: DataFrame, rate: float, id_col: str, text_col: str):
+        self.rate, self.spark = rate, benchmark.sparkSession
+        items = id_and_text(benchmark, id_col, text_col)
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(1, -(-size // BLOCK_BYTES))
+        self.items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(self.n)))
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row a row of ``docs``: doc_id, contaminated, item_ids, distances (both in ascending order of the item)."""
-    rows = id_and_text(docs, id_col, text_col)
-    kinds = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
-    schema = f"doc_id {kinds[0]}, item_ids array<{kinds[1]}>, distances array<int>"
-
-    def judged(block: list[tuple[object, str]], more: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, min_chars)
-            for batch in batches:
-                before = batch.column(2).to_pylist() if more else [[]] * len(batch)
-                ids, far = [], []
-                for x, old in zip(batch.column(1), before, strict=True):
-                    got = sorted([*((y["id"], y["d"]) for y in old), *matcher.find(fold(x.as_py()))], key=lambda y: (y[0] is not None, y))
-                    ids.append([y[0] for y in got])
-                    far.append([y[1] for y in got])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, types[0]), pa.array(far, pa.list_(pa.int32())), *([batch.column(1)] if keep else [])], ["doc_id", "item_ids", "distances", *(["text"] if keep else [])])
-
-        return run
+    def sent(self, block: int) -> Broadcast:
+        rows = self.items.where(F.col("block") == block).select("doc_id", "text").toLocalIterator()
+        # By item, then text: the order doesn't depend on how the items were read.
+        items = sorted(((r["doc_id"], fold(bytes(r["text"]))) for r in rows), key=lambda x: (x[0] is not None, x))
+        return self.spark.sparkContext.broadcast([x for x in items if x[1]])
+
+
+def _judged(items: Broadcast, rate: float, kind: pa.DataType, only: bool):
+    """Of (doc_id, text, h): doc_id, h, item_ids, distances; ``only`` those with a match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items.value, rate)
+        for batch in batches:
+            found = [matcher.find(fold(x.as_py())) for x in batch.column(1)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[i for i, _ in x] for x in found], pa.list_(kind)), pa.array([[d for _, d in x] for x in found], pa.list_(pa.int32()))], ["doc_id", "h", "item_ids", "distances"])
+            yield out.filter(pa.array([bool(x) for x in found])) if only else out
 
+    return run
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row a row of ``docs``: doc_id, contaminated, item_ids, distances (both in ascending order of the item)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [pa.list_(to_arrow_type(benchmark.schema[item_col].dataType))]
-    blocks = list(_blocks(benchmark, item_col, item_text)) or [[]]
-    out = rows
-    for n, block in enumerate(blocks):
-        keep = n + 1 < len(blocks)
-        if n:
-            out = out.select("doc_id", "text", F.arrays_zip(F.col("item_ids").alias("id"), F.col("distances").alias("d")).alias("found"))
-        out = out.mapInArrow(judged(block, n > 0), schema + ", text binary" * keep)
+    rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64(F.col("text").cast("string")))
+    kinds = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)[item_col]
+    schema = f"doc_id {kinds[0]}, h long, item_ids array<{kinds[1]}>, distances array<int>"
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
+    blocks = Blocks(benchmark, rate, item_col, item_text)
+    if blocks.n == 1:
+        out = rows.mapInArrow(_judged(blocks.sent(0), rate, kind, False), schema)
+    else:
+        hits = None
+        for n in range(blocks.n):
+            items = blocks.sent(n)
+            # Rows with the same id and text have the same matches.
+            found = persist(rows.mapInArrow(_judged(items, rate, kind, True), schema), "matches").dropDuplicates(["doc_id", "h"])
+            items.unpersist()
+            hits = found if hits is None else hits.unionByName(found)
+        each = hits.select("doc_id", "h", F.explode(F.arrays_zip("item_ids", "distances")).alias("x"))
+        each = each.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("x.item_ids", "x.distances"))).alias("x"))
+        each = persist(each.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("x.item_ids").alias("item_ids"), F.col("x.distances").alias("distances")), "matches")
+        none = F.array().cast(f"array<{kinds[1]}>"), F.array().cast("array<int>")
+        out = rows.select("doc_id", "h").join(each, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select("doc_id", F.coalesce("item_ids", none[0]).alias("item_ids"), F.coalesce("distances", none[1]).alias("distances"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those in which an item occurs, all columns as they were."""
-    gone = matches(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without those in which an item occurs, all columns as they were; each row by its own text."""
+    blocks, before = Blocks(benchmark, rate, item_col, item_text), None
+    for n in range(blocks.n):
+        items = blocks.sent(n)
+
+        def judge(items=items):
+            matcher = Matcher(items.value, rate)
+            return lambda texts: [not matcher.find(fold(x), first=True) for x in texts]
+
+        docs = filtered(docs, judge, text_col)
+        if n + 1 < blocks.n:
+            docs = persist(docs, "clean")
+            items.unpersist()
+            if before is not None:
+                drop_table(before)
+            before = docs
+    return docs
