@@ -28,6 +28,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,6 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import id_and_text
 
 MIN_MATCH, GAP, COVER, SHARE = 5, 8, 0.7, 0.5
-#: Placed matches of one template that a chain looks back on.
-CHAIN = 64
 
 # Phrases and the labels they give.
 PHRASES = [
@@ -182,8 +181,10 @@ class Scanner:
             best: list[tuple[int, int, int, int]] = []  # covered words, file start, template start, file end
             for k, (a, b, n) in enumerate(matches):
                 mine = (n, a, b, a + n)
-                for j in range(k - 1, max(-1, k - 1 - CHAIN), -1):
+                for j in range(k - 1, -1, -1):
                     x, y, m = matches[j]
+                    if x + m < a - GAP:  # matches come in the order of their ends: all before are too far off
+                        break
                     # A match may overlap the one before by a word or two: only what is new counts.
                     over = max(0, x + m - a, y + m - b)
                     if x < a and y < b and over < n and a - (x + m) <= GAP and b - (y + m) <= GAP and best[j][0] + n - over > mine[0]:
@@ -193,12 +194,14 @@ class Scanner:
                 reach = matches[k][1] + matches[k][2] - b
                 if covered >= SHARE * size and covered >= COVER * reach:
                     out.append((label, a, end, min(1.0, covered / size)))
-        # Of overlapping spans of one label the fullest.
-        kept: list[tuple[str, int, int, float]] = []
-        for x in sorted(out, key=lambda x: (-x[3], x[1], -x[2], x[0])):
-            if not any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+        # Of overlapping spans of one label the fullest. Those kept are disjoint, so one neighbour tells.
+        kept: dict[str, list[tuple[int, int, float]]] = {}
+        for label, first, end, share in sorted(out, key=lambda x: (-x[3], x[1], -x[2], x[0])):
+            own = kept.setdefault(label, [])
+            at = bisect_left(own, (end,))
+            if not at or own[at - 1][1] <= first:
+                own.insert(at, (first, end, share))
+        return sorted(((label, *x) for label, own in kept.items() for x in own), key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
