@@ -11,9 +11,10 @@ N-grams are numbers: a character is its code point, so n-grams of up to three
 fit 63 bits.  Counting is by sorted arrays, never by strings.
 
 Scale: training counts the n-grams of every learnt document in one narrow pass,
-per task and language, and adds them up by (language, n-gram); only profiles
-(languages x ``PROFILE`` rows, refused over ``LANGUAGES``) reach the driver.
-Prediction is one more narrow pass over whole texts.
+per task and language, and adds them up by (language, n-gram).  Profiles reach
+the driver and the executors in blocks of ``LANGUAGES`` languages, each at most
+LANGUAGES x PROFILE numbers; a text passes one block after another and keeps the
+nearest so far.  Prediction is one more narrow pass over whole texts.
 
 Defined cases: ``und`` with score 0 for null and empty texts and those without a
 letter, and if no language was learnt; rows whose language is null aren't
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwright.llm.common import fold
+from maskwright.llm.common import fold, persist
 
 PROFILE = 400
 LANGUAGES = 5000
@@ -46,7 +48,7 @@ HELD = 1 << 20
 def _letters() -> np.ndarray:
     """For each code point its lower case if that is one letter; 32 for all else."""
     out = np.full(0x110000, 32, np.int64)
-    for c in range(0x30000):
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             low = x.lower()
@@ -118,54 +120,77 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def profiles(docs: DataFrame, use: Column | None = None, size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """The n-gram profile of every language of ``docs``, over whole texts of rows for which ``use`` holds."""
+def profiles(docs: DataFrame, use: Column | None = None, size: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, grams): the n-gram profile of every language of ``docs`` in its order, over whole texts of rows for which ``use`` holds."""
     rows = docs if use is None else docs.where(use)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
-    got = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "gram"))).alias("p")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(got) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages: their profiles are no longer small enough to broadcast")
-    return {r["lang"]: np.array([x["gram"] for x in r["p"]], np.int64) for r in got}
+    return persist(ranked.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "gram"))), lambda x: x["gram"]).alias("grams")), "profiles")
 
 
 class Nearest:
-    """Places of all profiles' n-grams: one row an n-gram, one column a language."""
+    """For each n-gram of some profiles the languages that have it, and its place there."""
 
     def __init__(self, known: dict[str, np.ndarray], size: int = PROFILE):
         self.names, self.size = sorted(known), size
-        self.grams = np.unique(np.concatenate([*known.values(), np.empty(0, np.int64)]))
-        self.places = np.full((len(self.grams) + 1, len(self.names)), -1, np.int32)
-        for j, name in enumerate(self.names):
-            self.places[np.searchsorted(self.grams, known[name]), j] = np.arange(len(known[name]))
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        k, n = ngrams(text or "")
-        if not len(k) or not self.names:
-            return UNKNOWN, 0.0
-        mine = top(k, n, self.size)
+        grams = np.concatenate([*(known[x] for x in self.names), np.empty(0, np.int64)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.first = np.unique(grams[order], return_index=True)
+        self.first = np.append(self.first, len(grams))
+        self.lang = np.repeat(np.arange(len(self.names)), [len(known[x]) for x in self.names])[order]
+        self.place = np.concatenate([*(np.arange(len(known[x])) for x in self.names), np.empty(0, np.int64)])[order]
+
+    def distances(self, mine: np.ndarray) -> np.ndarray:
+        """Of each language to a document's profile: ``size`` places for an n-gram it lacks, else how far it is out of place."""
         at = np.searchsorted(self.grams, mine)
-        at[at < len(self.grams)] = np.where(self.grams[at[at < len(self.grams)]] == mine[at < len(self.grams)], at[at < len(self.grams)], len(self.grams))
-        places = self.places[at]
-        far = np.where(places < 0, self.size, np.abs(places - np.arange(len(mine))[:, None])).sum(0)
+        rank = np.flatnonzero((at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == mine)) if len(self.grams) else at[:0]
+        at = at[rank]
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        nearer = self.size - np.abs(self.place[entry] - np.repeat(rank, n))
+        return self.size * len(mine) - np.bincount(self.lang[entry], nearer, len(self.names)).astype(np.int64)
+
+    def __call__(self, mine: np.ndarray) -> tuple[int, str]:
+        """Distance and name of the nearest language, of equal ones the smaller name."""
+        far = self.distances(mine)
         best = int(np.argmin(far))
-        worst = self.size * len(mine)
-        return self.names[best], float(1 - far[best] / worst)
+        return int(far[best]), self.names[best]
 
 
-def predict(docs: DataFrame, known: dict[str, np.ndarray], size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of ``docs``: doc_id, lang_pred, score (1: the profiles are the same; 0: nothing in common)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _predicted(sent: Broadcast, size: int, first: bool, last: bool):
+    """Adds a block of profiles to what is known of (doc_id, far, lang_pred, worst, text); the last drops the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Nearest(sent.value, size)
         for batch in batches:
-            got = [nearest(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+            rows = []
+            before = [(None, UNKNOWN, 0)] * len(batch) if first else list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+            for x, old in zip(batch.column(batch.num_columns - 1), before, strict=True):
+                k, n = ngrams(x.as_py() or "")
+                if not len(k) or not nearest.names:
+                    rows.append(old)
+                    continue
+                mine = top(k, n, size)
+                far, name = nearest(mine)
+                rows.append((far, name, size * len(mine)) if old[0] is None or (far, name) < old[:2] else old)
+            far, names, worst = ([r[i] for r in rows] for i in range(3))
+            columns = [batch.column(0), pa.array(far, pa.int64()), pa.array(names, pa.string()), pa.array(worst, pa.int64()), batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns[: 5 - last], ["doc_id", "far", "lang_pred", "worst", "text"][: 5 - last])
+
+    return run
+
+
+def predict(docs: DataFrame, known: DataFrame, size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of ``docs``: doc_id, lang_pred, score (1: the profiles are the same; 0: nothing in common)."""
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(out.dtypes)["doc_id"]
+    blocks = max(1, -(-known.count() // LANGUAGES))
+    for n in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == n).collect()
+        sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: np.array(r["grams"], np.int64) for r in rows})
+        out = out.mapInArrow(_predicted(sent, size, n == 0, n + 1 == blocks), f"doc_id {kind}, far long, lang_pred string, worst long" + ", text string" * (n + 1 < blocks))
+    return out.select("doc_id", "lang_pred", F.when(F.col("far").isNull(), 0.0).otherwise(1 - F.col("far") / F.col("worst")).alias("score"))
 
 
 def language_id(docs: DataFrame) -> DataFrame:
