@@ -6,9 +6,14 @@ labels from the right, then along the segments, meets every rule that fits; the
 one that is met last is the longest: more host labels first, then a longer path.
 Of an allow and a block rule for the same place, block wins.
 
-The trie is broadcast if the rules are at most ``MAX_RULES``, which is counted
-first; larger sets are joined: each URL's host suffixes (as many as its labels)
-meet the rules' hosts in an equi-join, pre-aggregated by URL.
+Up to ``MAX_RULES`` rules, which are counted first, are one trie that is
+broadcast, and judging is one narrow pass.  More rules are parted by the last two
+labels of their hosts (those of one label by that) into tries of about as many
+rules; URLs meet the trie of their own site, and then that of their last label if
+no rule of the site fits.  Tries with many URLs are copied to as many tasks as
+``URLS`` asks for, so a host with a third of all URLs is no single task's work.
+A task holds one trie - the rules of one site, if that has more than MAX_RULES -
+and ``URLS`` URLs.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end.  A null URL, or one
@@ -26,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import persist
+
 MAX_RULES = 200_000
+#: URLs that meet one copy of a trie, about.
+URLS = 100_000
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -102,10 +111,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
     if isinstance(rules, DataFrame):
         table = rules.toDF("host", "path", "verdict")
         if table.limit(max_rules + 1).count() > max_rules:
-            return _joined(urls, table, default)
+            return _parted(urls, table, default, max_rules)
         rules = [tuple(x) for x in table.collect()]
     elif len(rules) > max_rules:
-        return _joined(urls, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
+        return _parted(urls, spark.createDataFrame(rules, "host string, path string, verdict string"), default, max_rules)
     trie = spark.sparkContext.broadcast(Trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +129,45 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
     return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def _joined(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for a rule set of any size: an equi-join on host suffixes."""
-    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
-    rest = F.regexp_extract(rest, r"^[^?#]*", 0)
-    low = F.translate(F.regexp_extract(rest, r"^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = urls.select("page_id", "url", low.alias("host"), F.regexp_extract(rest, r"^[^/]*(.*)$", 1).alias("path"))
-    distinct = cut.select("host", "path").distinct()
-    labels = F.split("host", "\\.")
-    suffixes = distinct.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    keyed = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("suffix"), F.concat("host", "path").alias("rule"), F.col("path").alias("start"), "verdict")
-    fits = suffixes.join(keyed, "suffix").where(F.expr("startswith(path, start)"))
-    longest = F.max_by(F.struct("rule", "verdict"), F.struct(F.size(F.split("suffix", "\\.")), F.length("start"), F.col("verdict") == BLOCK))
-    best = fits.groupBy("host", "path").agg(longest.alias("best"))
-    return cut.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+def _parted(urls: DataFrame, rules: DataFrame, default: str, max_rules: int) -> DataFrame:
+    """The same for a rule set of any size: tries by site, then by last label."""
+    kind = dict(urls.dtypes)["page_id"]
+    schema = f"page_id {kind}, host string, path string, rule string, verdict string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [parts(x) for x in batch.column(1).to_pylist()]
+            none = pa.nulls(len(batch), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string()), none, none], ["page_id", "host", "path", "rule", "verdict"])
+
+    rules = persist(rules.where("host IS NOT NULL AND path IS NOT NULL"), "rules")
+    out = persist(urls.mapInArrow(cut, schema), "urls")
+    single = F.instr("host", ".") == 0
+    for labels, own in ((2, rules.where(~single)), (1, rules.where(single))):
+        out = persist(_met(out, own, labels, max_rules, schema), "urls")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+
+def _met(urls: DataFrame, rules: DataFrame, labels: int, max_rules: int, schema: str) -> DataFrame:
+    """URLs without a rule yet get the one that fits best of the trie of their last ``labels`` labels."""
+    tries = max(1, -(-rules.count() // max_rules))
+    key = F.substring_index(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), ".", -labels)
+    number = F.pmod(F.xxhash64(key), F.lit(tries)).cast("long")
+    urls = urls.withColumn("trie", number)
+    # A row a trie, and these are far fewer than the rules.
+    sizes = urls.groupBy("trie").count().select("trie", F.ceil(F.col("count") / URLS).cast("long").alias("copies"))
+    copies = {r["trie"]: r["copies"] for r in sizes.collect()}
+    table = F.broadcast(urls.sparkSession.createDataFrame(list(copies.items()), "trie long, copies long"))
+    # The table was written, so rows have the same numbers if a task is lost.
+    dealt = urls.join(table, "trie").withColumn("copy", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "copies")).drop("copies")
+    ruled = rules.withColumn("trie", number).join(table, "trie").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(key, urls, rules):
+        trie = Trie(zip(*(rules[c].to_pylist() for c in ("host", "path", "verdict")), strict=True))
+        rows = list(zip(*(urls[c].to_pylist() for c in ("host", "path", "rule", "verdict")), strict=True))
+        found = [(rule, verdict) if rule is not None else trie.find(host, path) or (None, None) for host, path, rule, verdict in rows]
+        out = urls.select(names[:3])
+        return out.append_column("rule", pa.array([x for x, _ in found], pa.string())).append_column("verdict", pa.array([x for _, x in found], pa.string()))
+
+    return dealt.groupBy("trie", "copy").cogroup(ruled.groupBy("trie", "copy")).applyInArrow(run, schema)
