@@ -8,10 +8,13 @@ the smallest residual that fits and goes on to its successors until the
 tightest bin without a common bit is found; if there is none, a bin is opened.
 So no bin holds two pieces of one source, or of one cluster.
 
-Scale: documents are dealt by a hash into shards of about ``SHARD`` rows, which
-are packed independently; only (id, length, source, cluster) is shuffled.  A hot
-source is spread over all shards alike.  A shard's bitmaps have one bit for each
-source or cluster that occurs more than once in it.
+Scale: documents are dealt by a hash of their id and place in the input into
+shards of about ``SHARD`` rows, which are packed independently; only (id, length,
+source, cluster) is shuffled.  A hot source, id or text is spread over all
+shards alike.  A shard's bitmaps have one bit for each source or cluster that
+occurs more than once in it.  The tightest bin is that of the shard, not of all
+documents; what that costs is the last, half empty bins of each shard (README
+gives the fill beside that of one shard).
 
 Defined cases: null and empty texts need one place; null sources and null
 clusters conflict with nothing; repeated rows are packed separately; ties are
@@ -117,7 +120,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size
     shards = max(1, -(-n // shard_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
     kind = dict(rows.dtypes)["doc_id"]
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
+    # Files are read in the same order again if a task is lost, so a row's number is the same.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_packed(capacity), f"doc_id {kind}, piece long, piece_start long, n_tokens long, bin_id string, bin_start long, bin_fill long, source string")
 
 

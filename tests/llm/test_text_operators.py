@@ -118,6 +118,16 @@ def test_license_spans_survive_edits():
     assert scanner.scan(b"this software and the license of the copyright")["spans"] == []
 
 
+def test_license_chains_have_no_limit():
+    """A template whose words repeat places each match in many spots; the chain still finds its way."""
+    run = "all copies of the software must keep this notice"
+    body = " ".join(f"{run} part{i}" for i in range(100))
+    scanner = license_scan.Scanner([("many", body)], [])
+    text = " ".join(f"{run} other{i}" for i in range(100))
+    (span,) = scanner.scan(text.encode())["spans"]
+    assert span[0] == "many" and span[1:3] == (0, 999) and span[3] == pytest.approx(0.9)
+
+
 # -- language id
 
 
@@ -159,19 +169,38 @@ def test_language_id(spark):
     assert language_id.language_id(frame(spark, [(1, "abc", None)])).first().lang_pred == "und"
 
 
+def test_language_distance_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    known = {g: np.array(rng.sample(range(40), rng.randrange(0, 12)), np.int64) for g in ("b", "a", "c", "dd")}
+    for _ in range(50):
+        mine = np.array(rng.sample(range(45), rng.randrange(1, 15)), np.int64)
+        far = {g: sum(abs(i - list(p).index(x)) if x in p else 12 for i, x in enumerate(mine)) for g, p in known.items()}
+        assert language_id.Nearest(known, 12)(mine) == min((d, g) for g, d in far.items())
+    pools = {f"l{i:02}": [chr(0x4E00 + 5 * i + j) for j in range(5)] for i in range(9)}
+    rows = [(i, "".join(rng.choice(pools[g]) for _ in range(30)), g) for i in range(120) for g in [rng.choice(list(pools))]] + [(900, chr(0x30010) * 5, None), (901, "x " * 300_000, None), (950, "12", None), (None, "ab", None), (None, "ab", None)]
+    whole = sorted(language_id.language_id(frame(spark, rows)).collect(), key=repr)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)  # blocks of languages give the same
+    assert sorted(language_id.language_id(frame(spark, rows)).collect(), key=repr) == whole
+    by = {r.doc_id: r.lang_pred for r in whole}
+    assert all(by[i] == g for i, _, g in rows if g and i < 900)
+    assert by[900] != "und" and by[901] != "und" and len(whole) == len(rows)
+
+
 # -- URL filter
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "", "block"), ("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("B.com", "/X/y/", "allow")]
 
 
-def test_url_rules_against_brute_force_and_join(spark):
+def test_url_rules_against_brute_force_and_parted(spark, monkeypatch):
     rng = random.Random(4)
     hosts = ["example.org", "www.example.org", "notexample.org", "a.com", "b.A.com", "b.com", "x.net", "", "org"]
     paths = ["", "/", "/es/", "/es", "/en/12/3", "/en/", "/x", "/xy/z", "/X/y/z", "//", "?q=/es/", "#/es/"]
     urls = [f"{rng.choice(['http', 'HTTPS', ''])}://{h}{p}{rng.choice(['', '?a=b://c', '#top'])}" for h in hosts for p in paths] + [None, "", "no scheme/es/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: r for r in url_filter.judge(pages, RULES).collect()}
+    monkeypatch.setattr(url_filter, "URLS", 5)
     joined = {r.page_id: r for r in url_filter.judge(pages, RULES, max_rules=2).collect()}
+    assert len(joined) == len(urls)
     for i, u in enumerate(urls):
         rest = u.partition("://")[2] if u and "://" in u else ""
         rest = re.match(r"[^?#]*", rest)[0]
@@ -198,8 +227,8 @@ def distance(item, text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab é", min_size=1, max_size=24), st.text(alphabet="ab é", max_size=60), st.sampled_from([0.0, 0.1, 0.25]))
 def test_matcher_against_brute_force(item, text, rate):
-    m = decontaminate.Matcher([(1, item)], rate, min_chars=5)
-    k = decontaminate.budget(item, rate, 5)
+    m = decontaminate.Matcher([(1, item)], rate)
+    k = int(rate * len(item))
     far = distance(item, text)
     got = m.find(text)
     assert bool(got) == (far <= k and bool(text))
@@ -214,12 +243,34 @@ def test_decontamination(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         got = {r.doc_id: (r.item_ids, r.distances) for r in decontaminate.matches(frame(spark, rows), bench).collect()}
         assert got == {1: ([7, 10], [0, 0]), 2: ([7, 10], [1, 1]), 3: ([], []), 4: ([], []), 5: ([], []), 6: ([7, 10], [0, 0]), None: ([7, 10], [0, 0])}
-    kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
-    assert sorted(((r.doc_id) for r in kept.collect()), key=repr) == [3, 4, 5, None] and "rule" in kept.columns
+        kept = decontaminate.drop_contaminated(frame(spark, rows), bench)
+        assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5] and "rule" in kept.columns
     assert decontaminate.matches(frame(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.matches(frame(spark, []), bench).count() == 0
 
 
+def test_short_items_have_their_budget():
+    item = "nine and thirty letters are in this it."
+    assert len(item) == 39
+    for edited, far in ((item, 0), (item.replace("thirty", "thirsty"), 1), (item.replace("and", "bnb"), 2), (item.replace("letters", "lXttXXs"), 3), (item.replace("letters", "lXXXXXs"), None)):
+        got = decontaminate.Matcher([(1, item)]).find(f"some text before {edited} and behind")
+        assert bool(got) == (far is not None) and (far is None or got[0][1] <= 3)
+
+
+def test_decontamination_judges_rows_by_their_text(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog and then it runs far away"
+    rows = [(None, item), (None, "clean"), (5, item), (5, "clean"), (5, "clean"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, __id string, judged_text string, h int")
+    bench = spark.createDataFrame([(1, item), (2, "another item that is nowhere to be found in any of the texts")], "item_id long, text string")
+    for block in (1 << 20, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        kept = decontaminate.drop_contaminated(docs, bench)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(5, "clean"), (5, "clean"), (6, None), (None, "clean")]
+        got = sorted(((r.doc_id, r.contaminated) for r in decontaminate.matches(docs, bench).collect()), key=repr)
+        assert got == [(5, False), (5, False), (5, True), (6, False), (None, False), (None, True)]
+
+
 # -- packing
 
 
@@ -259,6 +310,20 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_deals_repeated_rows_and_fills_bins(spark):
+    """Rows without id and with one text are spread over shards; shards cost little fill beside one search over all."""
+    rng = random.Random(7)
+    rows = [(None, "same " * 9, "s")] * 300 + [(i, "w " * rng.randrange(1, 900), str(i)) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string").withColumn("source", packing.F.when(packing.F.col("doc_id").isNotNull(), packing.F.col("source")))
+    shards = packing.pack(docs, shard_rows=500).collect()
+    assert max(Counter(r.bin_id.split("-")[0] for r in shards if r.doc_id is None).values()) < 150
+    total = sum(r.n_tokens for r in shards)
+    fill = total / (2048 * len({r.bin_id for r in shards}))
+    sizes = sorted((r.n_tokens for r in shards), reverse=True)
+    best = total / (2048 * (1 + max(packing.best_fit([(n, 0, 0) for n in sizes], 2048))))
+    assert best - 0.02 < fill <= best
+
+
 # -- token store
 
 
