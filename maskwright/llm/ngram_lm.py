@@ -21,17 +21,14 @@ visit.
     blocks (one narrow pass, written)  ->  lists by shard  ->  totals by block
     blocks + totals (cogrouped by block)  ->  scores
 
-A block writes to at most ``FAN`` places.  Where more shards are needed, lists go
-there in several hops: up to ``FAN`` blocks' lists for one place are merged into
-one, which is cut into ``FAN`` finer ones, and totals come back the same way.
-So rows grow with the blocks, ``FAN`` a block and hop, not with blocks times
-shards: 1 TB of text has 250,000 blocks, 170,000 shards of 1 million entries a
-word order, and so three hops of at most 250,000 * 56 = 14 million rows an order
-(their fan being the cube root of the shards).
+:mod:`maskwright.llm.exchange` does that in hops of bounded fan, so rows grow with
+the blocks: 1 TB of text has 250,000 blocks and 170,000 shards of 1 million
+entries a word order, and so three hops of at most 250,000 * 56 = 14 million rows
+an order (their fan being the cube root of the shards).
 
 Scale: rows that are shuffled are arrays of 6-byte keys, sorted, so they stay
 near 7 bytes a distinct n-gram and block; a word however frequent has one entry
-a block.  Blocks hold ``BLOCK_BYTES`` of text and shards about ``SHARD_KEYS``
+a block.  Blocks hold ``BLOCK_BYTES`` of text and shards about a million
 entries, both bounded however large the input is; a single text longer than a
 block is a block of its own.  Every table between the steps lies in the shared
 folder.
@@ -49,8 +46,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,14 +54,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm import exchange
 from maskwright.llm.common import fold, id_and_text, persist
 
 ORDER = 2
 MU = 256.0
 BLOCK_BYTES = 4 << 20
-SHARD_KEYS = 1_000_000
-#: Places that one block's lists go to, and blocks' lists that one place merges, at most.
-FAN = 256
 #: Hashes of what isn't a word of a text: no word holds a space.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"the end", b"the start"))
 KEY_BYTES = 6
@@ -164,152 +157,23 @@ def _count(codes: np.ndarray, use: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(codes[use], minlength=n).astype(np.uint32)
 
 
-def _route(shards: int) -> tuple[int, int]:
-    """(fan, hops): the least number of hops with a fan of at most FAN, and the least fan for it."""
-    hops = fan = 1
-    while FAN**hops < shards:
-        hops += 1
-    while fan**hops < shards:
-        fan += 1
-    return fan, hops
+def _width(k: int) -> int:
+    """Words keep all 64 bits, as their counts are results; longer grams 48 beside their shard."""
+    return KEY_BYTES if k else 8
 
 
-def _dealt(keys: np.ndarray, fan: int, hop: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(digit, positions of its keys in their order): where keys go at a hop, by their top bits, which 48-bit keys lack."""
-    digit = ((keys >> np.uint64(40)) // np.uint64(fan**hop) % np.uint64(fan)).astype(np.uint16)
-    order = np.argsort(digit, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(digit[order])) + 1):
-        if len(part):
-            yield int(digit[part[0]]), part
-
-
-def _packed(keys: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(data, np.uint64)
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view(np.uint64)
-
-
-def _width(k: int, last: bool) -> int:
-    """Words keep all 64 bits, as their counts are results; longer grams 48 beside their shard, on the last hop."""
-    return KEY_BYTES if k and last else 8
-
-
-def _numbers(counts: np.ndarray) -> bytes:
-    """Counts in 32 bits, or 64 where they need them, told by the first byte."""
-    wide = len(counts) and counts.max() >= 2**32
-    return bytes([8 if wide else 4]) + zlib.compress(counts.astype(np.uint64 if wide else np.uint32).tobytes(), 1)
-
-
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), np.uint64 if data[0] == 8 else np.uint32)
-
-
-LISTS = "place long, sender long, keys binary, counts binary"
-ANSWERS = "place long, sender long, totals binary, seen long"
-
-
-def _rows(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = [pa.int64() if x.split()[1] == "long" else pa.binary() for x in schema.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
-
-
-def _list_rows(keys: np.ndarray, counts: np.ndarray, sender: int, path: int, k: int, order: int, fan: int, hop: int, hops: int) -> Iterator[tuple]:
-    for digit, part in _dealt(keys, fan, hop):
-        yield (path * fan + digit) * order + k, sender, _packed(keys[part], _width(k, hop == hops - 1)), _numbers(counts[part])
-
-
-def _lists(order: int, fan: int, hops: int):
+def _lists(order: int, plan: exchange.Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 block, *parts = (batch.column(j)[i].as_py() for j in range(5))
                 b = Block(*parts, order)
                 for k in range(order):
-                    yield from _rows(list(_list_rows(b.keys[k], b.counts[k], block, 0, k, order, fan, 0, hops)), LISTS).to_batches()
+                    yield from exchange.lists(plan, b.keys[k], b.counts[k], block, k).to_batches()
 
     return run
 
 
-class _Merged:
-    """The union of several senders' lists for one place, and where each sender's keys are in it."""
-
-    def __init__(self, table: pa.Table, width: int):
-        self.senders = table["sender"].to_pylist()
-        keys = [_unpacked(x.as_py(), width) for x in table["keys"]]
-        self.cuts = np.cumsum([len(x) for x in keys])[:-1]
-        self.keys, self.where = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        counts = np.concatenate([_counts(x.as_py()) for x in table["counts"]])
-        self.counts = np.bincount(self.where, counts, len(self.keys)).astype(np.int64)
-
-    def answers(self, place: int, totals: np.ndarray, seen: int) -> pa.Table:
-        """Each sender's totals in its own order."""
-        rows = [(place, sender, _numbers(totals[x]), 0) for sender, x in zip(self.senders, np.split(self.where, self.cuts), strict=True)]
-        rows[0] = (*rows[0][:3], seen)
-        return _rows(rows, ANSWERS)
-
-
-def _totals(order: int):
-    """Adds a shard's counts and answers each sender; of words, tells how many learnt ones there are."""
-
-    def run(key, table):
-        k = key[0].as_py() % order
-        m = _Merged(table, _width(k, True))
-        seen = int(((m.counts > 0) & (m.keys != np.uint64(START))).sum()) if k == 0 else 0
-        return m.answers(key[0].as_py(), m.counts, seen)
-
-    return run
-
-
-def _merge(order: int, fan: int, hop: int, hops: int):
-    """One list of several senders' lists, dealt out for the next hop."""
-
-    def run(key, table):
-        place, group = key[0].as_py(), key[1].as_py()
-        path, k = divmod(place, order)
-        m = _Merged(table, 8)
-        return _rows(list(_list_rows(m.keys, m.counts, group, path, k, order, fan, hop + 1, hops)), LISTS)
-
-    return run
-
-
-def _spread(order: int, fan: int, hop: int):
-    """The totals of a merged list, passed on to its senders."""
-
-    def run(key, table, answers):
-        place = key[0].as_py()
-        path, k = divmod(place, order)
-        m = _Merged(table, 8)
-        got = {x: _counts(y.as_py()) for x, y in zip(answers["place"].to_pylist(), answers["totals"], strict=True)}
-        totals = np.zeros(len(m.keys), np.int64)
-        for digit, part in _dealt(m.keys, fan, hop + 1):
-            totals[part] = got[(path * fan + digit) * order + k]
-        return m.answers(place, totals, sum(answers["seen"].to_pylist()))
-
-    return run
-
-
-def _answered(lists: DataFrame, senders: int, order: int, fan: int, hop: int, hops: int) -> DataFrame:
-    """Totals for every row of ``lists``."""
-    if hop == hops - 1:
-        return persist(lists.groupBy("place").applyInArrow(_totals(order), ANSWERS), "totals")
-    groups = -(-senders // fan)
-    # Blocks are dealt to groups by a hash; groups are numbered densely.
-    group = F.pmod(F.xxhash64("sender"), F.lit(groups)) if hop == 0 else F.floor(F.col("sender") / fan)
-    lists = persist(lists.withColumn("team", group.cast("long")), "lists")
-    merged = lists.groupBy("place", "team").applyInArrow(_merge(order, fan, hop, hops), LISTS)
-    up = _answered(merged, groups, order, fan, hop + 1, hops)
-    above = F.floor(F.floor(F.col("place") / order) / fan) * order + F.col("place") % order
-    up = up.withColumn("above", above.cast("long"))
-    return persist(lists.groupBy("place", "team").cogroup(up.groupBy("above", "sender")).applyInArrow(_spread(order, fan, hop), ANSWERS), "totals")
-
-
 class Automaton:
     """The part of the backoff automaton that one block's texts can visit.
 
@@ -360,18 +224,15 @@ class Automaton:
         return total
 
 
-def _scores(order: int, fan: int, hops: int, mu: float, n: int, v: int):
+def _scores(order: int, plan: exchange.Plan, mu: float, n: int, v: int):
     def run(key, blocks, answers):
         kind = blocks.schema.field("ids").type.value_type
         if not blocks.num_rows:
             return pa.table([pa.array([], kind), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], OUT)
         b = Block(*(blocks[c][0].as_py() for c in ("words", "codes", "lengths", "train")), order)
         got = dict(zip(answers["place"].to_pylist(), answers["totals"], strict=True))
-        totals = []
-        for k, keys in enumerate(b.keys):
-            totals.append(np.zeros(len(keys), np.int64))
-            for digit, part in _dealt(keys, fan, 0):
-                totals[k][part] = _counts(got.pop(digit * order + k).as_py())
+        totals = [exchange.totals(plan, keys, got, k) for k, keys in enumerate(b.keys)]
+        del got
         base = (totals[0] + 0.1) / (n + 0.1 * (v + 1))
         auto = Automaton(b, totals, order, mu, base)
         known = (totals[0] > 0)[b.token]
@@ -394,13 +255,16 @@ def score(docs: DataFrame, learn: Column | None = None, order: int = ORDER, mu:
     rows = id_and_text(docs, id_col, text_col).withColumn("learn", F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
     kind = dict(rows.dtypes)["doc_id"]
     blocks = persist(rows.mapInArrow(_blocks(block_bytes), f"block long, words binary, codes binary, lengths binary, train binary, n_tokens long, n_train long, train_docs long, ids array<{kind}>"), "blocks")
-    sizes = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.count("*")).first()
-    tokens, n = sizes[0] or 0, sizes[1] or 0
-    fan, hops = _route(max(1, math.ceil(tokens / SHARD_KEYS)))
-    lists = blocks.select("block", "words", "codes", "lengths", "train").mapInArrow(_lists(order, fan, hops), LISTS)
-    answers = _answered(lists, sizes[2], order, fan, 0, hops)
-    v = answers.agg(F.sum("seen")).first()[0] or 0
-    out = blocks.groupBy("block").cogroup(answers.select("place", F.col("sender").alias("block"), "totals").groupBy("block")).applyInArrow(_scores(order, fan, hops, mu, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    sizes = blocks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("train_docs"), F.count("*")).first()
+    tokens, n, learnt, senders = (x or 0 for x in sizes)
+    plan = exchange.Plan(tokens, order, _width)
+    lists = blocks.select("block", "words", "codes", "lengths", "train").mapInArrow(_lists(order, plan), exchange.LISTS)
+    answers = exchange.answered(lists, plan, senders)
+    # The start of texts is listed among the words, but is none.
+    v = (answers.agg(F.sum("seen")).first()[0] or 0) - (learnt > 0)
+    asked = exchange.parted(blocks, "block", senders)
+    told = exchange.parted(answers.select("place", F.col("sender").alias("block"), "totals"), "block", senders)
+    out = asked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(order, plan, mu, n, v), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

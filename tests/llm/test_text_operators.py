@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from maskwright.llm import decontaminate, language_id, license_scan, mixing_coder, ngram_lm, packing, token_store, toxicity, url_filter
+from maskwright.llm import decontaminate, exchange, language_id, license_scan, mixing_coder, ngram_lm, packing, token_store, toxicity, url_filter
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, score double, rule string"
@@ -59,9 +59,9 @@ def brute_lm(rows, order, mu):
 
 @pytest.mark.parametrize("order,block,fan", [(1, 1 << 20, 256), (2, 300, 256), (2, 300, 4), (3, 500, 3), (4, 1 << 20, 256)])
 def test_lm_against_brute_force(spark, monkeypatch, order, block, fan):
-    monkeypatch.setattr(ngram_lm, "SHARD_KEYS", 200)
-    monkeypatch.setattr(ngram_lm, "FAN", fan)
-    assert ngram_lm._route(1 + 7000 // 200)[1] == {256: 1, 4: 3, 3: 4}[fan]
+    monkeypatch.setattr(exchange, "SHARD_KEYS", 200)
+    monkeypatch.setattr(exchange, "FAN", fan)
+    assert exchange.Plan(7000).hops == {256: 1, 4: 3, 3: 4}[fan]
     rng = random.Random(order)
     rows = [(i, " ".join(rng.choice("the of And a b c d É".split()) for _ in range(rng.randrange(0, 30)))) for i in range(80)] + [(200, None), (201, ""), (202, "  \n"), (203, "x y " * 3000), (204, "new1 new2 the of")]
     docs = frame(spark, [(i, t, None) for i, t in rows])
