@@ -42,16 +42,16 @@ import numpy as np
 
 BLOCK_IDS = 1 << 20
 DISTINCT = 1 << 15
-LANES = 2048
+LANES = 4096
 #: Ids of a stretch, at least: what its last digit and its length cost is shared by them.
 STRETCH_IDS = 128
 #: Order-2 contexts are hashed to so many places.
 PLACES = 1 << 17
 #: Ids after which the tables are made anew, at most; a young block's are made anew sooner.
-REFRESH = 1 << 14
+REFRESH = 1 << 16
 SURE = 7
-#: Confidence of both orders (3 bits each), whether they agree, order-0 shares of both guesses (3 bits each).
-CONTEXTS = 1 << 13
+#: Confidence of both orders (3 bits each), whether they agree, order-0 shares of both guesses (2 bits each).
+CONTEXTS = 1 << 11
 #: So many outcomes weigh the mixture against what a context itself has shown.
 PRIOR = 24
 TOTAL = 1 << 16
@@ -69,7 +69,7 @@ SQUASH = _squash_table()
 STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2047).clip(-2047, 2047)
 
 _context = np.arange(CONTEXTS)
-SURE_2, SURE_1, AGREE, SHARE_2, SHARE_1 = _context >> 10, _context >> 7 & 7, _context >> 6 & 1, _context >> 3 & 7, _context & 7
+SURE_2, SURE_1, AGREE, SHARE_2, SHARE_1 = _context >> 8, _context >> 5 & 7, _context >> 4 & 1, _context >> 2 & 3, _context & 3
 
 
 class _Flag:
@@ -126,8 +126,8 @@ class _Lanes:
         width = (one * rest // (4096 * 256)).clip(1, rest - 1)
         self.end_one = np.where(AGREE, self.end_two, self.end_two + width)
         share = self.all * 4096 // int(self.all.sum())
-        # log2 of the share: under 1/2048, 1/1024, ... up to 1/32 and above.
-        self.share = np.searchsorted([2, 4, 8, 16, 32, 64, 128], share, side="right")
+        # Under 1/1024, 1/256, 1/64, and above.
+        self.share = np.searchsorted([4, 16, 64], share, side="right")
         width = 1 + self.missed * (TOTAL - self.kinds) // int(self.missed.sum())
         width[int(np.argmax(width))] += TOTAL - int(width.sum())
         self.starts = np.concatenate([[0], np.cumsum(width)])
@@ -159,9 +159,9 @@ class _Lanes:
         place = ((one << 15 | two) * 2654435761 >> 24) & (PLACES - 1)
         first, second = self.after[one], self.after_two[place]
         guess_1, sure_1, guess_2, sure_2 = first >> 3, first & SURE, second >> 3, second & SURE
-        context = (((sure_2 << 3 | sure_1) << 1 | (guess_1 == guess_2)) << 3 | self.share[guess_2]) << 3 | self.share[guess_1]
+        context = (((sure_2 << 3 | sure_1) << 1 | (guess_1 == guess_2)) << 2 | self.share[guess_2]) << 2 | self.share[guess_1]
         rank, outcome = self.code(t, m, guess_2, guess_1, self.end_two[context], self.end_one[context])
-        right = outcome == 0
+        right = outcome == 0  # 1: order 1 was right, 2: neither
         self.after_two[place] = np.where(right, second + (sure_2 < SURE), np.where(sure_2 > 1, guess_2 << 3 | sure_2 >> 1, rank << 3))
         right = rank == guess_1
         self.after[one] = np.where(right, first + (sure_1 < SURE), np.where(sure_1 > 1, guess_1 << 3 | sure_1 >> 1, rank << 3))
@@ -172,6 +172,15 @@ class _Lanes:
         self.one[:m] = rank
 
 
+def _ends(hit: np.ndarray, miss: np.ndarray, end_two: np.ndarray, end_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the outcome's range starts and stops: 0, end_two, end_one and TOTAL part the three."""
+    start = np.where(miss, end_one, end_two)
+    stop = np.where(hit, end_two, end_one)
+    start[hit] = 0
+    stop[miss] = TOTAL
+    return start, stop
+
+
 class _Encoder(_Lanes):
     def __init__(self, ranks: np.ndarray, lanes: int, kinds: int):
         super().__init__(len(ranks), lanes, kinds)
@@ -180,12 +189,12 @@ class _Encoder(_Lanes):
         self.at = np.ascontiguousarray(padded.reshape(lanes, self.steps).T)
         self.low = np.zeros(lanes, np.int64)
         #: Digits by place, then stretch; a carry stays in its digit's 17th bit until the end.
-        self.out = np.zeros((2 * self.steps + 2, lanes), np.uint32)
-        self.pos = np.zeros(lanes, np.int64)
-        self.every = np.arange(lanes)
+        self.out = np.zeros((2 * self.steps + 2) * lanes, np.uint32)
+        self.pos = np.arange(lanes)  # place of a stretch's next digit in ``out``: a row of ``lanes`` on from the last
         self.run()
-        self.out[self.pos, self.every] = (self.low + 0xFFFFFFFF) >> 32
-        self.pos += 1
+        self.out[self.pos] = (self.low + 0xFFFFFFFF) >> 32
+        self.pos = self.pos // lanes + 1
+        self.out = self.out.reshape(-1, lanes)
         for i in range(len(self.out) - 1, 0, -1):
             self.out[i - 1] += self.out[i] >> 16
         self.out &= 0xFFFF
@@ -193,27 +202,28 @@ class _Encoder(_Lanes):
     def code(self, t, m, guess_2, guess_1, end_two, end_one):
         rank = self.at[t, :m]
         hit, miss = rank == guess_2, (rank != guess_2) & (rank != guess_1)
-        start = np.where(hit, 0, np.where(miss, end_one, end_two))
-        stop = np.where(hit, end_two, np.where(miss, TOTAL, end_one))
-        low, width, pos = self.narrow(self.low[:m], self.range[:m], self.pos[:m], self.every[:m], start, stop)
+        start, stop = _ends(hit, miss, end_two, end_one)
+        low, width, pos = self.narrow(self.low[:m], self.range[:m], self.pos[:m], start, stop)
         at = np.flatnonzero(miss)
         if len(at):
             lost = rank[at]
-            low[at], width[at], pos[at] = self.narrow(low[at], width[at], pos[at], at, self.starts[lost], self.starts[lost + 1])
+            low[at], width[at], pos[at] = self.narrow(low[at], width[at], pos[at], self.starts[lost], self.starts[lost + 1])
             self.misses.append(lost)
         self.low[:m], self.range[:m], self.pos[:m] = low, width, pos
-        return rank, np.where(hit, 0, 1 + miss)
+        return rank, 1 + miss - hit
 
-    def narrow(self, low, width, pos, lane, start, stop):
+    def narrow(self, low, width, pos, start, stop):
         part = width >> 16
         low = low + start * part
         width = (stop - start) * part
-        need = width < 1 << 32
-        full = np.flatnonzero(need)
-        self.out[pos[full], lane[full]] = low[full] >> 32
-        low[full] = (low[full] & 0xFFFFFFFF) << 16
+        full = np.flatnonzero(width < 1 << 32)
+        due, at = low[full], pos[full]
+        self.out[at] = due >> 32
+        low[full] = (due & 0xFFFFFFFF) << 16
         width[full] <<= 16
-        return low, width, pos + need
+        pos = pos.copy()
+        pos[full] = at + self.lanes
+        return low, width, pos
 
 
 class _Decoder(_Lanes):
@@ -235,8 +245,7 @@ class _Decoder(_Lanes):
         part = width >> 16
         goal = (value / part).astype(np.int64)
         hit, miss = goal < end_two, goal >= end_one
-        start = np.where(hit, 0, np.where(miss, end_one, end_two))
-        stop = np.where(hit, end_two, np.where(miss, TOTAL, end_one))
+        start, stop = _ends(hit, miss, end_two, end_one)
         value, width, pos = self.narrow(value, part, pos, start, stop)
         rank = np.where(hit, guess_2, guess_1)
         at = np.flatnonzero(miss)
@@ -248,17 +257,19 @@ class _Decoder(_Lanes):
             self.misses.append(lost)
         self.value[:m], self.range[:m], self.pos[:m] = value, width, pos
         self.at[t, :m] = rank
-        return rank, np.where(hit, 0, 1 + miss)
+        return rank, 1 + miss - hit
 
     def narrow(self, value, part, pos, start, stop):
         value = value - start * part
         width = (stop - start) * part
-        need = width < 1 << 32
-        full = np.flatnonzero(need)
-        # A damaged block may ask for more digits than there are; its checksum then fails.
-        value[full] = value[full] << 16 | self.data[np.minimum(pos[full], len(self.data) - 1)]
+        full = np.flatnonzero(width < 1 << 32)
+        # A damaged block may ask for more digits than there are, or be far outside its range; its checksum then fails.
+        at = pos[full]
+        value[full] = (value[full] << 16 | self.data.take(at, mode="clip")) & 0xFFFFFFFFFFFF
         width[full] <<= 16
-        return value & 0xFFFFFFFFFFFF, width, pos + need
+        pos = pos.copy()
+        pos[full] = at + 1
+        return value, width, pos
 
 
 def _lanes(n: int) -> int:
@@ -267,8 +278,18 @@ def _lanes(n: int) -> int:
     return -(-n // steps)
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and each id's place among them."""
+    if ids.max() > 1 << 20:
+        return np.unique(ids, return_inverse=True)
+    kinds = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(int(kinds[-1]) + 1, np.int64)
+    place[kinds] = np.arange(len(kinds))
+    return kinds, place[ids]
+
+
 def _block(ids: np.ndarray) -> bytes:
-    kinds, ranks = np.unique(ids, return_inverse=True)
+    kinds, ranks = _ranked(ids)
     e = _Encoder(ranks, _lanes(len(ids)), len(kinds))
     dictionary = zlib.compress(np.diff(kinds, prepend=0).astype("<u4").tobytes(), 6)
     digits = e.out.T[np.arange(len(e.out)) < e.pos[:, None]]
@@ -287,7 +308,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
     out, at = [], 0
     while at < len(ids):
         n = min(block_ids, len(ids) - at)
-        while n > DISTINCT and len(np.unique(ids[at : at + n])) > DISTINCT:
+        while n > DISTINCT and len(_ranked(ids[at : at + n])[0]) > DISTINCT:
             n //= 2
         out.append(_block(np.asarray(ids[at : at + n], np.int64)))
         at += n

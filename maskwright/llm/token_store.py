@@ -21,7 +21,8 @@ Arrow's file systems (local and mounted paths, HDFS, S3, GCS, ABFS).
 
 Encoding splits a text where a blank precedes a character that isn't white
 space: the byte-level pre-tokenizer always starts a token there, so a stretch
-between two such places is encoded once a task and looked up afterwards.
+between two such places is encoded once a task and looked up afterwards.  New
+stretches of printable ASCII go to the tokenizer's model piece by piece.
 
 Scale: one range shuffle by id and text, then narrow passes.  Reading deals out
 segments, not files.  A document's start is its partition's start, added up from
@@ -40,6 +41,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +55,13 @@ from maskwright.llm import mixing_coder
 from maskwright.llm.common import persist, scratch
 
 END_ID = 2
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Distinct stretches of text whose ids a task remembers.
 STRETCHES = 500_000
+#: Stretches of printable ASCII, in which the byte-level pre-tokenizer changes nothing but the blank, without a start of a special token.
+PLAIN = re.compile(r" ?[!-;=-~]+").fullmatch
+# Fixed value: the byte-level pre-tokenizer's pattern, for such stretches.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+").findall
 ODD = re.compile(r" (?=\s)| $")
 CUT = re.compile(r"(?= \S)")
 MAGIC = b"MWTOKENS"
@@ -85,11 +91,18 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Numbers()
+        self.known, self.pieces = _Numbers(), {}
         #: Ids of all stretches behind one another, and where each begins; number 0 is the end id.
         self.known[None] = 0
         self.ids, self.begin = np.array([self.end_id], np.int64), np.array([0, 1], np.int64)
 
+    def _piece(self, piece: str) -> list[int]:
+        got = self.pieces.get(piece)
+        if got is None:
+            # What the pre-tokenizer would hand over: a blank is written as U+0120.
+            got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.replace(" ", "\u0120"))]
+        return got
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         if not text:
@@ -108,12 +121,19 @@ class Encoder:
         for text in texts:
             cut = self.stretches(text)
             parts += [np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut)), end]
-        if self.known.waiting:
-            new = [e.ids for e in self.tokenizer.encode_batch(self.known.waiting, add_special_tokens=False)]
-            self.known.waiting.clear()
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.int64) for x in new)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        if waiting := self.known.waiting:
+            ids, sizes = array("I"), array("I")
+            for stretch in waiting:
+                before = len(ids)
+                if PLAIN(stretch):
+                    for piece in PIECE(stretch):
+                        ids.extend(self._piece(piece))
+                else:
+                    ids.extend(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+                sizes.append(len(ids) - before)
+            waiting.clear()
+            self.ids = np.concatenate([self.ids, np.array(ids, np.int64)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
         number = np.concatenate([*parts, np.empty(0, np.int64)])
         begin = self.begin[number]
         size = self.begin[number + 1] - begin
