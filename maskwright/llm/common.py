@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,8 +105,45 @@ def filtered(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], list[b
     return docs.select("*", text).mapInArrow(run, docs.schema)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """Rows of ``docs`` whose (id, ``text``) isn't in ``gone``, a table of two columns; nulls equal nulls."""
-    key = fresh(docs, "gone_id"), fresh(docs, "gone_text")
-    gone = gone.toDF(*key)
-    return docs.join(gone, F.col(id_col).eqNullSafe(gone[key[0]]) & text.eqNullSafe(gone[key[1]]), "left_anti")
+def mark(text_col: str = "text") -> Column:
+    """128 bits of a text (null: empty): with the id, they name a row well enough to find it again."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose (id, mark) isn't in ``gone``, a table of two columns; nulls equal nulls."""
+    return _met(docs, gone, id_col, text_col, "left_anti")
+
+
+def once(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each (id, mark) of ``twice``, a table of two columns that few rows are in."""
+    if twice.isEmpty():
+        return docs
+    some = _met(docs, twice, id_col, text_col, "left_semi")
+    name = fresh(docs, "mark")
+    some = some.withColumn(name, mark(text_col)).dropDuplicates([id_col, name]).drop(name)
+    return without(docs, twice, id_col, text_col).unionByName(some)
+
+
+def _met(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    names = fresh(docs, "key_id"), fresh(docs, "key_mark")
+    keys = keys.toDF(*names)
+    return docs.join(keys, docs[id_col].eqNullSafe(keys[names[0]]) & mark(text_col).eqNullSafe(keys[names[1]]), how)
+
+
+#: Size of a bitmap of hashed keys: 1 MB.
+BITS = 1 << 23
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """BITS bools: which numbers (0 up to BITS, one column of ``slots``) occur.
+
+    Words of 64 bits are or-ed on the executors, so at most BITS / 64 rows reach
+    the driver however many keys there are.
+    """
+    slots = slots.toDF("slot")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little").astype(bool)

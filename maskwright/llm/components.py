@@ -3,8 +3,9 @@
 Each round hangs a node's larger neighbours, then its smaller ones, on the
 smallest neighbour; the number of rounds grows with the logarithm of the
 diameter.  Links stay distributed, every round is written in the shared folder
-and the one before it is deleted.  Minima are pre-aggregated, so a node with
-very many links costs no single task.
+and the one before it is deleted.  Minima are pre-aggregated and written before
+they meet the links, so both sides of that join are plain shuffles: adaptive
+execution splits the partition of a node with very many links.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from maskwright.llm.common import drop_table, persist
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v): u > v. Large: each v' > u goes to u's smallest neighbour; small: each v <= u does."""
+    """Replaces the table edges (u, v): u > v. Large: each v' > u goes to u's smallest neighbour; small: each v <= u does."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = persist(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     moved = both.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    after = persist(out.where("u > v").distinct(), "links")
+    drop_table(least)
+    drop_table(edges)
+    return after
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,10 +36,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = persist(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
     before = None
     while True:
-        after = persist(_star(_star(edges, True), False), "links")
-        mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        drop_table(edges)
-        edges = after
+        edges = _star(_star(edges, True), False)
+        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break
         before = mark

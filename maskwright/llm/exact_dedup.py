@@ -7,16 +7,19 @@ right one's length, ``H(ab) = H(a) * r^len(b) + H(b)``, so all chunks of a huge
 document are hashed in one matrix product and then folded pairwise, and
 documents that arrive in pieces are combined by :func:`combine_pieces`.
 
-Documents with equal (length, fingerprint) are candidates.  Their texts are
-compared chunk by chunk with the text of the group's smallest id; a group is
-believed only if every byte agreed.  Groups in which a comparison failed are
-regrouped on the texts themselves.
-
-Scale: one narrow pass makes about 100 bytes a document, the grouping is a
-pre-aggregated count, and only texts of groups of two or more are shuffled.  A
-group's members are dealt over ``ceil(size / MEMBERS)`` parts, each with a copy
-of the leader's chunks, so a group with a third of all rows spreads over all
-tasks.  All intermediate tables lie in the shared folder.
+Documents with equal (length, fingerprint) are candidates.  Their texts are cut
+into chunks of ``COMPARE`` bytes, and of each place in a group the least and the
+greatest chunk are found: the group is believed only if they are the same
+everywhere.  Groups in which a comparison failed are regrouped on the texts
+themselves.
+
+Scale: one narrow pass makes about 150 bytes a document, and the grouping is a
+pre-aggregated count.  The comparison passes over the texts once more; a bitmap
+of the candidates' fingerprints lets most others go, and each task compares what
+it holds itself, so of a group with a third of all rows a task shuffles one row a
+chunk.  The groups are written before the documents join them, so that adaptive
+execution can split such a group's partition.  All intermediate tables lie in
+the shared folder.
 
 Defined cases: null text counts as empty and all empty texts are one group; a
 null id never wins over a non-null one; a group of null ids only is kept; repeated rows stay
@@ -31,16 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import WS, id_and_text, persist
+from maskwright.llm.common import BITS, WS, bitmap, id_and_text, mark, once, persist, without
 
 CHUNK = 4096
 #: Bytes compared at once when equal fingerprints are verified.
 COMPARE = 1 << 20
-#: Members of one group that are compared in one part.
-MEMBERS = 512
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 1_664_525_001)
 
@@ -136,72 +137,78 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one.append(a)
             two.append(b)
             sha.append(hashlib.sha256(text).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "raw", "n_bytes", "fp1", "fp2", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "mark", *KEY, "text_sha256"])
 
 
 KEY = ["n_bytes", "fp1", "fp2"]
 
 
 def _groups(digests: DataFrame) -> DataFrame:
-    return digests.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return persist(digests.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
 
 
 def _with_groups(digests: DataFrame, groups: DataFrame) -> DataFrame:
     out = digests.join(groups, KEY, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "raw", *KEY)
-
+    return out.select("doc_id", "mark", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
-def _norm_text() -> Column:
-    return F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WS, " ")
 
+def _slot(n: int, one: int, two: int) -> int:
+    return (n * 31 + one * 7 + two) % BITS
 
-def _differing(texts: DataFrame, digests: DataFrame, groups: DataFrame) -> DataFrame:
-    """(KEY) of groups in which some member's text isn't the leader's."""
-    members = digests.join(groups, KEY).select("doc_id", "raw", *KEY, "keep_id", "group_size")
-    # doc_id and the raw text's hash name a row well enough to fetch its text again.
-    named = members.groupBy("doc_id", "raw").agg(*[F.first(c).alias(c) for c in (*KEY, "keep_id", "group_size")])
-    found = texts.join(named.hint("shuffle_hash"), [texts.doc_id.eqNullSafe(named.doc_id), texts.raw == named.raw]).select(texts.doc_id, texts.text, *KEY, "keep_id", F.ceil(F.col("group_size") / MEMBERS).cast("int").alias("parts"))
-    norm = found.withColumn("norm", _norm_text().cast("binary")).drop("text")
-    chunks = norm.withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("n_bytes") / COMPARE).cast("int")))).withColumn("chunk", F.expr(f"substring(norm, at * {COMPARE} + 1, {COMPARE})")).drop("norm")
-    member = chunks.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    leader = chunks.where("doc_id <=> keep_id").select(*KEY, "at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("chunk").alias("first"))
-    return member.join(leader, [*KEY, "at", "part"]).where("chunk != first").select(*KEY).distinct()
 
+def _differing(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(KEY) of groups in which not all texts are the same."""
+    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap(groups.select((F.col("n_bytes") * 31 + F.col("fp1") * 7 + F.col("fp2")) % BITS))).tobytes())
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw"))
-    source = id_and_text(docs, id_col, text_col).withColumn("raw", F.xxhash64(F.col("text").cast("string")))
-    texts = rows.withColumn("raw", F.xxhash64(F.coalesce("text", F.lit(""))))
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        for batch in batches:
+            out = []
+            for x in batch.column(0):
+                text = normalised(x.as_py())
+                a, b = fingerprint(text)
+                if bits[_slot(len(text), a, b)]:
+                    out += [(len(text), a, b, at, text[at : at + COMPARE]) for at in range(0, len(text), COMPARE)]
+            cut = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cut, (*[pa.int64()] * 4, pa.binary()), strict=True)], [*KEY, "at", "chunk"])
+
+    cut = rows.select("text").mapInArrow(chunks, "n_bytes long, fp1 long, fp2 long, at long, chunk binary")
+    return cut.groupBy(*KEY, "at").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest")).where("least != greatest").select(*KEY).distinct()
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, keep_id, group_size, kept, text_sha256."""
+    rows = id_and_text(docs, id_col, text_col).withColumn("mark", mark())
     kind = dict(rows.dtypes)["doc_id"]
-    digests = persist(source.mapInArrow(_digest, f"doc_id {kind}, raw long, n_bytes long, fp1 long, fp2 long, text_sha256 string"), "digests")
+    digests = persist(rows.mapInArrow(_digest, f"doc_id {kind}, mark binary, n_bytes long, fp1 long, fp2 long, text_sha256 string"), "digests")
     groups = _groups(digests)
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    differing = persist(_differing(texts, digests, groups), "differing")
+    differing = persist(_differing(rows, groups), "differing")
     if differing.isEmpty():
-        return _with_groups(digests, groups).select(*out)
+        return _with_groups(digests, groups)
     # A fingerprint collided: those groups, and only those, are formed on whole texts.
-    sure = _with_groups(digests.join(differing, KEY, "left_anti"), groups).select(*out)
-    rest = digests.join(differing, KEY).select("doc_id", "raw", "text_sha256").distinct()
-    rest = rest.join(texts, [rest.doc_id.eqNullSafe(texts.doc_id), rest.raw == texts.raw]).select(rest.doc_id, "text_sha256", _norm_text().alias("norm"))
-    by_text = rest.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    again = rest.join(by_text, "norm").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    sure = _with_groups(digests.join(differing, KEY, "left_anti"), groups)
+    rest = digests.join(differing, KEY).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "text_sha256").distinct()
+    rest = rows.join(rest, rows.doc_id.eqNullSafe(rest.d) & (rows.mark == rest.m)).select("doc_id", "mark", "text_sha256", F.regexp_replace(F.col("text").cast("string"), WS, " ").alias("norm"))
+    by_text = persist(rest.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    again = rest.join(by_text, "norm").select("doc_id", "mark", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return sure.unionByName(again)
 
 
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(docs, id_col, text_col).drop("mark")
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    A row repeated with the same id is kept once.
+    Rows are told apart by id and text, so an id's other texts are safe.  Of rows
+    of one group with the same id, or none, one stays.
     """
-    judged = exact_duplicates(docs, id_col, text_col)
-    # Ids with a dropped row; an id may also have a kept one with another text, hence the text's hash.
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    twice = judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS, " ").cast("binary"), 256)
-    out = docs.join(gone, [F.col(id_col).eqNullSafe(F.col("__id")), sha == F.col("__sha")], "left_anti")
-    if twice.isEmpty():
-        return out
-    marked = out.withColumn("__sha", sha)
-    return marked.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    judged = persist(_judged(docs, id_col, text_col), "judged")
+    several = judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.min("mark").alias("one")).where("n > 1")
+    several = persist(several.select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha"), "one"), "several")
+    others = judged.where("kept").join(several, judged.doc_id.eqNullSafe(several.d) & (judged.text_sha256 == several.sha))
+    gone = judged.where("NOT kept").select("doc_id", "mark").unionByName(others.where("mark != one").select("doc_id", "mark")).distinct()
+    return once(without(docs, persist(gone, "gone"), id_col, text_col), several.select("d", "one"), id_col, text_col)

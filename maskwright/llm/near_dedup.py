@@ -14,8 +14,9 @@
 4. Lists that now lie in one component are finished: further pairs in them can't
    change a result.  In the others, all pairs that cross components are
    examined; long lists in blocks of ``BLOCK`` by ``BLOCK`` within tasks, which
-   compare full sets and pass on a spanning forest of their links.  These join
-   the first ones.
+   compare full sets and pass on a spanning forest of their links.  A block holds
+   classes of like size (``BAND``), so it meets only its own band and the next.
+   These links join the first ones.
 
 No partner or candidate is capped: what a pivot doesn't settle, step 4 does.
 The bounds on sketches are so low that a pair at the very threshold fails one
@@ -23,8 +24,11 @@ with a chance of 1e-7; apart from that the result equals that of comparing all
 pairs.
 
 Scale: texts are read twice (the second time only texts in surviving pairs keep
-their sets); the largest shuffle is one row a retained value.  Memory is that of
-one text, or of two blocks of sets.
+their sets); values are counted by :mod:`maskwright.llm.exchange`, so a frequent
+one costs an entry a block of classes; the largest shuffle is one row a posted
+value.  Tables that a hot key is joined with are written first, so that adaptive
+execution can split its partition.  Memory is that of one text, or of two blocks
+of sets.
 
 Defined cases: null, empty and all-blank texts have an empty set, link with
 nothing and are kept; a text of fewer words than a shingle is one shingle of
@@ -37,7 +41,6 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +49,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import drop_table, id_and_text, persist
+from maskwright.llm import exchange
+from maskwright.llm.common import BITS, bitmap, drop_table, id_and_text, mark, once, persist, without
 from maskwright.llm.components import components
 
 SKETCH = 128
@@ -55,18 +59,19 @@ FILTERS = (16, SKETCH)
 #: Chance that a linked pair fails a bound.
 TAIL = 1e-7
 PIVOTS = 4
-#: Classes whose values are counted and listed together, and values that one shard counts, about.
+#: Classes whose values are counted and listed together.
 LISTED = 4096
-SHARD_VALUES = 1_000_000
-#: Size of the bitmap of ids whose texts are wanted again: 1 MB.
-BITS = 1 << 23
 #: Lists up to this size are joined with themselves; longer ones are examined in blocks.
 SHORT = 48
-BLOCK = 4096
+BLOCK = 1024
+#: Sizes of one band differ by less than this factor at most; similar sets are in one band or in neighbours.
+BAND = 1.25
 #: Rows of a block that are compared with the other block at once.
 STRIPE = 256
 #: Distinct words whose hashes one task remembers.
 WORDS = 1_000_000
+#: Odd, so multiplying by it is one to one.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_HASH = b"\0" * 16
 
 
@@ -190,31 +195,25 @@ def _filtered(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def _some(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id may be in ``ids``, without a shuffle: by a bitmap of BITS hashed ids.
+def _some(rows: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows (id, ``columns``) whose id may be in ``ids``, without a shuffle: by a bitmap of hashed ids.
 
     Its size is fixed; with more ids than it can tell apart it lets more rows
     pass, and the join that follows drops them.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
-        for batch in batches:
-            bits[np.asarray(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
-
-    parts = ids.select(slot.alias("slot")).coalesce(4).mapInArrow(marked, "bits binary").collect()
-    whole = np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in parts] or [np.zeros(BITS // 8, np.uint8)])
-    sent = rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids.select(slot))).tobytes())
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
-            found = batch.filter(pa.array(bits[np.asarray(batch.column(2))]))
-            yield pa.RecordBatch.from_arrays(found.columns[:2], ["doc_id", "text"])
+            last = batch.num_columns - 1
+            found = batch.filter(pa.array(bits[np.asarray(batch.column(last))]))
+            yield pa.RecordBatch.from_arrays(found.columns[:last], batch.schema.names[:last])
 
-    return rows.select("doc_id", "text", slot.alias("slot")).where("doc_id IS NOT NULL").mapInArrow(passed, rows.select("doc_id", "text").schema)
+    out = rows.select("doc_id", *(columns or ["text"]))
+    return rows.select(*out.columns, slot.alias("slot")).where("doc_id IS NOT NULL").mapInArrow(passed, out.schema)
 
 
 def _measure(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -248,50 +247,31 @@ def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made += 1
 
 
-def _by_shard(values: bytes, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, distinct values ascending, counts): the order in which a block asks and is answered."""
-    distinct, counts = np.unique(np.frombuffer(values, np.int64), return_counts=True)
-    shard = (distinct.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(part):
-            yield int(shard[part[0]]), distinct[part], counts[part]
-
-
-def _asked(shards: int):
+def _asked(plan: exchange.Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(s, block, v.tobytes(), zlib.compress(n.astype(np.uint32).tobytes(), 1)) for s, v, n in _by_shard(values.as_py(), shards)]
-                for lo in range(0, len(rows), 256):
-                    cut = list(zip(*rows[lo : lo + 256], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cut, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "values", "counts"])
+                distinct, counts = _distinct(values.as_py())
+                yield from exchange.lists(plan, distinct, counts, block).to_batches()
 
     return run
 
 
-def _answered(key, table):
-    """How many classes hold each value, for each block in its own order."""
-    values = [np.frombuffer(x.as_py(), np.int64) for x in table["values"]]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in table["counts"]])
-    _, where = np.unique(np.concatenate(values), return_inverse=True)
-    held = np.bincount(where, counts)[where].astype(np.int64)
-    cut = np.split(held, np.cumsum([len(x) for x in values])[:-1])
-    return pa.table([pa.array([key[0].as_py()] * len(cut), pa.int64()), table["block"].combine_chunks(), pa.array([zlib.compress(x.tobytes(), 1) for x in cut], pa.binary())], ["shard", "block", "held"])
+def _distinct(values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct values and their counts, mixed as the exchange deals by top bits and sketches hold small values."""
+    return np.unique(np.frombuffer(values, np.uint64) * MIX, return_counts=True)
 
 
-def _posts(percent: int, shards: int):
+def _posts(percent: int, plan: exchange.Plan):
     need = np.array([overlap_needed(n, percent) for n in range(SKETCH + 1)])
 
     def run(key, blocks, answers):
         kind, out = blocks.schema.field("ids").type.value_type, []
         for r in blocks.to_pylist():
             values, lengths = np.frombuffer(r["values"], np.int64), np.frombuffer(r["lengths"], np.int32)
-            got = {x["shard"]: np.frombuffer(zlib.decompress(x["held"]), np.int64) for x in answers.to_pylist()}
-            asked = [(v, got[s]) for s, v, _ in _by_shard(r["values"], shards)]
-            names, held = np.concatenate([v for v, _ in asked]), np.concatenate([h for _, h in asked])
-            order = np.argsort(names)
-            held = held[order][np.searchsorted(names[order], values)]
+            names, _ = _distinct(r["values"])
+            held = exchange.totals(plan, names, dict(zip(answers["place"].to_pylist(), answers["totals"], strict=True)))
+            held = held[np.searchsorted(names, values.view(np.uint64) * MIX)]
             row = np.repeat(np.arange(len(lengths)), lengths)
             order = np.lexsort((values, held, row))
             rank = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -307,17 +287,17 @@ def posted(sigs: DataFrame, percent: int) -> DataFrame:
     """(value, doc_id, n): each set under the rarest of its retained values that other sets hold too.
 
     Sets of the wanted similarity share ``t`` retained values at least, so in any
-    common order they meet within the first ``size - t + 1`` of each.  Counts are
-    asked for by blocks of classes, a value once a block, and shards answer in
-    the block's order, so a frequent value costs one entry a block.
+    common order they meet within the first ``size - t + 1`` of each.
     """
     kind = dict(sigs.dtypes)["doc_id"]
     blocks = persist(sigs.select("doc_id", "n_shingles", "sketch").mapInArrow(_listing, f"block long, ids array<{kind}>, sizes array<long>, lengths binary, values binary"), "blocks")
-    total = blocks.agg(F.sum(F.length("values"))).first()[0] or 0
-    shards = max(1, math.ceil(total / 8 / SHARD_VALUES))
-    asked = blocks.select("block", "values").mapInArrow(_asked(shards), "shard long, block long, values binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answered, "shard long, block long, held binary")
-    out = persist(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_posts(percent, shards), f"value long, doc_id {kind}, n long"), "lists")
+    total, senders = blocks.agg(F.sum(F.length("values")), F.count("*")).first()
+    plan = exchange.Plan((total or 0) // 8)
+    answers = exchange.answered(blocks.select("block", "values").mapInArrow(_asked(plan), exchange.LISTS), plan, senders)
+    asked = exchange.parted(blocks, "block", senders)
+    told = exchange.parted(answers.select("place", F.col("sender").alias("block"), "totals"), "block", senders)
+    out = persist(asked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_posts(percent, plan), f"value long, doc_id {kind}, n long"), "lists")
+    drop_table(answers)
     drop_table(blocks)
     return out
 
@@ -449,10 +429,14 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
+#: More than the blocks of any band.
+WIDE = 1 << 40
+
+
 def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: DataFrame, sigs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) within lists that no component joins yet: enough of them to give the components."""
     labelled = lists.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("listed")).where("lo < hi").select("value", "listed")
+    mixed = persist(labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("listed")).where("lo < hi").select("value", "listed"), "mixed")
     met = persist(labelled.join(mixed, "value"), "mixed")
     short = met.where(F.col("listed") <= SHORT).select("value", "doc_id", "n", "component")
     mate = short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
@@ -470,10 +454,16 @@ def _crossing(lists: DataFrame, pivots: DataFrame, measured: DataFrame, comps: D
     known = asked.join(twice, ["doc_id", "d"], "left").withColumn("both", F.when(F.col("doc_id") == F.col("d"), F.col("n")).otherwise(F.col("both"))).where("both IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.collect_list(F.struct("d", "both")).alias("met"))
     every = long.groupBy("doc_id").agg(F.collect_set("value").alias("posted"))
-    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks"))
-    dealt = long.join(known, "doc_id", "left").join(every, "doc_id").withColumn("blocks", F.ceil(F.col("listed") / BLOCK).cast("long")).withColumn("block", block)
-    # A block meets itself and every other one; of two blocks the lower is side 0.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Blocks are numbered by band, then within it. A block meets itself, the others of its band and those of the bands beside it; of two blocks the lower is side 0.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9).cast("long")
+    banded = long.withColumn("band", band)
+    bands = banded.groupBy("value", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    bands = persist(bands.groupBy("value").agg(F.collect_list(F.struct("band", "blocks")).alias("bands")), "bands")
+    beside = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
+    own = F.element_at(F.filter("bands", lambda x: x["band"] == F.col("band")), 1)["blocks"]
+    others = F.flatten(F.transform(beside, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda i: x["band"] * WIDE + i)))
+    dealt = long.join(known, "doc_id", "left").join(every, "doc_id").withColumn("band", band).join(bands, "value")
+    dealt = dealt.withColumn("block", F.col("band") * WIDE + F.pmod(F.xxhash64("doc_id", F.lit("block")), own)).withColumn("other", F.explode(others)).drop("bands")
     # First without sets: what sizes, components, pivots and other lists rule out need not be fetched.
     light = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "component", (F.col("block") > F.col("other")).cast("int").alias("side"), "met", "posted")
     light = persist(light.groupBy("value", "i", "j").applyInArrow(_partnered(percent), light.schema).drop("posted"), "partnered")
@@ -506,12 +496,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not second.isEmpty():
         comps = persist(components(first.unionByName(second)), "components")
     named = reps.select(F.col("print").alias("p"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node")).join(comps, "node", "left").select("p", "n", F.coalesce("component", "node").alias("component_id"))
+    named = persist(named, "named")
     out = members.join(named, [F.col("print") == F.col("p"), F.col("n_shingles") == F.col("n")], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component, all columns as they were."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    """``docs`` with one row of each component, all columns as they were: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text: rows that share an id, or have none, are
+    linked by their own texts and nothing else.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), mark(text_col).alias("mark")).withColumn("row", F.xxhash64("doc_id", "mark"))
+    judged = persist(near_duplicates(rows, width, percent, "row").select("doc_id", "component_id").distinct(), "judged")
+    several = judged.where("doc_id != component_id").select(F.col("component_id").alias("c")).distinct()
+    judged = judged.join(several, judged.component_id == several.c).select(F.col("doc_id").alias("node"), "component_id")
+    # Every row of these components, a repeated one once.
+    named = persist(_some(rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("id"), "mark"), judged.select(F.col("node").alias("doc_id")), ["id", "mark"]).join(judged, F.col("doc_id") == F.col("node")).groupBy("component_id", "id", "mark").agg(F.count("*").alias("n")), "named")
+    best = persist(named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("best")), "best")
+    chosen = named.join(best, "component_id")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    gone = persist(chosen.where(~stays).select("id", "mark").distinct(), "gone")
+    # A row that is repeated as it is has no link to itself, but its copies go too.
+    again = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark")
+    return once(without(docs, gone, id_col, text_col), persist(again, "again"), id_col, text_col)

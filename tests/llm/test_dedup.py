@@ -78,8 +78,7 @@ def test_exact_against_brute_force(spark, monkeypatch, collide):
     assert sorted((tuple(r) for r in got), key=repr) == brute_exact(rows)
 
 
-def test_exact_large_group_and_empty_table(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MEMBERS", 5)
+def test_exact_large_group_and_empty_table(spark):
     rows = [(i, "one  text") for i in range(40)] + [(99, "other")]
     got = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
     assert {r.keep_id for r in got if r.doc_id < 40} == {0} and {r.group_size for r in got} == {40, 1}
@@ -143,7 +142,33 @@ def test_near_awkward_inputs(spark):
     got = sorted((tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows), 2).collect()), key=repr)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, True), (None, 1, None, True)], key=repr)
     kept = near_dedup.drop_near_duplicates(frame(spark, rows), 2)
-    assert "source" in kept.columns and kept.where("doc_id = 2").count() == 0 and kept.count() == 4
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(1, "a b c"), (None, "z")]
+
+
+def test_drop_near_tells_rows_apart_by_text(spark):
+    """Ids that are null or repeated link nothing: only texts do."""
+    rng = random.Random(11)
+    base = [[f"t{k}w{rng.randrange(500)}" for _ in range(60)] for k in range(5)]
+    near = [" ".join([*b[:-1], "changed"]) for b in base]
+    text = [" ".join(b) for b in base]
+    rows = [(5, text[0]), (5, text[1]), (6, near[0]), (7, near[1]), (None, text[2]), (None, near[2]), (None, text[3]), (3, near[3]), (5, text[4]), (5, near[4]), (5, near[4]), (8, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1, "s") for i, t in rows], "doc_id long, text string, mark string, key_id string, row int, key_mark string")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert [x for x in got if x[0] in (5, 6, 7) and x[1] in (text[0], near[0], text[1], near[1])] == [(5, text[0]), (5, text[1])]
+    assert len([x for x in got if x[1] in (text[2], near[2])]) == 1
+    assert [x for x in got if x[1] in (text[3], near[3])] == [(3, near[3])]
+    assert len([x for x in got if x[1] in (text[4], near[4])]) == 1
+    assert len([x for x in got if not x[1]]) == 2  # one of each (id, text)
+
+
+def test_drop_exact_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z"), (2, "a  b", "x", "y", "z"), (None, "a b", "x", "y", "z"), (None, "c", "x", "y", "z"), (None, "c", "x", "y", "z"), (4, "d", "x", "y", "z")], "doc_id long, text string, __id string, mark string, key_id string")
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(1, "a b"), (4, "d"), (None, "c")]
 
 
 def test_components_of_a_chain(spark):
