@@ -55,6 +55,32 @@ def worth(text: Column, kind: str) -> Column:
     return F.contains(text, F.lit(need)) if need == "@" else text.rlike(need)
 
 
+#: Items that a fold gathers before it appends them to the others: n items cost n * n / FOLD copies, not n * n.
+FOLD = 256
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def folded(items: Column, state: dict[str, Column], step, out: str) -> Column:
+    """``aggregate`` whose state, a struct of ``state``'s fields, gathers the array ``out``; in blocks of FOLD items.
+
+    ``step(state, item)`` gives the next state; the array it sees is that of its
+    own block only.
+    """
+    begin = F.struct(*[v.alias(k) for k, v in state.items()])
+    with_out = lambda s, array: F.struct(*[(array if k == out else s[k]).alias(k) for k in state])
+
+    def whole(items: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int"))
+        block = lambda total, i: F.aggregate(F.slice(items, i * FOLD + 1, FOLD), with_out(total, state[out]), step, lambda s: with_out(s, F.concat(total[out], s[out])))
+        return F.when(F.size(items) <= FOLD, F.aggregate(items, begin, step, lambda s: s[out])).otherwise(F.aggregate(blocks, begin, block, lambda s: s[out]))
+
+    return bound(items, whole)
+
+
 def matches(text: Column, pattern: str, kind: str, confidence=None) -> Column:
     """All matches of one pattern, left to right; texts without one cost a single search.
 
@@ -71,8 +97,8 @@ def matches(text: Column, pattern: str, kind: str, confidence=None) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), p["value"].alias("value"), sure.cast("double").alias("confidence"))
         return F.when(p["value"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.coalesce(worth(text, kind) & text.rlike(pattern), F.lit(False)), F.aggregate(pairs, begin, step, lambda s: s["out"])).otherwise(none)
+    begin = {"at": F.lit(0), "out": none}
+    return F.when(F.coalesce(worth(text, kind) & text.rlike(pattern), F.lit(False)), folded(pairs, begin, step, "out")).otherwise(none)
 
 
 def detector(text: Column, index: int) -> Column:
@@ -122,7 +148,7 @@ def resolved(spans: Column) -> Column:
     keep the part behind it, without leading white space.  ``spans`` should be a
     column of its own, not an expression, or it is computed twice.
     """
-    empty = F.struct(F.lit(-1).alias("cursor"), F.array().cast(f"array<{SPAN}>").alias("kept"))
+    empty = {"cursor": F.lit(-1), "kept": F.array().cast(f"array<{SPAN}>")}
 
     def step(state: Column, s: Column) -> Column:
         tail = F.substring(s["value"], state["cursor"] - s["start"] + 1, F.length(s["value"]))
@@ -132,7 +158,7 @@ def resolved(spans: Column) -> Column:
         fuzzy = s["type"].isin(*TRIMMED_TYPES) & (s["end"] > state["cursor"]) & (F.length(tail) > 0)
         return F.when(s["start"] >= state["cursor"], take(s)).when(fuzzy, take(cut)).otherwise(state)
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(spans, empty, step, lambda x: x["kept"]))
+    return F.when(F.size(spans) < 2, spans).otherwise(folded(spans, empty, step, "kept"))
 
 
 def decision(confidence: Column) -> Column:
@@ -147,11 +173,29 @@ def token(kind: Column, number: Column) -> Column:
 
 
 def spliced(text: Column, spans: Column) -> Column:
-    """Text with each span's ``put`` in its place; spans (start, end, put) ascend and don't overlap."""
-    last = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(F.lit(0))
+    """Text with each span's ``put`` in its place; spans (start, end, put) ascend and don't overlap.
+
+    Cutting a piece out of a text costs its whole length, so a text of many spans
+    is first cut into stretches of FOLD spans, and these into pieces.
+    """
+
+    def joined(text: Column, spans: Column, at: Column, upto: Column | None) -> Column:
+        """The stretch from ``at``, where ``text`` begins, to ``upto`` (null: its end)."""
+
+        def piece(s: Column, i: Column) -> Column:
+            begin = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(at)
+            return F.concat(F.substring(text, begin - at + 1, s["start"] - begin), s["put"])
+
+        last = F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"]).otherwise(at)
+        rest = F.substring(text, last - at + 1, F.length(text) if upto is None else upto - last)
+        return F.concat(F.concat_ws("", F.transform(spans, piece)), rest)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / FOLD).cast("int"))
 
-    def piece(s: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
-        return F.concat(F.substring(text, begin + 1, s["start"] - begin), s["put"])
+    def stretch(i: Column) -> Column:
+        own = F.slice(spans, i * FOLD + 1, FOLD)
+        begin = F.when(i > 0, F.get(spans, i * FOLD)["start"]).otherwise(F.lit(0))
+        end = F.coalesce(F.get(spans, (i + 1) * FOLD)["start"], F.length(text))
+        return bound(F.substring(text, begin + 1, end - begin), lambda t: joined(t, own, begin, end))
 
-    return F.concat(F.concat_ws("", F.transform(spans, piece)), F.substring(text, last + 1, F.length(text)))
+    return F.when(F.size(spans) <= FOLD, joined(text, spans, F.lit(0), None)).otherwise(F.concat_ws("", F.transform(blocks, stretch)))

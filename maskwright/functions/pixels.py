@@ -1,4 +1,7 @@
-"""Row-major RGBA pixels: masking, its proof, and a face model's input tensor."""
+"""Row-major RGBA pixels: masking, its proof, and a face model's input tensor.
+
+Null images, sizes or boxes give null; null boxes in a list paint nothing.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +31,11 @@ def masked(pixels: Column, width: Column, height: Column, boxes: Column) -> Colu
     def run(p: pa.Array, w: pa.Array, h: pa.Array, bs: pa.Array) -> pa.Array:
         out = []
         for data, wide, high, boxes in zip(p.to_pylist(), w.to_pylist(), h.to_pylist(), bs.to_pylist(), strict=True):
+            if data is None or wide is None or high is None:
+                out.append(None)
+                continue
             image = _image(data, wide, high).copy()
-            for b in boxes or []:
+            for b in filter(None, boxes or []):
                 image[_cut(b, wide, high)] = (*MASK_COLOUR, 255)
             out.append(image.tobytes())
         return pa.array(out, pa.binary())
@@ -44,6 +50,9 @@ def fully_masked(pixels: Column, width: Column, height: Column, box: Column) ->
     def run(p: pa.Array, w: pa.Array, h: pa.Array, bs: pa.Array) -> pa.Array:
         out = []
         for data, wide, high, b in zip(p.to_pylist(), w.to_pylist(), h.to_pylist(), bs.to_pylist(), strict=True):
+            if data is None or wide is None or high is None or b is None:
+                out.append(None)
+                continue
             inside = b["x"] >= 0 and b["y"] >= 0 and b["x"] + b["w"] <= wide and b["y"] + b["h"] <= high
             empty = b["w"] <= 0 or b["h"] <= 0
             out.append(empty or (inside and bool((_image(data, wide, high)[_cut(b, wide, high)][..., :3] == MASK_COLOUR).all())))
@@ -69,7 +78,8 @@ def model_input(pixels: Column, width: Column, height: Column, side: int) -> Col
 
     @F.arrow_udf("array<float>")
     def run(p: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
-        return pa.array([tensor(d, x, y, side).ravel() for d, x, y in zip(p.to_pylist(), w.to_pylist(), h.to_pylist(), strict=True)], pa.list_(pa.float32()))
+        rows = zip(p.to_pylist(), w.to_pylist(), h.to_pylist(), strict=True)
+        return pa.array([None if None in x else tensor(*x, side).ravel() for x in rows], pa.list_(pa.float32()))
 
     return run(pixels, width, height)
 

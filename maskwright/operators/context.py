@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,19 +73,48 @@ def unmatched(rows: DataFrame, others: DataFrame, at: float, screen: str = "scre
     return rows.join(others, (F.col(screen) == F.col("__s")) & (iou(F.col("bbox"), F.col("__b")) >= at), "left_anti")
 
 
+#: Side of the grid cells in which boxes look for each other.
+CELL = 128
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """A row for each cell that a row's ``box`` covers."""
+    box = F.col("box")
+    cells = lambda at, size: F.sequence(F.floor(box[at] / CELL), F.floor((box[at] + F.greatest(box[size], F.lit(0))) / CELL))
+    return rows.withColumn("cx", F.explode(cells("x", "w"))).withColumn("cy", F.explode(cells("y", "h")))
+
+
 def overlaps(a: DataFrame, b: DataFrame, at: float, screen: str = "screen_id") -> DataFrame:
-    """Pairs of one screen at ``at`` or more: screen, want (of a), got (of b), iou; a and b have ord and bbox."""
-    x = a.select(screen, F.col("ord").alias("want"), F.col("bbox").alias("x"))
-    y = b.select(screen, F.col("ord").alias("got"), F.col("bbox").alias("y"))
-    return x.join(y, screen).withColumn("iou", iou(F.col("x"), F.col("y"))).where(F.col("iou") >= at).select(screen, "want", "got", "iou")
+    """Pairs of one screen at ``at`` (above 0) or more: screen, want (of a), got (of b), iou; a and b have ord and bbox.
+
+    Boxes meet in the cells of a grid, so those far apart make no pairs; a pair
+    counts in the cell of its intersection's corner only.
+    """
+    x = _celled(a.select(screen, F.col("ord").alias("want"), F.col("bbox").alias("box"))).withColumnRenamed("box", "x")
+    y = _celled(b.select(screen, F.col("ord").alias("got"), F.col("bbox").alias("box"))).withColumnRenamed("box", "y")
+    corner = lambda at: F.floor(F.greatest(F.col("x")[at], F.col("y")[at]) / CELL)
+    met = x.join(y, [screen, "cx", "cy"]).where((F.col("cx") == corner("x")) & (F.col("cy") == corner("y")))
+    return met.withColumn("iou", iou(F.col("x"), F.col("y"))).where(F.col("iou") >= at).select(screen, "want", "got", "iou")
 
 
 def matched(pairs: DataFrame, screen: str = "screen_id") -> DataFrame:
-    """Greedy one-to-one matches of :func:`overlaps`; folds one screen's few pairs."""
-    from maskwright.functions.geometry import greedy
+    """Greedy one-to-one matches of :func:`overlaps`.
+
+    Wanted items in ascending order each take the best item still free; of equal
+    overlaps the smaller ``got``.  One screen's few pairs are one group.
+    """
 
-    grouped = pairs.groupBy(screen).agg(F.collect_list(F.struct("want", "got", "iou")).alias("pairs"))
-    return grouped.select(screen, F.explode(greedy(F.col("pairs"))).alias("m")).select(screen, "m.*")
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("want", "ascending"), ("iou", "descending"), ("got", "ascending")])
+        wanted, taken, keep = set(), set(), []
+        for i, (w, g) in enumerate(zip(t["want"].to_pylist(), t["got"].to_pylist(), strict=True)):
+            if w not in wanted and g not in taken:
+                wanted.add(w)
+                taken.add(g)
+                keep.append(i)
+        return t.take(keep)
+
+    return pairs.groupBy(screen).applyInArrow(run, pairs.schema)
 
 
 def best_of(pairs: DataFrame, screen: str = "screen_id") -> DataFrame:

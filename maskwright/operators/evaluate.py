@@ -42,6 +42,11 @@ def recall_total(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count_if(seen & F.col("found")).alias("found"), F.count_if(seen).alias("total"), F.count_if(~seen).alias("unperceived"))
 
 
+def reviewed(detections: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``detections`` (type, value) with the verdict that their (type, value) got in a review; null without one."""
+    return detections.join(verdicts.select("type", "value", "verdict"), ["type", "value"], "left")
+
+
 def verdict_tally(detections: DataFrame) -> DataFrame:
     """``detections``: verdict of each, ``labelled`` for injected values. Precision counts real values and wrong types as right."""
     n = lambda v: F.count_if(F.col("verdict") == v)
@@ -82,15 +87,24 @@ def span_score(want: Column, got: Column) -> Column:
     return F.struct(tp.alias("tp"), (F.size(want) - tp).alias("fn"), (F.size(got) - tp).alias("fp"))
 
 
+def reasoner_accuracy(answers: DataFrame, model: str = "model") -> DataFrame:
+    """``answers``: model, correct, millis. One row a model: correct, total, median and slowest."""
+    return answers.groupBy(model).agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"), F.round(F.median("millis"), 6).alias("median"), F.max("millis").alias("slowest"))
+
+
+def dataset_index(elements: DataFrame, screen: str, value: str) -> DataFrame:
+    """One row: screens, elements, and elements that hold a labelled value."""
+    return elements.agg(F.countDistinct(screen).alias("screens"), F.count("*").alias("elements"), F.count(value).alias("pii"))
+
+
 def median_rounded(x: Column) -> Column:
     """The middle value; of an even count the mean of the middle two, rounded half up."""
     return F.floor(F.median(x) + 0.5)
 
 
-def median_upper(x: Column) -> Column:
-    """The middle value; of an even count the upper one. Exact: the smallest value with a rank past the half."""
-    values = F.array_sort(F.collect_list(x))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def median_upper(column: str) -> Column:
+    """The middle value of a column; of an even count the upper one. Exact; partial counts of values are combined."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def threshold_sweep(cases: DataFrame, thresholds: list[float], group: str = "group", score: str = "score") -> DataFrame:

@@ -15,21 +15,52 @@ def redacted(text: Column, spans: Column) -> Column:
     ``spans`` are resolved.  Needs no shuffle: a token's number is the place of
     its value among the distinct values of its type.
     """
-    put = F.filter(spans, lambda s: pii.decision(s["confidence"]) != "allow")
+    allowed = lambda s: pii.decision(s["confidence"]) == "allow"
+    put = F.filter(spans, lambda s: ~allowed(s))
 
-    def numbered(s: Column) -> Column:
+    def few(s: Column) -> Column:
         values = F.array_distinct(F.transform(F.filter(put, lambda x: x["type"] == s["type"]), lambda x: x["value"]))
-        return pii.token(s["type"], F.array_position(values, s["value"]))
+        return F.array_position(values, s["value"])
 
-    pieces = F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.when(pii.decision(s["confidence"]) == "allow", s["value"]).otherwise(numbered(s)).alias("put")))
+    numbers = F.when(F.size(put) <= FEW, F.transform(spans, lambda s: F.when(allowed(s), 0).otherwise(few(s)))).otherwise(_numbers(spans))
+    piece = lambda s, n: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(allowed(s), s["value"]).otherwise(pii.token(s["type"], n)).alias("put"))
+    pieces = F.zip_with(spans, numbers, piece)
     return F.struct(
-        pii.spliced(text, pieces).alias("text"),
+        pii.bound(pieces, lambda p: pii.spliced(text, p)).alias("text"),
         F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"))).alias("matches"),
         F.exists(spans, lambda s: pii.decision(s["confidence"]) == "review").alias("requires_review"),
-        F.size(F.array_distinct(F.transform(put, lambda s: F.struct(s["type"], s["value"])))).alias("tokens"),
+        F.size(F.array_distinct(F.transform(put, lambda s: F.concat(s["type"], F.lit(":"), s["value"])))).alias("tokens"),
     )
 
 
+#: Spans of a text up to which numbers are found by looking through the others.
+FEW = 32
+
+
+def _numbers(spans: Column) -> Column:
+    """Each span's token number (0: it is allowed), by sorting: equal values get together, their first one counts them."""
+    row = "struct<type:string,value:string,at:int>"
+    placed = F.transform(spans, lambda s, i: F.struct(s["type"].alias("type"), s["value"].alias("value"), i.alias("at"), (pii.decision(s["confidence"]) != "allow").alias("put")))
+    rows = F.array_sort(F.transform(F.filter(placed, lambda x: x["put"]), lambda x: F.struct(x["type"], x["value"], x["at"]))).cast(f"array<{row}>")
+    first = {"type": F.lit(""), "value": F.lit(""), "first": F.lit(-1), "out": F.array().cast("array<struct<type:string,first:int,at:int>>")}
+
+    def grouped(state: Column, x: Column) -> Column:
+        same = (state["type"] == x["type"]) & (state["value"] == x["value"]) & (state["first"] >= 0)
+        head = F.when(same, state["first"]).otherwise(x["at"])
+        return F.struct(x["type"].alias("type"), x["value"].alias("value"), head.alias("first"), F.concat(state["out"], F.array(F.struct(x["type"].alias("type"), head.alias("first"), x["at"].alias("at")))).alias("out"))
+
+    count = {"type": F.lit(""), "n": F.lit(0), "out": F.array().cast("array<struct<at:int,n:int>>")}
+
+    def counted(state: Column, x: Column) -> Column:
+        before = F.when(state["type"] == x["type"], state["n"]).otherwise(0)
+        n = before + (x["first"] == x["at"]).cast("int")
+        return F.struct(x["type"].alias("type"), n.alias("n"), F.concat(state["out"], F.array(F.struct(x["at"].alias("at"), n.alias("n")))).alias("out"))
+
+    numbered = pii.folded(F.array_sort(pii.folded(rows, first, grouped, "out")), count, counted, "out")
+    allowed = F.transform(F.filter(placed, lambda x: ~x["put"]), lambda x: F.struct(x["at"].alias("at"), F.lit(0).alias("n")))
+    return F.transform(F.array_sort(F.concat(numbered, allowed)), lambda x: x["n"])
+
+
 def span_rows(rows: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
     """One row a span, with its place ``at`` in its text."""
     return rows.select(*keys, F.posexplode_outer(spans).alias("at", "s")).where("s IS NOT NULL").select(*keys, "at", "s.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import names, pii
 from maskwright.operators import redact as R
 from maskwright.plans.inputs import PERSONA, duck, sql, table, texts
+from maskwright.sources.readers import persist
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -189,9 +190,11 @@ def redact_all(spark, sf_dir):
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.matches").alias("n_matches"), F.col("r.requires_review").alias("requires_review"), F.col("r.tokens").alias("tokens"))
 
 
-def _persona_spans(spark, sf_dir):
-    rows = sql(spark, sf_dir, PERSONA).withColumn("found", pii.all_spans(F.col("text"), names.unstructured(F.col("text"))))
-    return rows.withColumn("spans", pii.resolved(F.col("found"))).drop("found")
+def persona_spans(spark, sf_dir):
+    """The labelled texts with their resolved spans, written: detection costs far more than reading them again."""
+    rows = sql(spark, sf_dir, PERSONA)
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "ord").withColumn("found", pii.all_spans(F.col("text"), names.unstructured(F.col("text"))))
+    return persist(rows.withColumn("spans", pii.resolved(F.col("found"))).drop("found"), "spans")
 
 
 _TOKENS = f"""SELECT scope_id, type, value, no AS number, '[PII_' || type || '_' || CASE WHEN no < 10 THEN '0' || no ELSE CAST(no AS VARCHAR) END || ']' AS token
@@ -200,7 +203,7 @@ _TOKENS = f"""SELECT scope_id, type, value, no AS number, '[PII_' || type || '_'
 
 @query("tokenize", _TOKENS)
 def tokenize(spark, sf_dir):
-    return R.token_map(R.span_rows(_persona_spans(spark, sf_dir), ["scope_id", "ord"]))
+    return R.token_map(R.span_rows(persona_spans(spark, sf_dir), ["scope_id", "ord"]))
 
 
 QUERIES["win_token_number"] = tokenize
@@ -209,13 +212,13 @@ ORACLE["win_token_number"] = _TOKENS
 
 @query("redact_scopes", f"SELECT p.scope_id, p.ord, CASE WHEN p.value IS NULL THEN p.text ELSE substr(p.text, 1, CAST(p.v_start AS BIGINT)) || t.token || substr(p.text, CAST(p.v_start + length(p.value) + 1 AS BIGINT)) END AS text, p.type AS pii_type, CAST(p.value IS NOT NULL AS INT) AS n_matches, false AS requires_review FROM {duck(PERSONA)} AS p LEFT JOIN ({_TOKENS}) AS t ON p.scope_id = t.scope_id AND p.type = t.type AND p.value = t.value")
 def redact_scopes(spark, sf_dir):
-    out = R.redact_scopes(_persona_spans(spark, sf_dir).select("scope_id", "ord", "text", "spans"))
+    out = R.redact_scopes(persona_spans(spark, sf_dir).select("scope_id", "ord", "text", "spans"))
     return out.select("scope_id", "ord", "text", "pii_type", "n_matches", "requires_review")
 
 
 @query("detokenize", f"SELECT p.ord, t.value FROM {duck(PERSONA)} AS p JOIN ({_TOKENS}) AS t ON p.scope_id = t.scope_id AND p.type = t.type AND p.value = t.value")
 def detokenize(spark, sf_dir):
-    rows = _persona_spans(spark, sf_dir)
+    rows = persona_spans(spark, sf_dir)
     tokens = R.token_map(R.span_rows(rows, ["scope_id", "ord"]))
     text = R.redact_scopes(rows.select("scope_id", "ord", "text", "spans"))
     found = text.select("scope_id", "ord", F.explode(F.regexp_extract_all("text", F.lit(r"\[PII_[A-Z]+_\d+\]"), F.lit(0))).alias("token"))
@@ -224,7 +227,7 @@ def detokenize(spark, sf_dir):
 
 @query("agg_redacted_counts", f"SELECT scope_id, count(*) FILTER (type IS NOT NULL) AS redacted, CAST(0 AS BIGINT) AS withheld, count(DISTINCT type || ':' || value) AS tokens, CAST(count(*) FILTER (type IS NOT NULL) AS BIGINT) AS spans FROM {duck(PERSONA)} AS p GROUP BY scope_id")
 def agg_redacted_counts(spark, sf_dir):
-    rows = _persona_spans(spark, sf_dir)
+    rows = persona_spans(spark, sf_dir)
     counts = rows.groupBy("scope_id").agg(F.count_if(F.size("spans") > 0).alias("redacted"), F.count_if(F.exists("spans", lambda s: pii.decision(s["confidence"]) == "review")).alias("withheld"), F.sum(F.size("spans")).cast("long").alias("spans"))
     tokens = R.token_map(R.span_rows(rows, ["scope_id", "ord"])).groupBy("scope_id").agg(F.count("*").alias("tokens"))
     return counts.join(tokens, "scope_id").select("scope_id", "redacted", "withheld", "tokens", "spans")

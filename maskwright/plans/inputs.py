@@ -56,6 +56,10 @@ BOXES = """SELECT CAST(floor(l_orderkey / 20) AS BIGINT) AS screen_id, l_orderke
     l_partkey % 4 * 3 + l_partkey % 25 * 40 AS x, l_suppkey % 3 * 2 + l_suppkey % 10 * 30 AS y, 90 + l_partkey % 5 AS w, 28 + l_suppkey % 4 AS h, CAST(l_partkey * 7 % 100 AS DOUBLE) / 100 AS score
     FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""
 
+#: Labelled and detected faces, the latter somewhat off: screen_id, ord, source, x, y, w, h.
+FACES = """SELECT p_partkey AS screen_id, k AS ord, 'label' AS source, k * 100 + p_size AS x, p_size * 2 AS y, 60 AS w, 80 AS h FROM {part} JOIN (VALUES (0), (1), (2), (3)) AS t(k) ON k < p_size % 5
+    UNION ALL SELECT p_partkey AS screen_id, k + 10 AS ord, 'face' AS source, k * 100 + p_size + p_partkey % 9 * 5 AS x, p_size * 2 + p_partkey % 4 * 3 AS y, 60 AS w, 80 AS h FROM {part} JOIN (VALUES (0), (1), (2), (3), (4)) AS t(k) ON k < p_size % 6"""
+
 #: Proposals: id, action, target_id, confidence, risk, sensitive, exists_, is_field, p_text, p_url, p_reason, p_top (null: absent).
 ACTIONS = """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'click' WHEN 1 THEN 'type' WHEN 2 THEN 'scroll' WHEN 3 THEN 'navigate' WHEN 4 THEN 'none' WHEN 5 THEN 'done' ELSE 'blocked' END AS action,
     CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'M' || CAST(user_id % 9 AS STRING) END AS target_id, CAST(event_id * 13 % 101 AS DOUBLE) / 100 AS confidence,

@@ -9,8 +9,10 @@ from maskwright.functions import names, pii, verifier
 from maskwright.operators import context as C
 from maskwright.operators import evaluate as E
 from maskwright.operators import redact as R
+from maskwright.plans.detect import persona_spans
 from maskwright.plans.inputs import PEOPLE, PERSONA, duck, sql, table
-from maskwright.plans.screen import _GREEDY, boxes
+from maskwright.plans.screen import _GREEDY, boxes, face_matches
+from maskwright.sources.readers import persist
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -72,15 +74,19 @@ def join_context_row(spark, sf_dir):
 _VERDICT = "CASE event_id % 11 WHEN 0 THEN 'labelled' WHEN 1 THEN 'labelled' WHEN 2 THEN 'real' WHEN 3 THEN 'wrong_type' WHEN 4 THEN NULL ELSE 'false_positive' END"
 
 
-@query("join_verdict", f"SELECT event_id, {_VERDICT} AS verdict FROM events")
+#: Reviewed values: every eleventh event's (type, value) has the verdict of its remainder; remainder 4 was not reviewed.
+_REVIEWED = f"SELECT DISTINCT event_type AS type, event_id % 1000 AS value, {_VERDICT.replace('event_id', '(event_id % 1000)')} AS verdict FROM {{events}}"
+
+
+@query("join_verdict", f"SELECT event_id, {_VERDICT.replace('event_id', '(event_id % 1000)')} AS verdict FROM events")
 def join_verdict(spark, sf_dir):
     """Detections take the verdict of their (type, value); those without one are kept."""
-    reviewed = spark.createDataFrame([(0, "labelled"), (1, "labelled"), (2, "real"), (3, "wrong_type"), *[(i, "false_positive") for i in range(5, 11)]], "k long, verdict string")
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 11).alias("k"))
-    return rows.join(F.broadcast(reviewed), "k", "left").select("event_id", "verdict")
+    reviewed = sql(spark, sf_dir, _REVIEWED).where("verdict IS NOT NULL")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), (F.col("event_id") % 1000).alias("value"))
+    return E.reviewed(rows, reviewed).select("event_id", "verdict")
 
 
-_TALLY = f"SELECT count(*) FILTER (v = 'labelled') AS labelled, count(*) FILTER (v = 'real') AS real, count(*) FILTER (v = 'wrong_type') AS wrong_type, count(*) FILTER (v = 'false_positive') AS false_positive, count(*) FILTER (v IS NULL) AS unreviewed, count(*) AS n FROM (SELECT {_VERDICT} AS v FROM events) AS t"
+_TALLY = f"SELECT count(*) FILTER (v = 'labelled') AS labelled, count(*) FILTER (v = 'real') AS real, count(*) FILTER (v = 'wrong_type') AS wrong_type, count(*) FILTER (v = 'false_positive') AS false_positive, count(*) FILTER (v IS NULL) AS unreviewed, count(*) AS n FROM (SELECT {_VERDICT.replace('event_id', '(event_id % 1000)')} AS v FROM events) AS t"
 
 
 @query("agg_verdict_tally", f"SELECT labelled, real, wrong_type, false_positive, unreviewed, round((labelled + real + wrong_type) / CAST(n AS DOUBLE), 6) AS precision, round((labelled + real) / CAST(n AS DOUBLE), 6) AS type_precision FROM ({_TALLY}) AS t")
@@ -88,7 +94,7 @@ def agg_verdict_tally(spark, sf_dir):
     return E.verdict_tally(join_verdict(spark, sf_dir))
 
 
-@query("agg_distinct_values", f"SELECT DISTINCT event_id % 100 AS value FROM events WHERE {_VERDICT} IS NULL")
+@query("agg_distinct_values", f"SELECT DISTINCT event_id % 100 AS value FROM events WHERE {_VERDICT.replace('event_id', '(event_id % 1000)')} IS NULL")
 def agg_distinct_values(spark, sf_dir):
     return join_verdict(spark, sf_dir).where("verdict IS NULL").select((F.col("event_id") % 100).alias("value")).distinct()
 
@@ -110,7 +116,7 @@ _LEAKS = f"SELECT p.customer AS screen_id, p.type, p.value, CASE WHEN p.type IN
 @query("join_leak_scan", _LEAKS)
 def join_leak_scan(spark, sf_dir):
     """Values in payloads: every third payload was sent raw, the others redacted."""
-    rows = sql(spark, sf_dir, PERSONA).withColumn("found", pii.all_spans(F.col("text"), names.unstructured(F.col("text")))).withColumn("spans", pii.resolved(F.col("found")))
+    rows = persona_spans(spark, sf_dir)
     sent = F.when(F.col("customer") % 3 == 0, F.col("text")).otherwise(R.redacted(F.col("text"), F.col("spans"))["text"])
     payloads = rows.groupBy(F.col("customer").alias("screen_id")).agg(F.array_join(F.array_sort(F.collect_list(sent)), "\n").alias("payload"))
     values = rows.where("type IS NOT NULL").select(F.col("customer").alias("screen_id"), "type", "value")
@@ -134,19 +140,28 @@ def _f1_sql() -> str:
 
 @query("agg_element_f1", _f1_sql())
 def agg_element_f1(spark, sf_dir):
-    want, got = boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr")
+    both = persist(boxes(spark, sf_dir).select("screen_id", "ord", "source", "bbox"), "boxes")
+    want, got = (both.where(F.col("source") == x) for x in ("dom", "vision_ocr"))
     m = C.matched(C.overlaps(want, got, 0.5)).groupBy("screen_id").agg(F.count("*").alias("matched"))
-    n = want.select("screen_id", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(got.select("screen_id", F.lit(0).alias("e"), F.lit(1).alias("t"))).groupBy("screen_id").agg(F.sum("e").alias("expected"), F.sum("t").alias("transmitted"))
+    n = both.groupBy("screen_id").agg(F.count_if(F.col("source") == "dom").alias("expected"), F.count_if(F.col("source") != "dom").alias("transmitted"))
     rows = n.join(m, "screen_id", "left").select("expected", "transmitted", F.coalesce("matched", F.lit(0)).alias("matched"), F.lit(0).alias("role_ok"), F.lit(0).alias("name_ok"))
     return E.element_f1(rows).drop("role_agreement", "name_agreement")
 
 
-_SCENES = "SELECT p_partkey, p_size % 5 AS labelled, p_size % 7 AS detected, least(p_size % 5, p_size % 7) AS matched FROM {part}"
+def _scenes_sql() -> str:
+    from maskwright.plans.inputs import FACES
+    from maskwright.plans.screen import FACE_MATCHES
 
+    n = f"SELECT count(*) FILTER (source = 'label') AS labelled, count(*) FILTER (source = 'face') AS detected FROM {duck(FACES)} AS f"
+    return f"SELECT labelled, detected, matched, round(matched / CAST(labelled AS DOUBLE), 6) AS recall, round(matched / CAST(detected AS DOUBLE), 6) AS precision FROM (SELECT *, (SELECT count(*) FROM ({FACE_MATCHES}) AS g) AS matched FROM ({n}) AS c) AS t"
 
-@query("agg_face_score", f"SELECT sum(labelled) AS labelled, sum(detected) AS detected, sum(matched) AS matched, round(sum(matched) / CAST(sum(labelled) AS DOUBLE), 6) AS recall, round(sum(matched) / CAST(sum(detected) AS DOUBLE), 6) AS precision FROM {duck(_SCENES)} AS s")
+
+@query("agg_face_score", _scenes_sql())
 def agg_face_score(spark, sf_dir):
-    return E.face_score(sql(spark, sf_dir, _SCENES))
+    rows, matched = face_matches(spark, sf_dir)
+    counts = rows.groupBy("screen_id").agg(F.count_if(F.col("source") == "label").alias("labelled"), F.count_if(F.col("source") == "face").alias("detected"))
+    found = matched.groupBy("screen_id").agg(F.count("*").alias("matched"))
+    return E.face_score(counts.join(found, "screen_id", "left").select("labelled", "detected", F.coalesce("matched", F.lit(0)).alias("matched")))
 
 
 @query("agg_span_score", "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS INT) AS tp, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS INT) AS fn, CAST(CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS INT) AS fp FROM part")
@@ -160,13 +175,13 @@ def agg_span_score(spark, sf_dir):
 @query("agg_median", "SELECT user_id, CAST(floor(median(value) + 0.5) AS BIGINT) AS rounded, round(median(value), 6) AS plain, (list_sort(list(value)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper FROM events GROUP BY user_id")
 def agg_median(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(E.median_rounded(v).alias("rounded"), F.round(F.median(v), 6).alias("plain"), E.median_upper(v).alias("upper"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(E.median_rounded(v).alias("rounded"), F.round(F.median(v), 6).alias("plain"), E.median_upper("value").alias("upper"))
 
 
 @query("agg_vision", "SELECT round(avg(value), 6) AS mean, count(*) FILTER (value > 20) AS many, (list_sort(list(value)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper FROM events")
 def agg_vision(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").agg(F.round(F.avg(v), 6).alias("mean"), F.count_if(v > 20).alias("many"), E.median_upper(v).alias("upper"))
+    return table(spark, sf_dir, "events").agg(F.round(F.avg(v), 6).alias("mean"), F.count_if(v > 20).alias("many"), E.median_upper("value").alias("upper"))
 
 
 _RUNS = "SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run, event_id % 900 + 300 AS wall, event_id % 90 AS vision, event_id % 17 AS reason, event_id % 500 AS memory FROM {events}"
@@ -185,13 +200,13 @@ def agg_threshold_sweep(spark, sf_dir):
 
 @query("agg_reasoner_accuracy", "SELECT event_type AS model, count(*) FILTER (event_id % 3 <> 0) AS correct, count(*) AS total, round(median(value), 6) AS median, max(value) AS slowest FROM events GROUP BY event_type")
 def agg_reasoner_accuracy(spark, sf_dir):
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count_if(F.col("event_id") % 3 != 0).alias("correct"), F.count("*").alias("total"), F.round(F.median(v), 6).alias("median"), F.max(v).alias("slowest"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("event_id") % 3 != 0).alias("correct"), F.col("value").alias("millis"))
+    return E.reasoner_accuracy(rows)
 
 
 @query("agg_dataset_index", f"SELECT count(DISTINCT customer) AS screens, count(*) AS elements, count(value) AS pii FROM {_P}")
 def agg_dataset_index(spark, sf_dir):
-    return sql(spark, sf_dir, PERSONA).agg(F.countDistinct("customer").alias("screens"), F.count("*").alias("elements"), F.count("value").alias("pii"))
+    return E.dataset_index(sql(spark, sf_dir, PERSONA), "customer", "value")
 
 
 @query("join_persona", f"SELECT c_custkey, name FROM customer JOIN (VALUES {', '.join(f'({i}, {n!r})' for i, (n, _) in enumerate(PEOPLE))}) AS p(k, name) ON c_custkey % {len(PEOPLE)} = k", also=("gen_spans",))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from maskwright.functions import geometry as G
 from maskwright.functions import text as T
 from maskwright.operators import context as C
-from maskwright.plans.inputs import BOXES, ELEMENTS, TASK, duck, sql, table, texts
+from maskwright.operators import faces
+from maskwright.plans.inputs import BOXES, ELEMENTS, FACES, TASK, duck, sql, table, texts
 from maskwright.sources import html as H
+from maskwright.sources.readers import persist
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -33,8 +35,15 @@ def elements(spark, sf_dir):
     return _boxed(sql(spark, sf_dir, ELEMENTS))
 
 
-def boxes(spark, sf_dir, source):
-    return _boxed(sql(spark, sf_dir, BOXES)).where(F.col("source") == source)
+def boxes(spark, sf_dir, source=None):
+    rows = _boxed(sql(spark, sf_dir, BOXES))
+    return rows if source is None else rows.where(F.col("source") == source)
+
+
+def _both(spark, sf_dir):
+    """Boxes of the two sources, aggregated once."""
+    rows = persist(boxes(spark, sf_dir).select("screen_id", "ord", "source", "bbox"), "boxes")
+    return [rows.where(F.col("source") == x) for x in ("dom", "vision_ocr")]
 
 
 # -- HTML
@@ -192,13 +201,13 @@ _PAIRS = f"SELECT d.screen_id, d.ord AS want, v.ord AS got, {_iou_sql('d', 'v')}
 
 @query("iou", f"SELECT screen_id, want, got, round(iou, 6) AS iou FROM ({_PAIRS}) AS p")
 def iou(spark, sf_dir):
-    pairs = C.overlaps(boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr"), 0.5)
+    pairs = C.overlaps(*_both(spark, sf_dir), 0.5)
     return pairs.withColumn("iou", F.round("iou", 6))
 
 
 @query("join_fuse", f"SELECT screen_id, ord, source FROM {_D} AS d UNION ALL SELECT screen_id, ord, source FROM {_V} AS v WHERE NOT EXISTS (SELECT 1 FROM {_D} AS d WHERE d.screen_id = v.screen_id AND {_iou_sql('d', 'v')} >= 0.7)")
 def join_fuse(spark, sf_dir):
-    return C.fused(boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr")).select("screen_id", "ord", "source")
+    return C.fused(*_both(spark, sf_dir)).select("screen_id", "ord", "source")
 
 
 @query("join_withheld_anti", f"SELECT screen_id, ord FROM {_V} AS v WHERE NOT EXISTS (SELECT 1 FROM {_D} AS d WHERE d.screen_id = v.screen_id AND {_iou_sql('d', 'v')} >= 0.5)")
@@ -209,20 +218,40 @@ def join_withheld_anti(spark, sf_dir):
 
 @query("join_best_region", f"SELECT screen_id, want, got, round(iou, 6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY screen_id, want ORDER BY iou DESC, got) AS n FROM ({_PAIRS}) AS p) AS q WHERE n = 1")
 def join_best_region(spark, sf_dir):
-    pairs = C.overlaps(boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr"), 0.5)
+    pairs = C.overlaps(*_both(spark, sf_dir), 0.5)
     return C.best_of(pairs).withColumn("iou", F.round("iou", 6))
 
 
-_GREEDY = f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY want, iou DESC, got) AS n FROM ({_PAIRS}) AS q),
+def _pairs(table: str, left: str, right: str) -> str:
+    d, v = (f"(SELECT * FROM {duck(table)} AS q WHERE source = '{s}')" for s in (left, right))
+    return f"SELECT d.screen_id, d.ord AS want, v.ord AS got, {_iou_sql('d', 'v')} AS iou FROM {d} AS d JOIN {v} AS v ON d.screen_id = v.screen_id WHERE {_iou_sql('d', 'v')} >= 0.5"
+
+
+def _greedy(pairs: str) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY want, iou DESC, got) AS n FROM ({pairs}) AS q),
     r AS (SELECT screen_id, 1 AS n, [want] AS ws, [got] AS gs, true AS took FROM p WHERE n = 1
       UNION ALL SELECT p.screen_id, p.n, CASE WHEN list_contains(r.ws, p.want) OR list_contains(r.gs, p.got) THEN r.ws ELSE list_append(r.ws, p.want) END,
         CASE WHEN list_contains(r.ws, p.want) OR list_contains(r.gs, p.got) THEN r.gs ELSE list_append(r.gs, p.got) END, NOT (list_contains(r.ws, p.want) OR list_contains(r.gs, p.got)) FROM r JOIN p ON p.screen_id = r.screen_id AND p.n = r.n + 1)
     SELECT p.screen_id, p.want, p.got, round(p.iou, 6) AS iou FROM p JOIN r ON p.screen_id = r.screen_id AND p.n = r.n WHERE r.took"""
 
 
-@query("join_iou_greedy_elements", _GREEDY, also=("join_iou_greedy_faces",))
+_GREEDY = _greedy(_PAIRS)
+FACE_MATCHES = _greedy(_pairs(FACES, "label", "face"))
+
+
+def face_matches(spark, sf_dir):
+    rows = persist(_boxed(sql(spark, sf_dir, FACES)).select("screen_id", "ord", "source", "bbox"), "faces")
+    return rows, C.matched(C.overlaps(rows.where("source = 'label'"), rows.where("source = 'face'"), 0.5))
+
+
+@query("join_iou_greedy_faces", FACE_MATCHES)
+def join_iou_greedy_faces(spark, sf_dir):
+    return face_matches(spark, sf_dir)[1].withColumn("iou", F.round("iou", 6))
+
+
+@query("join_iou_greedy_elements", _GREEDY)
 def join_iou_greedy_elements(spark, sf_dir):
-    pairs = C.overlaps(boxes(spark, sf_dir, "dom"), boxes(spark, sf_dir, "vision_ocr"), 0.5)
+    pairs = C.overlaps(*_both(spark, sf_dir), 0.5)
     return C.matched(pairs).withColumn("iou", F.round("iou", 6))
 
 
@@ -267,12 +296,33 @@ def letterbox(spark, sf_dir):
 _ANCHORS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 6400 AS idx, l_discount * 10 AS cls, l_tax * 10 AS obj, l_quantity / 50 AS r0, l_discount AS r1, l_tax * 5 AS r2, l_quantity / 40 AS r3 FROM {lineitem}"
 
 
-@query("decode_stride", f"SELECT id, round(sqrt(greatest(0.0, cls) * greatest(0.0, obj)), 6) AS score, round((idx % 80 + r0) * 8 - exp(r2) * 4, 6) AS x, round((floor(idx / 80) + r1) * 8 - exp(r3) * 4, 6) AS y, round(exp(r2) * 8, 6) AS w, round(exp(r3) * 8, 6) AS h FROM {duck(_ANCHORS)} AS a WHERE sqrt(greatest(0.0, cls) * greatest(0.0, obj)) >= 0.4", also=("detect_faces",))
+@query("decode_stride", f"SELECT id, round(sqrt(greatest(0.0, cls) * greatest(0.0, obj)), 6) AS score, round((idx % 80 + r0) * 8 - exp(r2) * 4, 6) AS x, round((floor(idx / 80) + r1) * 8 - exp(r3) * 4, 6) AS y, round(exp(r2) * 8, 6) AS w, round(exp(r3) * 8, 6) AS h FROM {duck(_ANCHORS)} AS a WHERE sqrt(greatest(0.0, cls) * greatest(0.0, obj)) >= 0.4")
 def decode_stride(spark, sf_dir):
     rows = sql(spark, sf_dir, _ANCHORS).select("id", G.decoded(F.col("idx"), F.col("cls"), F.col("obj"), F.array("r0", "r1", "r2", "r3"), 8, 640).alias("d"))
     return rows.where(F.col("d.score") >= G.SCORE_AT).select("id", F.round("d.score", 6).alias("score"), *[F.round(f"d.box.{c}", 6).alias(c) for c in "xywh"])
 
 
+#: Anchors of three strides: image, id, stride, idx, cls, obj and the four regressions.
+_FACE_ANCHORS = """SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS image, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS stride,
+    l_partkey % CASE l_linenumber % 3 WHEN 0 THEN 900 WHEN 1 THEN 300 ELSE 90 END AS idx, l_discount * 10 AS cls, l_tax * 12 AS obj, l_quantity / 50 AS r0, l_discount * 3 AS r1, 1 + l_tax * 8 AS r2, 1 + l_discount * 8 AS r3
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_discount) AS l_discount, min(l_tax) AS l_tax, min(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""
+_FACE_BOXES = f"""SELECT image, id, score, cx - w / 2 AS x, cy - h / 2 AS y, w, h FROM (SELECT image, id, sqrt(greatest(0.0, cls) * greatest(0.0, obj)) AS score, (idx % CAST(floor(640 / stride) AS BIGINT) + r0) * stride AS cx, (floor(idx / floor(640 / stride)) + r1) * stride AS cy, exp(r2) * stride AS w, exp(r3) * stride AS h FROM {duck(_FACE_ANCHORS)} AS a) AS t WHERE score >= 0.4"""
+_FACES = f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS n FROM ({_FACE_BOXES}) AS b),
+    r AS (SELECT image, n, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept, true AS took FROM p WHERE n = 1
+      UNION ALL SELECT p.image, p.n, CASE WHEN list_bool_or(list_transform(r.kept, lambda k: {_iou_sql('k', 'p')} >= 0.3)) THEN r.kept ELSE list_append(r.kept, {{'x': p.x, 'y': p.y, 'w': p.w, 'h': p.h}}) END,
+        NOT list_bool_or(list_transform(r.kept, lambda k: {_iou_sql('k', 'p')} >= 0.3)) FROM r JOIN p ON p.image = r.image AND p.n = r.n + 1)
+    SELECT image, id, score, CAST(floor(a + 0.5) AS BIGINT) AS x, CAST(floor(b + 0.5) AS BIGINT) AS y, CAST(floor(c - a + 0.5) AS BIGINT) AS w, CAST(floor(d - b + 0.5) AS BIGINT) AS h
+    FROM (SELECT p.image, p.id, round(p.score, 6) AS score, greatest(0.0, least(1280.0, p.x / 0.5)) AS a, greatest(0.0, least(800.0, (p.y - 120) / 0.5)) AS b, greatest(0.0, least(1280.0, (p.x + p.w) / 0.5)) AS c, greatest(0.0, least(800.0, (p.y + p.h - 120) / 0.5)) AS d
+          FROM p JOIN r ON p.image = r.image AND p.n = r.n WHERE r.took) AS t"""
+
+
+@query("detect_faces", _FACES)
+def detect_faces(spark, sf_dir):
+    """All three strides of an image of 1280 x 800: decoded, suppressed, and back in the image's pixels."""
+    rows = sql(spark, sf_dir, _FACE_ANCHORS).withColumn("reg", F.array("r0", "r1", "r2", "r3"))
+    return faces.detected(rows, 1280, 800, 640, image="image").select("image", "id", F.round("score", 6).alias("score"), "box.*")
+
+
 @query("to_image_box", f"SELECT ord, CAST(floor(a + 0.5) AS BIGINT) AS x, CAST(floor(b + 0.5) AS BIGINT) AS y, CAST(floor(c - a + 0.5) AS BIGINT) AS w, CAST(floor(d - b + 0.5) AS BIGINT) AS h FROM (SELECT ord, greatest(0.0, least(1280.0, (x - 0) / 0.5)) AS a, greatest(0.0, least(800.0, (y - 120) / 0.5)) AS b, greatest(0.0, least(1280.0, (x + w - 0) / 0.5)) AS c, greatest(0.0, least(800.0, (y + h - 120) / 0.5)) AS d FROM {_B} AS q) AS t")
 def to_image_box(spark, sf_dir):
     fit = G.letterbox(F.lit(1280), F.lit(800), 640)
@@ -281,14 +331,18 @@ def to_image_box(spark, sf_dir):
 
 # -- text
 
-#: Pairs of texts, in ASCII as DuckDB's distance counts bytes.
-_TWO = "SELECT a.item_id AS a_id, b.item_id AS b_id, regexp_replace(substr(a.text, 1, 60), '[^ -~]', '?', 'g') AS a, regexp_replace(substr(b.text, 1, CAST(20 + b.item_id % 40 AS BIGINT)), '[^ -~]', '?', 'g') AS b FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id * 7 + 3) % 40"
+#: Pairs of whole texts, in ASCII as DuckDB's distance counts bytes: another item, or the same one misread.
+_TWO = """SELECT a.item_id AS a_id, b.item_id AS b_id, regexp_replace(a.text, '[^ -~]', '?', 'g') AS a, regexp_replace(CASE WHEN a.item_id % 2 = 0 THEN b.text ELSE replace(replace(a.text, 'e', ''), 'st', ' 5t') END, '[^ -~]', '?', 'g') AS b
+    FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id * 7 + 3) % (SELECT count(*) FROM benchmark)"""
 
 
 def _two(spark, sf_dir):
     a = table(spark, sf_dir, "benchmark")
     b = a.select(F.col("item_id").alias("b_id"), F.col("text").alias("tb"))
-    return a.join(b, F.col("b_id") == (F.col("item_id") * 7 + 3) % 40).select(F.col("item_id").alias("a_id"), "b_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("a"), F.regexp_replace(F.expr("substring(tb, 1, CAST(20 + b_id % 40 AS INT))"), "[^ -~]", "?").alias("b"))
+    other = F.when(F.col("item_id") % 2 == 0, F.col("tb")).otherwise(F.replace(F.replace("text", F.lit("e"), F.lit("")), F.lit("st"), F.lit(" 5t")))
+    ascii = lambda x: F.regexp_replace(x, "[^ -~]", "?")
+    pairs = a.join(b, F.col("b_id") == (F.col("item_id") * 7 + 3) % a.count())
+    return pairs.select(F.col("item_id").alias("a_id"), "b_id", ascii(F.col("text")).alias("a"), ascii(other).alias("b"))
 
 
 @query("edit_distance", f"SELECT a_id, b_id, CAST(damerau AS INT) AS d FROM (SELECT a_id, b_id, levenshtein(a, b) AS damerau FROM ({_TWO}) AS t) AS u")

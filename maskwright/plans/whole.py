@@ -114,25 +114,33 @@ def response_schema(spark, sf_dir):
 
 def _images(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select((F.col("p_size") % 7 + 4).alias("w"), (F.col("p_size") % 5 + 3).alias("h")).distinct()
-    return rows.withColumn("rgba", F.unhex(F.expr("repeat('0A141EFF', w * h)")))
+    # Every pixel has its own colour, so an image that is shifted, turned or cut differs.
+    pixel = lambda i: F.concat(*[F.lpad(F.hex(i * k % 256), 2, "0") for k in (1, 3, 7)], F.lit("FF"))
+    return rows.withColumn("rgba", F.unhex(F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("w") * F.col("h")), pixel), "")))
 
 
 _DIMS = "(SELECT DISTINCT p_size % 7 + 4 AS w, p_size % 5 + 3 AS h FROM part) AS d"
 
 
-@query("is_fully_masked", f"SELECT w, h, true AS inside, false AS wider, false AS outside FROM {_DIMS}")
+@query("is_fully_masked", f"SELECT w, h, true AS inside, false AS wider, false AS turned, false AS outside FROM {_DIMS}")
 def is_fully_masked(spark, sf_dir):
     box = lambda x, y, w, h: F.struct(*[F.lit(v).cast("int").alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)])
-    rows = _images(spark, sf_dir).withColumn("m", pixels.masked(F.col("rgba"), F.col("w"), F.col("h"), F.array(box(1, 1, 2, 2))))
+    rows = _images(spark, sf_dir).withColumn("m", pixels.masked(F.col("rgba"), F.col("w"), F.col("h"), F.array(box(1, 1, 3, 1))))
     proof = lambda b: pixels.fully_masked(F.col("m"), F.col("w"), F.col("h"), b)
-    return rows.select("w", "h", proof(box(1, 1, 2, 2)).alias("inside"), proof(box(0, 1, 2, 2)).alias("wider"), proof(box(-1, 0, 1, 1)).alias("outside"))
+    return rows.select("w", "h", proof(box(1, 1, 3, 1)).alias("inside"), proof(box(0, 1, 3, 1)).alias("wider"), proof(box(1, 1, 1, 2)).alias("turned"), proof(box(-1, 0, 1, 1)).alias("outside"))
 
 
-@query("to_model_input", f"SELECT w, h, CAST(3 * 32 * 32 AS INT) AS n, CAST(least(32.0 / w, 32.0 / h) * w + 0.5 AS INT) > 0 AS drawn, CAST(30 AS DOUBLE) AS blue, CAST(10 AS DOUBLE) AS red FROM {_DIMS}")
+_TENSOR = f"""SELECT w, h, x, y, CAST(least(w - 1, floor((x - l) / s)) AS BIGINT) AS cx, CAST(least(h - 1, floor((y - t) / s)) AS BIGINT) AS cy
+    FROM (SELECT *, floor((32 - w * s) / 2) AS l, floor((32 - h * s) / 2) AS t, floor(w * s + 0.5) AS wide, floor(h * s + 0.5) AS high FROM (SELECT w, h, least(CAST(32 AS DOUBLE) / w, CAST(32 AS DOUBLE) / h) AS s FROM {_DIMS}) AS a) AS b,
+    (SELECT unnest(range(32)) AS x) AS xs, (SELECT unnest(range(32)) AS y) AS ys WHERE x >= l AND x < l + wide AND y >= t AND y < t + high"""
+
+
+@query("to_model_input", f"SELECT w, h, CAST(3072 AS INT) AS n, sum((cy * w + cx + 1) * 7 % 256 * (y * 32 + x)) AS blue, sum((cy * w + cx + 1) * 3 % 256 * (y * 32 + x)) AS green, sum((cy * w + cx + 1) % 256 * (y * 32 + x)) AS red FROM ({_TENSOR}) AS t GROUP BY w, h".replace("sum(", "CAST(sum(").replace(") AS blue", ") AS BIGINT) AS blue").replace(") AS green", ") AS BIGINT) AS green").replace(") AS red", ") AS BIGINT) AS red"))
 def to_model_input(spark, sf_dir):
+    """Each plane's values, weighed by their places."""
     rows = _images(spark, sf_dir).withColumn("t", pixels.model_input(F.col("rgba"), F.col("w"), F.col("h"), 32))
-    plane = lambda k: F.array_max(F.slice("t", k * 1024 + 1, 1024)).cast("double")
-    return rows.select("w", "h", F.size("t").alias("n"), F.exists("t", lambda x: x > 0).alias("drawn"), plane(0).alias("blue"), plane(2).alias("red"))
+    plane = lambda k: F.aggregate(F.transform(F.slice("t", k * 1024 + 1, 1024), lambda v, i: v.cast("long") * i), F.lit(0).cast("long"), lambda s, v: s + v)
+    return rows.select("w", "h", F.size("t").alias("n"), plane(0).alias("blue"), plane(1).alias("green"), plane(2).alias("red"))
 
 
 def _lum(r: str, g: str, b: str) -> str:

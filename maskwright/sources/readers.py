@@ -22,16 +22,30 @@ REVIEW = "reviewedAt string, method string, distinctValues int, detections int,
 STAGES = ("observe", "decide", "reason", "confirm", "act", "error")
 
 
+_ours: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a temporary one in local sessions without it."""
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one in local mode without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="maskwright-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        shared = f"file://{shared}"
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _ours:
+            _ours.append(tempfile.mkdtemp(prefix="maskwright-"))
+            atexit.register(shutil.rmtree, _ours[0], ignore_errors=True)
+        shared = f"file://{_ours[0]}"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def persist(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written in the shared folder: what is used more than once is computed once, and a lost executor loses none of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def screens(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Ground-truth screens of a folder of JSON files, without its two index files."""
     rows = spark.read.schema(SCREEN).option("multiLine", True).json(f"{folder}/{pattern}")
@@ -67,23 +81,41 @@ def settings(lines: Column) -> Column:
     return F.when(~bare.startswith("#") & F.contains(bare, F.lit("=")), F.struct(F.trim(F.substring_index(bare, "=", 1)).alias("key"), plain.alias("value")))
 
 
-def append_audit(rows: DataFrame, path: str, start: int = 0) -> None:
-    """Append (task_id, stage, detail, ok) entries with an id, a time and a sequence.
+AUDIT = "id string, ts timestamp, seq long, task_id string, stage string, detail string, ok boolean"
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Append (task_id, stage, detail, ok) entries with an id, a time and a sequence; one writer at a time.
 
     An entry whose detail holds structured personal data fails the write.  The
-    sequence is increasing, with gaps, so that no task has to count the others.
+    sequence goes on from the table's last number and follows the rows' order,
+    with gaps, so that no task has to count the others.
     """
+    spark = rows.sparkSession
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+    last = spark.read.schema(AUDIT).parquet(path).agg(F.max("seq")).first()[0] if there else None
     checked = rows.withColumn("detail", pii_free(F.col("detail")))
-    checked.select(F.uuid().alias("id"), F.current_timestamp().alias("ts"), (F.monotonically_increasing_id() + start).alias("seq"), "task_id", "stage", "detail", "ok").write.mode("append").parquet(path)
+    seq = F.monotonically_increasing_id() + (0 if last is None else last + 1)
+    checked.select(F.uuid().alias("id"), F.current_timestamp().alias("ts"), seq.alias("seq"), F.col("task_id").cast("string").alias("task_id"), "stage", "detail", "ok").write.mode("append").parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str, task_id: str | None = None) -> DataFrame:
     """Entries in their order, of one task or all."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(AUDIT).parquet(path)
     rows = rows if task_id is None else rows.where(F.col("task_id") == task_id)
     return rows.orderBy("seq")
 
 
+def audit_stream(entries: DataFrame, path: str):
+    """A writer that appends a stream's entries, trigger by trigger; each trigger's rows in the order of ``ord``, if there is one."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        append_audit(batch.orderBy("ord") if "ord" in batch.columns else batch, path)
+
+    return entries.writeStream.foreachBatch(append)
+
+
 def audit_rejects(rows: DataFrame) -> DataFrame:
     """Entries that the audit log would refuse."""
     return rows.where(has_structured(F.col("detail")))
