@@ -1,9 +1,8 @@
-"""Queries by name and the SQL that gives the same rows."""
+"""All queries of the library, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from maskwright.plans import act, detect, measure, screen, whole
+from maskwright.plans import act, detect, measure, screen, stream, whole
 
-_PARTS = (detect, screen, act, measure, whole)
-QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
-ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE.items()}
+QUERIES = detect.QUERIES | screen.QUERIES | act.QUERIES | measure.QUERIES | whole.QUERIES | stream.QUERIES
+ORACLE_SQL = detect.ORACLE | screen.ORACLE | act.ORACLE | measure.ORACLE | whole.ORACLE | stream.ORACLE

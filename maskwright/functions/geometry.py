@@ -1,4 +1,4 @@
-"""Boxes: overlap, padding, letterboxing, decoding, suppression, greedy matching.
+"""Boxes: overlap, padding, letterboxing, decoding, suppression.
 
 A box is ``struct<x, y, w, h>``.  ``js_round`` rounds halves up, as browsers do.
 """
@@ -78,14 +78,3 @@ def suppressed(candidates: Column, threshold: float = NMS_AT, kind: str = "struc
         lambda kept, c: F.when(F.exists(kept, lambda o: iou(o["box"], c["box"]) >= threshold), kept).otherwise(F.concat(kept, F.array(c))),
     )
 
-
-def greedy(pairs: Column) -> Column:
-    """One-to-one matching of ``array<struct<want, got, iou>>`` that passed the threshold.
-
-    Wanted items in ascending order each take the best item still free; of equal
-    overlaps the smaller ``got``.
-    """
-    ordered = F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p["want"].alias("want"), (-p["iou"]).alias("k"), p["got"].alias("got"), p.alias("p")))), lambda x: x["p"])
-    taken = lambda state, p: F.exists(state, lambda s: (s["want"] == p["want"]) | (s["got"] == p["got"]))
-    empty = F.filter(ordered, lambda _: F.lit(False))
-    return F.aggregate(ordered, empty, lambda state, p: F.when(taken(state, p), state).otherwise(F.concat(state, F.array(p))))

@@ -138,7 +138,9 @@ def all_spans(text: Column, unstructured: Column) -> Column:
 def without(spans: Column, rejected: Column) -> Column:
     """Spans minus NAME candidates whose ``start:end`` is in ``rejected``; before resolution, so they can't shadow others."""
     key = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
-    return F.filter(spans, lambda s: ~((s["type"] == "NAME") & F.array_contains(F.coalesce(rejected, F.array().cast("array<string>")), key(s))))
+    # Bound outside, as what comes from Python can't be computed within a lambda.
+    both = F.struct(spans.alias("spans"), F.coalesce(rejected, F.array().cast("array<string>")).alias("no"))
+    return bound(both, lambda x: F.filter(x["spans"], lambda s: ~((s["type"] == "NAME") & F.array_contains(x["no"], key(s)))))
 
 
 def resolved(spans: Column) -> Column:

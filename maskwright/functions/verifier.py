@@ -113,8 +113,9 @@ def rejected(text: Column, candidates: Column, score: Callable[[str, str], float
 
 def verified(rows: DataFrame, score: Callable[[str, str], float], text: str = "text") -> DataFrame:
     """``rows`` with a row for each resolved span; rejected names go before resolution."""
-    found = rows.withColumn("__found", pii.all_spans(F.col(text), names.unstructured(F.col(text))))
-    asked = found.withColumn("__no", rejected(F.col(text), F.col("__found"), score))
+    # The model is asked about the rules' own output: what it is passed must not come out of nested lambdas.
+    fuzzy = names.unstructured(F.col(text))
+    asked = rows.withColumn("__found", pii.all_spans(F.col(text), fuzzy)).withColumn("__no", rejected(F.col(text), fuzzy, score))
     spans = asked.withColumn("__kept", pii.without(F.col("__found"), F.col("__no"))).withColumn("__s", F.explode_outer(pii.resolved(F.col("__kept")))).where("__s IS NOT NULL")
     return spans.select(*rows.columns, F.col("__s.type").alias("type"), F.col("__s.value").alias("value"), F.col("__s.start").alias("start"), F.col("__s.end").alias("end"), F.col("__s.confidence").alias("confidence"))
 

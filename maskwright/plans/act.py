@@ -8,8 +8,7 @@ from maskwright.functions import actions as A
 from maskwright.functions import contract
 from maskwright.operators import context as C
 from maskwright.operators import loop as L
-from maskwright.operators import redact as R
-from maskwright.plans.inputs import ACTIONS, PERSONA, STEPS, duck, sql, table
+from maskwright.plans.inputs import ACTIONS, STEPS, duck, sql, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -183,34 +182,13 @@ _ENDS = f"SELECT task_id, step, CASE WHEN state IN ('done', 'blocked', 'failed')
 _LOOP = f"SELECT task_id, coalesce((array_agg(status ORDER BY step) FILTER (status IS NOT NULL))[1], 'running') AS status, CAST(coalesce(min(step) FILTER (status IS NOT NULL), max(step)) AS INT) AS steps FROM ({_ENDS}) AS e GROUP BY task_id"
 
 
-@query("stream_task_loop", _LOOP)
-def stream_task_loop(spark, sf_dir):
-    """The batch fold of the loop; the stream gives the same rows, which a test checks."""
-    return L.finished(sql(spark, sf_dir, STEPS))
-
-
-@query("stream_cancel", f"SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'cancelled' ELSE status END AS status FROM ({_LOOP}) AS l")
-def stream_cancel(spark, sf_dir):
-    """A control event in the same stream, before the first step, ends a task."""
-    steps = sql(spark, sf_dir, STEPS).select("task_id", F.col("step").cast("long").alias("step"), "state")
-    control = steps.select("task_id").distinct().where("task_id % 3 = 0").select("task_id", F.lit(0).cast("long").alias("step"), F.lit("cancelled").alias("state"))
-    return L.finished(steps.unionByName(control)).select("task_id", "status")
-
-
-@query("stream_settle", """SELECT event_id AS id, CASE WHEN stashed THEN 'use_report' WHEN delivered AND ms >= 3000 AND proposed AND nav THEN 'synthesize' WHEN delivered AND ms >= 3000 AND NOT proposed THEN 'redeliver' WHEN delivered AND ms >= 120000 THEN 'fail' WHEN delivered THEN 'wait' WHEN ms >= 20000 THEN 'fail' ELSE 'retry' END AS next
-    FROM (SELECT event_id, event_id % 9 = 0 AS stashed, event_id % 2 = 0 AS delivered, event_id % 5 <> 0 AS proposed, event_id % 3 = 0 AS nav, event_id * 37 % 150000 AS ms FROM events) AS t""")
-def stream_settle(spark, sf_dir):
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e.alias("id"), A.settle(e % 2 == 0, e * 37 % 150000, e % 9 == 0, e % 5 != 0, e % 3 == 0).alias("next"))
-
-
-@query("stream_synthesize", f"SELECT id, CASE WHEN action IN ('click', 'navigate') OR (action = 'type' AND is_field) THEN 'executed ' || action END AS outcome FROM {_A}")
-def stream_synthesize(spark, sf_dir):
+@query("proj_synthesized", f"SELECT id, CASE WHEN action IN ('click', 'navigate') OR (action = 'type' AND is_field) THEN 'executed ' || action END AS outcome FROM {_A}")
+def proj_synthesized(spark, sf_dir):
     report = A.synthesized(F.col("action"), F.lit("button"), F.lit("Page"), F.col("is_field"))
     return proposals(spark, sf_dir).select("id", report["outcome"].alias("outcome"))
 
 
-@query("join_step_rescue", f"SELECT s.task_id, s.step, coalesce(r.outcome, CASE WHEN s.action IN ('click', 'navigate') THEN 'executed ' || s.action END) AS outcome FROM (SELECT task_id, step, action FROM {_S}) AS s LEFT JOIN (SELECT task_id, step, 'reported' AS outcome FROM {_S} WHERE step % 3 = 0) AS r ON s.task_id = r.task_id AND s.step = r.step", also=("stream_out_of_band",))
+@query("join_step_rescue", f"SELECT s.task_id, s.step, coalesce(r.outcome, CASE WHEN s.action IN ('click', 'navigate') THEN 'executed ' || s.action END) AS outcome FROM (SELECT task_id, step, action FROM {_S}) AS s LEFT JOIN (SELECT task_id, step, 'reported' AS outcome FROM {_S} WHERE step % 3 = 0) AS r ON s.task_id = r.task_id AND s.step = r.step")
 def join_step_rescue(spark, sf_dir):
     """A late report is preferred; else what the step's proposal lets one conclude."""
     steps = sql(spark, sf_dir, STEPS).select("task_id", "step", "action")
@@ -254,18 +232,3 @@ def flt_hostable_tab(spark, sf_dir):
     tabs = table(spark, sf_dir, "events").where(e % 5 != 0)
     rank = F.when((e % 3 == 0) & (e % 2 == 0), 0).when(e % 3 == 0, 1).otherwise(2)
     return tabs.groupBy(F.col("user_id").alias("task")).agg(F.min_by("event_id", F.struct(rank, -F.unix_micros(F.col("ts").cast("timestamp")), e)).alias("tab"))
-
-
-# -- audit
-
-
-@query("sink_audit", f"SELECT ord AS seq, text AS detail FROM {duck(PERSONA)} AS p WHERE coalesce(type IN ('NAME', 'ADDRESS'), true)", also=("stream_audit",))
-def sink_audit(spark, sf_dir):
-    """Entries that the log accepts, through its constraint."""
-    rows = sql(spark, sf_dir, PERSONA).where(~R.has_structured(F.col("text")))
-    return rows.select(F.col("ord").alias("seq"), R.pii_free(F.col("text")).alias("detail"))
-
-
-@query("scan_audit", "SELECT event_id AS seq, user_id AS task_id FROM events WHERE user_id = 7 ORDER BY event_id")
-def scan_audit(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 7").select(F.col("event_id").alias("seq"), F.col("user_id").alias("task_id")).orderBy("seq")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from maskwright.functions import pixels, verifier
 from maskwright.functions.actions import ACTIONS, RISKS
@@ -174,28 +173,3 @@ def score_span(spark, sf_dir):
 def str_affix(spark, sf_dir):
     name = F.col("c_name")
     return table(spark, sf_dir, "customer").select("c_custkey", F.substring(name, 10, 1000).alias("tail"), F.instr(name, "#").alias("at"), F.contains(name, F.lit("#00")).alias("has"), name.startswith("Cust").alias("starts"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0").alias("padded"))
-
-
-# -- timeouts
-
-
-@query("stream_idle_release", "SELECT user_id, count(*) AS releases FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) AS t WHERE nxt IS NULL OR nxt - ts > INTERVAL 90 SECOND GROUP BY user_id")
-def stream_idle_release(spark, sf_dir):
-    """How often a user's model is let go: after 90 seconds without use."""
-    later = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("later", later)
-    return rows.where(F.col("later").isNull() | (F.col("later") - F.col("ts") > F.expr("INTERVAL 90 SECONDS"))).groupBy("user_id").agg(F.count("*").alias("releases"))
-
-
-@query("stream_vision_timeout", "SELECT event_id, CASE WHEN event_id * 37 % 20000 >= 15000 THEN 'timed_out' WHEN event_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS result FROM events")
-def stream_vision_timeout(spark, sf_dir):
-    """A vision pass of 15 seconds or more, or one that fails, degrades the step and says so."""
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.when(e * 37 % 20000 >= 15_000, "timed_out").when(e % 9 == 0, "failed").otherwise("ok").alias("result"))
-
-
-@query("stream_capture_retry", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 1 ELSE 2 END AS attempts, event_id % 12 <> 0 AS captured FROM events")
-def stream_capture_retry(spark, sf_dir):
-    """A capture that meets a quota is tried once more."""
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.when(e % 4 != 0, 1).otherwise(2).alias("attempts"), (e % 12 != 0).alias("captured"))

@@ -17,6 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SETTLE_MS, ANSWER_MS, DELIVER_MS, VISION_MS, IDLE_MS = 3_000, 120_000, 20_000, 15_000, 90_000
 
 
+KINDS = ("sent", "delivered", "proposed", "proposed_here", "reported")
+NEVER = 1 << 62
+
+
 def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds") -> DataFrame:
     """One row (step_id, outcome, waited) a step, from a stream of (step_id, event) with event times.
 
@@ -30,40 +34,38 @@ def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds") -> D
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent, delivered, moves, stays, reported, done = state.get if state.exists else (None, None, None, None, None, False)
+        seen, done = state.get if state.exists else ([NEVER] * len(KINDS), False)
         if state.hasTimedOut and done:
             state.remove()
             return
+        at = dict(zip(KINDS, seen, strict=True))
         if not done:
             for batch in batches:
                 for what, ms in zip(batch["event"], batch["ms"], strict=True):
-                    earlier = lambda old, ms=int(ms): ms if old is None else min(old, ms)
-                    sent = earlier(sent) if what == "sent" else sent
-                    delivered = earlier(delivered) if what == "delivered" else delivered
-                    moves = earlier(moves) if what == "proposed" else moves
-                    stays = earlier(stays) if what == "proposed_here" else stays
-                    reported = earlier(reported) if what == "reported" else reported
+                    if what in at:
+                        at[what] = min(at[what], int(ms))
         passed = state.getCurrentWatermarkMs()
-        begin = min((t for t in (sent, delivered, moves, stays, reported) if t is not None), default=passed)
-        if delivered is None:
+        begin = min(at.values())
+        if at["delivered"] == NEVER:
             outcome, due = "fail", begin + DELIVER_MS
-        elif moves is not None:
-            outcome, due = "synthesize", delivered + SETTLE_MS
-        elif stays is not None:
-            outcome, due = "fail", delivered + ANSWER_MS
+        elif at["proposed"] < NEVER:
+            outcome, due = "synthesize", at["delivered"] + SETTLE_MS
+        elif at["proposed_here"] < NEVER:
+            outcome, due = "fail", at["delivered"] + ANSWER_MS
         else:
-            outcome, due = "redeliver", delivered + SETTLE_MS
-        if reported is not None and reported <= due:
-            outcome, due = "use_report", reported
+            outcome, due = "redeliver", at["delivered"] + SETTLE_MS
+        if at["reported"] <= due:
+            outcome, due = "use_report", at["reported"]
         ends = not done and due <= passed
-        state.update((sent, delivered, moves, stays, reported, done or ends))
-        # A settled step is remembered for as long as any event of it may still wait.
-        state.setTimeoutTimestamp(max(passed + (ANSWER_MS if done or ends else 1), due if not (done or ends) else 0, passed + 1))
+        done = done or ends
+        state.update((list(at.values()), done))
+        # A settled step is remembered for a while, so that events that come late don't open it again.
+        state.setTimeoutTimestamp(passed + ANSWER_MS if done else max(due, passed + 1))
         if ends:
             yield pd.DataFrame({"step_id": [key[0]], "outcome": [outcome], "waited": [due - begin]})
 
     rows = events.withWatermark(time, delay).select(F.col("step_id").cast("string").alias("step_id"), "event", F.col(time), (F.unix_micros(time) / 1000).cast("long").alias("ms"))
-    schema = "sent long, delivered long, moves long, stays long, reported long, done boolean"
+    schema = "seen array<long>, done boolean"
     return rows.groupBy("step_id").applyInPandasWithState(run, "step_id string, outcome string, waited long", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 from maskwright.sources.readers import scratch
 
 
-def streamed(df: DataFrame, triggers: int = 3, order: str | None = None) -> DataFrame:
-    """``df`` as a stream of so many triggers, by ``order`` or dealt at random."""
+def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: DataFrame | None = None) -> DataFrame:
+    """``df`` as a stream of so many triggers, by ``order`` or dealt at random; then one of ``end``."""
     spark = df.sparkSession
     path = scratch(spark, "stream")
-    rows = df.repartitionByRange(triggers, order) if order else df.repartition(triggers)
-    rows.write.parquet(path)
+    if order:
+        # Files are taken in the order in which they were written.
+        cuts = df.approxQuantile(order, [i / triggers for i in range(1, triggers)], 0.01)
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = df if low is None else df.where(F.col(order) > low)
+            part = part if high is None else part.where(F.col(order) <= high)
+            part.coalesce(1).write.mode("append").parquet(path)
+    else:
+        df.repartition(triggers).write.parquet(path)
+    if end is not None:
+        end.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -28,11 +37,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def replayed(df: DataFrame, operator: Callable[[DataFrame], DataFrame], triggers: int = 3, order: str | None = None) -> DataFrame:
-    return drained(operator(streamed(df, triggers, order)))
+def replayed(df: DataFrame, operator: Callable[[DataFrame], DataFrame], triggers: int = 3, order: str | None = None, end: DataFrame | None = None) -> DataFrame:
+    return drained(operator(streamed(df, triggers, order, end)))
 
 
-def with_end(df: DataFrame, **values) -> DataFrame:
-    """``df`` (with event times ``ts``) and one row of ``values`` a year later, which moves the watermark past all others."""
+def end_of(df: DataFrame, **values) -> DataFrame:
+    """One row of ``values`` (null for the other columns) a year behind the last event time ``ts``: it moves the watermark past all others."""
     last = df.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
-    return df.unionByName(last.select("ts", *[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in values.items()]), allowMissingColumns=True)
+    return last.select(*[F.col("ts") if c.name == "ts" else F.lit(values.get(c.name)).cast(c.dataType).alias(c.name) for c in df.schema])

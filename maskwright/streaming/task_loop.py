@@ -33,7 +33,7 @@ def task_loop(steps: DataFrame, time: str = "ts", delay: str = "10 minutes", for
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, stalled, status, last, *waiting = state.get if state.exists else (0, 0, "", -(1 << 62), [], [], [])
-        if state.hasTimedOut and status:
+        if state.hasTimedOut and (status or not waiting[0]):  # over, or nothing heard for long
             state.remove()
             return
         reports = {s: (t, x) for s, t, x in zip(*waiting, strict=True)}

@@ -66,17 +66,71 @@ STEPS = {
 ENDS = {"a": ("no_progress", 5), "b": ("budget_exhausted", 15), "c": ("done", 2), "e": ("blocked", 2), "f": ("failed", 1)}
 
 
+def _streamed_loop(spark, parts, tmp_path, **options):
+    """Status and steps by task, of lists of (task, step, state, minute) that come one after the other."""
+    schema = "task_id string, step int, state string, ts timestamp"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        rows = spark.createDataFrame([(t, n, s, m) for t, n, s, m in part], "task_id string, step int, state string, m int")
+        rows.select("task_id", "step", "state", F.timestamp_seconds(1_700_000_000 + F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = task_loop(stream, **options).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return [(r.task_id, r.status, r.steps) for r in spark.read.schema("task_id string, status string, steps int").parquet(out).collect()], query
+
+
+END = [("end", 1, "executed", 100_000)]
+
+
 def test_loop_batch_and_stream_agree(spark, tmp_path):
-    rows = spark.createDataFrame([(t, i, s) for t, ss in STEPS.items() for i, s in enumerate(ss, 1)], "task_id string, step int, state string")
-    batch = {r.task_id: (r.status, r.steps) for r in L.finished(rows).collect()}
+    reports = [(t, i, s) for t, ss in STEPS.items() for i, s in enumerate(ss, 1)]
+    batch = {r.task_id: (r.status, r.steps) for r in L.finished(spark.createDataFrame(reports, "task_id string, step int, state string")).collect()}
     assert batch == ENDS | {"d": ("running", 1)}
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (rows.where("step <= 3"), rows.where("step > 3")):
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    query = task_loop(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
-    assert query.awaitTermination(120)
-    assert {r.task_id: (r.status, r.steps) for r in spark.read.parquet(out).collect()} == ENDS
+    timed = [(t, i, s, i) for t, i, s in reports]
+    got, _ = _streamed_loop(spark, [timed[1::2] + timed[:4], timed[::2], END], tmp_path)  # some twice, none in order
+    assert sorted(got) == sorted((t, *x) for t, x in ENDS.items())
+
+
+def test_stream_takes_steps_in_their_order(spark, tmp_path):
+    """A later step that comes first waits for the one before it; reports behind the end are ignored; state is freed."""
+    parts = [[("x", 3, "done", 3)], [("x", 1, "blocked", 1), ("x", 3, "done", 3)], [("end", 1, "executed", 30)], [("x", 4, "failed", 31)], END, [("end", 2, "executed", 200_000)]]
+    got, query = _streamed_loop(spark, parts, tmp_path, forget="1 hour")
+    assert got == [("x", "blocked", 1)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_audit_goes_on_from_its_last_number(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    for k in range(3):
+        readers.append_audit(spark.createDataFrame([("t", "act", f"{k}{i}", True) for i in range(3)], "task_id string, stage string, detail string, ok boolean").coalesce(1), path)
+    rows = readers.read_audit(spark, path).collect()
+    assert [r.detail for r in rows] == [f"{k}{i}" for k in range(3) for i in range(3)] and len({r.seq for r in rows}) == 9
+
+
+def test_null_pixels(spark):
+    from maskwright.functions import pixels
+
+    box = "struct<x:int,y:int,w:int,h:int>"
+    rows = spark.createDataFrame([(None, 1, 1, [(0, 0, 1, 1)], (0, 0, 1, 1)), (bytearray(4), None, 1, None, None), (bytearray(4), 1, 1, [None], None), (bytearray(4), 1, 1, [(0, 0, 1, 1)], (0, 0, 1, 1))], f"p binary, w int, h int, bs array<{box}>, b {box}")
+    got = rows.select(pixels.masked("p", "w", "h", "bs").alias("m"), pixels.fully_masked("p", "w", "h", "b").alias("f"), pixels.model_input(F.col("p"), F.col("w"), F.col("h"), 2).alias("t")).collect()
+    assert [r.m is None for r in got] == [True, True, False, False] and [r.f for r in got] == [None, None, None, False] and [r.t is None for r in got] == [True, True, False, False]
+
+
+def test_boxes_meet_across_cells(spark):
+    import random
+
+    rng = random.Random(5)
+    box = lambda: tuple(rng.randrange(-50, 400) for _ in range(2)) + tuple(rng.randrange(0, 200) for _ in range(2))
+    schema = "screen_id int, ord int, bbox struct<x:int,y:int,w:int,h:int>"
+    a, b = ([(s, i, box()) for s in range(3) for i in range(40)] for _ in range(2))
+    got = {(r.screen_id, r.want, r.got): r.iou for r in C.overlaps(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 0.2).collect()}
+    want = {}
+    for s, i, (x, y, w, h) in a:
+        for t, j, (p, q, r, u) in b:
+            both = max(0, min(x + w, p + r) - max(x, p)) * max(0, min(y + h, q + u) - max(y, q))
+            if s == t and both and both / (w * h + r * u - both) >= 0.2:
+                want[s, i, j] = both / (w * h + r * u - both)
+    assert got == pytest.approx(want)
 
 
 HTML = """<html><head><title>T</title></head><body><a href="/x"> Home <b>page</b></a><a>no</a><input type="hidden" name="h"><input type="PASSWORD"><input autocomplete="cc-csc">
@@ -124,8 +178,8 @@ def test_suppression_and_greedy(spark):
     b = lambda x: F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("xywh", x, strict=True)])
     c = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(s).alias("score"), b(x).alias("box")) for i, s, x in [(1, 0.5, (0, 0, 10, 10)), (2, 0.9, (1, 0, 10, 10)), (3, 0.4, (50, 0, 10, 10))]])
     assert [r.id for r in spark.range(1).select(G.suppressed(c).alias("k")).first().k] == [2, 3]
-    pairs = F.array(*[F.struct(F.lit(w).alias("want"), F.lit(g).alias("got"), F.lit(o).alias("iou")) for w, g, o in [(1, 1, 0.6), (1, 2, 0.9), (2, 2, 0.95), (2, 1, 0.7)]])
-    assert [(r.want, r.got) for r in spark.range(1).select(G.greedy(pairs).alias("m")).first().m] == [(1, 2), (2, 1)]
+    pairs = spark.createDataFrame([(1, w, g, o) for w, g, o in [(1, 1, 0.6), (1, 2, 0.9), (2, 2, 0.95), (2, 1, 0.7)]], "screen_id int, want int, got int, iou double")
+    assert sorted((r.want, r.got) for r in C.matched(pairs).collect()) == [(1, 2), (2, 1)]
 
 
 def test_word_piece():
@@ -161,7 +215,15 @@ def test_gzipped_page(spark, tmp_path):
     assert H.scan_dom(page.select(F.lit(1).alias("page_id"), "html")).count() == 8
 
 
-def test_entry_without_corpus_operators(spark):
-    import __spark_entry__ as entry
+def test_entry_without_corpus_operators(tmp_path):
+    """The rest works when the corpus operators and their pipeline are deleted."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
 
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here / "maskwright", tmp_path / "maskwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 100 and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

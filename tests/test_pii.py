@@ -118,3 +118,22 @@ def test_audit_refuses_structured_data(spark, tmp_path):
     bad = good.withColumn("detail", F.lit("mail a@b.co"))
     with pytest.raises(Exception, match="personal data"):
         append_audit(bad, path)
+
+
+def test_text_with_very_many_matches(spark):
+    """Folds are in blocks, so a long text isn't quadratic; the numbers are those of the first appearances."""
+    import random
+
+    rng = random.Random(3)
+    for n, kinds in ((40, 7), (700, 50), (20_000, 9_000)):
+        text = " ".join(rng.choice([f"user{rng.randrange(kinds)}@example.com", f"é call 98765{rng.randrange(kinds):05d} now", "plain é words"]) for _ in range(n))
+        seen: dict = {}
+
+        def token(m, seen=seen):
+            kind = "EMAIL" if "@" in m[0] else "PHONE"
+            own = seen.setdefault(kind, {})
+            return f"[PII_{kind}_{own.setdefault(m[0], len(own) + 1):02d}]"
+
+        want = re.sub(r"user\d+@example\.com|98765\d{5}", token, text)
+        (r,) = redact(spark, [text], unstructured=False)
+        assert r.text == want and r.tokens == sum(map(len, seen.values()))
