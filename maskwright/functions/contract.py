@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from maskwright.functions.actions import ACTIONS, BLOCK_REASONS, RISKS
 
@@ -88,3 +89,39 @@ def valid_context(json: Column) -> Column:
         & (_kind(v, "$.page_ident").isin("missing", "null") | _text(v, "$.page_ident", 0, 120))
     )
     return F.coalesce(ok, F.lit(False))
+
+
+#: The JSON schema of an action, as far as its fields' types go.
+ACTION_SCHEMA = {
+    "properties": {"action": {"type": "string"}, "target_id": {"anyOf": [{"type": "string"}, {"type": "null"}]}, "params": {"type": "object", "additionalProperties": {"type": "string"}}, "confidence": {"type": "number"}, "risk": {"type": "string"}, "explanation": {"type": "string"}, "reasoning_trace_id": {"type": "string"}},
+    "required": ["action", "confidence", "risk", "explanation", "reasoning_trace_id"],
+}
+
+
+def spark_schema(schema: dict, definitions: dict | None = None) -> StructType:
+    """The struct that an object's JSON schema asks for: required fields aren't nullable."""
+    definitions = definitions if definitions is not None else schema.get("$defs", {})
+    required = set(schema.get("required", ()))
+    return StructType([StructField(k, *_typed(v, definitions, k not in required)) for k, v in schema["properties"].items()])
+
+
+def _typed(schema: dict, definitions: dict, nullable: bool) -> tuple[DataType, bool]:
+    if "$ref" in schema:
+        return _typed(definitions[schema["$ref"].rsplit("/", 1)[-1]], definitions, nullable)
+    if "anyOf" in schema:
+        some = [x for x in schema["anyOf"] if x.get("type") != "null"]
+        if len(some) != 1:
+            raise ValueError("a field can't have several types")
+        return _typed(some[0], definitions, True)
+    kind = schema.get("type", "string" if "enum" in schema else None)
+    plain = {"string": StringType(), "number": DoubleType(), "integer": LongType(), "boolean": BooleanType()}
+    if kind in plain:
+        return plain[kind], nullable
+    if kind == "array":
+        return ArrayType(*_typed(schema["items"], definitions, False)), nullable
+    if kind == "object" and "properties" in schema:
+        return spark_schema(schema, definitions), nullable
+    if kind == "object":
+        extra = schema.get("additionalProperties")
+        return MapType(StringType(), *_typed(extra if isinstance(extra, dict) else {"type": "string"}, definitions, False)), nullable
+    raise ValueError(f"no type for {schema}")

@@ -61,6 +61,22 @@ def fully_masked(pixels: Column, width: Column, height: Column, box: Column) ->
     return run(pixels, width, height, box)
 
 
+def cut_out(pixels: Column, width: Column, height: Column, box: Column) -> Column:
+    """The pixels of a box; null if it doesn't lie within the image or is empty."""
+
+    @F.arrow_udf("binary")
+    def run(p: pa.Array, w: pa.Array, h: pa.Array, bs: pa.Array) -> pa.Array:
+        out = []
+        for data, wide, high, b in zip(p.to_pylist(), w.to_pylist(), h.to_pylist(), bs.to_pylist(), strict=True):
+            if None in (data, wide, high, b) or b["w"] <= 0 or b["h"] <= 0 or b["x"] < 0 or b["y"] < 0 or b["x"] + b["w"] > wide or b["y"] + b["h"] > high:
+                out.append(None)
+            else:
+                out.append(np.ascontiguousarray(_image(data, wide, high)[_cut(b, wide, high)]).tobytes())
+        return pa.array(out, pa.binary())
+
+    return run(pixels, width, height, box)
+
+
 def tensor(data: bytes, width: int, height: int, side: int) -> np.ndarray:
     """Letterboxed planes of blue, green and red, by nearest neighbours."""
     scale = min(side / width, side / height)

@@ -71,3 +71,8 @@ def parse_observe(line: Column) -> Column:
     """Region count and milliseconds of an observation line; 0 where they are missing."""
     number = lambda pattern: F.coalesce(F.regexp_extract(line, pattern, 1).try_cast("int"), F.lit(0))
     return F.struct(number(r"vision read (\d+) region").alias("regions"), number(r"in (\d+) ms").alias("ms"))
+
+
+def role_alias(role: Column) -> Column:
+    """The accessibility tree's name of a role; null stays null."""
+    return F.when(role == "text_field", "textbox").otherwise(role)

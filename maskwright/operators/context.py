@@ -36,6 +36,16 @@ def credential(tag: Column, kind: Column, autocomplete: Column, marked: Column)
     return F.coalesce(F.trim(F.lower(autocomplete)).isin(*CREDENTIAL_AUTOCOMPLETE), F.lit(False)) | ((tag == "input") & F.coalesce(F.lower(kind).isin(*CREDENTIAL_TYPES), F.lit(False))) | (F.coalesce(marked, F.lit("")) == "true")
 
 
+#: Recognised words under this confidence, of 100, are left out.
+READ_AT = 50
+
+
+def read_words(words: DataFrame, text: str = "text", confidence: str = "confidence") -> DataFrame:
+    """Recognised words that are sure enough and not blank, with ``confidence`` from 0 to 1."""
+    sure = words.where((F.col(confidence) >= READ_AT) & (F.trim(text) != ""))
+    return sure.withColumn("confidence", F.col(confidence) / 100)
+
+
 def role_of(tag: Column, role: Column, kind: Column) -> Column:
     kind = F.lower(kind)
     implicit = F.when(tag == "input", F.when(kind.isin("checkbox", "radio"), kind).otherwise("text_field")).when(tag == "a", "link").when(tag == "button", "button").when(tag == "select", "combobox").when(tag == "textarea", "text_field").otherwise("interactive")

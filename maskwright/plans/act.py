@@ -84,7 +84,7 @@ def reason_to_action(spark, sf_dir):
     return proposals(spark, sf_dir).select("id", A.kept_target(F.col("action"), F.col("target_id")).alias("target_id"))
 
 
-@query("reason_fallback", f"SELECT id, CASE WHEN id % 3 = 0 THEN action WHEN id % 3 = 1 THEN 'none' ELSE 'done' END AS action FROM {_A}", also=("reason_select",))
+@query("reason_fallback", f"SELECT id, CASE WHEN id % 3 = 0 THEN action WHEN id % 3 = 1 THEN 'none' ELSE 'done' END AS action FROM {_A}")
 def reason_fallback(spark, sf_dir):
     first = F.col("id") % 3 == 0, F.col("action")
     second = F.col("id") % 3 == 1, F.lit("none")
@@ -102,7 +102,7 @@ def _outcome():
     return A.outcome(F.col("action"), F.col("target_id"), F.col("params"), F.col("exists_"), F.col("is_field"))
 
 
-@query("execute_action", f"SELECT id, {_STATUS} AS status, {_REASON} AS reason FROM {_A}", also=("map_get",))
+@query("execute_action", f"SELECT id, {_STATUS} AS status, {_REASON} AS reason FROM {_A}")
 def execute_action(spark, sf_dir):
     return proposals(spark, sf_dir).select("id", _outcome().alias("o")).select("id", "o.status", "o.reason")
 
@@ -161,7 +161,7 @@ _CONTEXTS = """SELECT event_id AS id, '{{"schema_version":"1.' || CAST(event_id
     || CASE WHEN event_id % 4 = 0 THEN ',"step":{{"n":' || CAST(event_id % 60 AS STRING) || ',"limit":15}}' ELSE '' END || '}}' AS json FROM {events}"""
 
 
-@query("flt_context_valid", "SELECT event_id AS id, event_id % 3 < 2 AND event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 11 <> 0 AND NOT (event_id % 4 = 0 AND (event_id % 60 < 1 OR event_id % 60 > 50)) AS valid FROM events", also=("schema_codegen",))
+@query("flt_context_valid", "SELECT event_id AS id, event_id % 3 < 2 AND event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 11 <> 0 AND NOT (event_id % 4 = 0 AND (event_id % 60 < 1 OR event_id % 60 > 50)) AS valid FROM events")
 def flt_context_valid(spark, sf_dir):
     return sql(spark, sf_dir, _CONTEXTS).select("id", contract.valid_context(F.col("json")).alias("valid"))
 

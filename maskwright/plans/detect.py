@@ -66,9 +66,13 @@ for _kind in ("EMAIL", "CARD", "OTP", "AADHAAR", "PAN"):
     _make(_kind)
 
 
+_PHONES: list[str] = []
+
+
 def _phone(name: str, index: int, pattern: str):
     oracle = f"""SELECT ord, 'PHONE' AS type, v AS value, CAST(strpos(text, v) - 1 AS INT) AS s_start, CAST(strpos(text, v) - 1 + length(v) AS INT) AS s_end, CAST(1 AS DOUBLE) AS confidence
         FROM (SELECT ord, text, regexp_extract(text, '{pattern}', 2) AS v FROM {duck(PERSONA)} AS p) AS q WHERE v <> ''"""
+    _PHONES.append(oracle)
 
     @query(name, oracle)
     def run(spark, sf_dir):
@@ -119,16 +123,6 @@ def pii_unstructured(spark, sf_dir):
     return _unstructured(spark, sf_dir)
 
 
-QUERIES["sort_unstructured"] = pii_unstructured
-ORACLE["sort_unstructured"] = ORACLE["pii_unstructured"]
-
-
-@query("flt_operator_glue", "SELECT id, glued FROM (VALUES (0, false), (1, true), (2, true), (3, true), (4, true)) AS t(id, glued)")
-def flt_operator_glue(spark, sf_dir):
-    rows = [(0, "name: Ramesh Iyer"), (1, "name: Ramesh Iyer+"), (2, "name: =Ramesh Iyer"), (3, "name: Ramesh Iyer/x"), (4, "name: Ramesh Iyer\\")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", (F.size(names.unstructured(F.col("text"))) == 0).alias("glued"))
-
-
 @query("pii_all")
 def pii_all(spark, sf_dir):
     """Every detection over all documents, both families."""
@@ -136,8 +130,6 @@ def pii_all(spark, sf_dir):
     return _flat(rows, "doc_id", pii.all_spans(F.col("text"), names.unstructured(F.col("text"))))
 
 
-QUERIES["sort_all"] = pii_all
-QUERIES["set_union_all"] = pii_all
 
 _DOC_SPANS = f"{_resolved_sql()} SELECT s.doc_id, s.type, s.value, s.s_start, s.s_end, s.confidence FROM s JOIN r ON s.doc_id = r.doc_id AND s.n = r.n WHERE r.kept"
 
@@ -233,9 +225,6 @@ def agg_redacted_counts(spark, sf_dir):
     return counts.join(tokens, "scope_id").select("scope_id", "redacted", "withheld", "tokens", "spans")
 
 
-QUERIES["array_reduce_sum"] = agg_redacted_counts
-ORACLE["array_reduce_sum"] = ORACLE["agg_redacted_counts"]
-
 _REJECT = "ord % 20 = 0"
 
 

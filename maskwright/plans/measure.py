@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from maskwright.functions import names, pii, verifier
+from maskwright.functions import names, pii
 from maskwright.operators import context as C
 from maskwright.operators import evaluate as E
 from maskwright.operators import redact as R
@@ -209,47 +209,7 @@ def agg_dataset_index(spark, sf_dir):
     return E.dataset_index(sql(spark, sf_dir, PERSONA), "customer", "value")
 
 
-@query("join_persona", f"SELECT c_custkey, name FROM customer JOIN (VALUES {', '.join(f'({i}, {n!r})' for i, (n, _) in enumerate(PEOPLE))}) AS p(k, name) ON c_custkey % {len(PEOPLE)} = k", also=("gen_spans",))
+@query("join_persona", f"SELECT c_custkey, name FROM customer JOIN (VALUES {', '.join(f'({i}, {n!r})' for i, (n, _) in enumerate(PEOPLE))}) AS p(k, name) ON c_custkey % {len(PEOPLE)} = k")
 def join_persona(spark, sf_dir):
     people = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(PEOPLE)], "k long, name string")
     return table(spark, sf_dir, "customer").join(F.broadcast(people), F.col("c_custkey") % len(PEOPLE) == F.col("k")).select("c_custkey", "name")
-
-
-@query("oracle_ax_tree", "SELECT l_orderkey AS id, least(l_partkey, l_suppkey) AS x, greatest(l_partkey, l_suppkey) - least(l_partkey, l_suppkey) AS w FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_partkey <> l_suppkey")
-def oracle_ax_tree(spark, sf_dir):
-    """Boxes of quads of the listed roles, by their extreme corners."""
-    xs = F.array("l_partkey", "l_suppkey", "l_suppkey", "l_partkey")
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R")).select(F.col("l_orderkey").alias("id"), F.array_min(xs).alias("x"), (F.array_max(xs) - F.array_min(xs)).alias("w"))
-    return rows.where("w > 0")
-
-
-# -- the name verifier
-
-
-@query("verify_names")
-def verify_names(spark, sf_dir):
-    """Names of all texts after the verifier has rejected what it is sure about."""
-    rows = sql(spark, sf_dir, PERSONA).select("ord", "text", "known")
-    return verifier.verified(rows, lambda window, name: 0.9 if name.split()[0].lower() in verifier.GIVEN else 0.01).select("ord", "type", "value")
-
-
-@query("word_piece")
-def word_piece(spark, sf_dir):
-    """Pieces of the benchmark's texts in a small vocabulary of its own."""
-    vocabulary = ["[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"], "the", "and", "##tion", "##er", ".", ","]
-    return table(spark, sf_dir, "benchmark").select("item_id", verifier.word_pieces(F.col("text"), vocabulary).alias("pieces"))
-
-
-@query("file_digest")
-def file_digest(spark, sf_dir):
-    from maskwright.sources.readers import digests
-
-    return digests(spark, f"{sf_dir}/region.parquet").select(F.length("sha256").alias("n"), "sha256")
-
-
-@query("scan_env", "SELECT i AS id, k AS key, v AS value FROM (VALUES (0, 'A', '1'), (1, 'B', 'x = y'), (3, 'C', 'q'), (4, 'D', '')) AS t(i, k, v)")
-def scan_env(spark, sf_dir):
-    from maskwright.sources.readers import settings
-
-    lines = spark.createDataFrame([(0, "A=1"), (1, ' B = "x = y" '), (2, "# no"), (3, "C='q'"), (4, "D="), (5, "none")], "id int, value string")
-    return lines.select("id", settings(F.col("value")).alias("s")).where("s IS NOT NULL").select("id", "s.*")

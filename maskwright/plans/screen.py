@@ -71,7 +71,7 @@ _FORM_ROWS = f"""SELECT page_id AS screen_id, CASE kind WHEN 1 THEN 'text_field'
     CASE kind WHEN 1 THEN 'Full name' WHEN 2 THEN 'Agree' WHEN 3 THEN 'Close' WHEN 6 THEN 'One' ELSE 'Notes' END AS text FROM {duck(_FORMS)} AS f WHERE kind NOT IN (0, 4, 5)"""
 
 
-@query("scan_dom_forms", _FORM_ROWS, also=("proj_role", "proj_text", "flt_credential", "flt_perceivable", "html_attr"))
+@query("scan_dom_forms", _FORM_ROWS, also=("proj_role", "proj_text"))
 def scan_dom_forms(spark, sf_dir):
     return H.scan_dom(sql(spark, sf_dir, _FORMS)).select("screen_id", "role", "text")
 
@@ -384,11 +384,6 @@ def windowed(spark, sf_dir):
     return rows.select("doc_id", F.col("w.window").alias("win"), F.col("w.start").alias("at"))
 
 
-@query("role_alias", f"SELECT screen_id, ord, CASE WHEN role = 'text_field' THEN 'textbox' ELSE role END AS role FROM {_E}")
-def role_alias(spark, sf_dir):
-    return elements(spark, sf_dir).select("screen_id", "ord", F.when(F.col("role") == "text_field", "textbox").otherwise(F.col("role")).alias("role"))
-
-
 @query("prng_lcg", "SELECT event_id, (event_id * 1664525 + 1013904223) & 4294967295 AS state FROM events")
 def prng_lcg(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.lcg(F.col("event_id")).alias("state"))
@@ -405,9 +400,3 @@ def hash_fnv1a(spark, sf_dir):
 def parse_observe(spark, sf_dir):
     line = F.concat(F.lit("vision read "), (F.col("event_id") % 7).cast("string"), F.lit(" region(s)"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit(" in "), (F.col("event_id") % 900).cast("string"), F.lit(" ms"))))
     return table(spark, sf_dir, "events").select("event_id", T.parse_observe(line).alias("o")).select("event_id", "o.*")
-
-
-@query("flt_ocr_conf", "SELECT id, round(c / 100, 4) AS confidence FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice % 100 AS c, l_returnflag AS t FROM lineitem) AS q WHERE c >= 50 AND t <> 'N'")
-def flt_ocr_conf(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") % 100).alias("c"), "l_returnflag")
-    return rows.where((F.col("c") >= 50) & (F.col("l_returnflag") != "N")).select("id", F.round(F.col("c") / 100, 4).alias("confidence"))

@@ -11,12 +11,10 @@ from maskwright.functions.actions import ACTIONS, RISKS
 from maskwright.operators.prepare import prepared
 from maskwright.plans.detect import _TOKENS
 from maskwright.plans.inputs import PERSONA, duck, sql, table
-from maskwright.plans.screen import QUERIES as SCREEN
-from maskwright.plans.screen import ORACLE as SCREEN_SQL
 from maskwright.sources import readers
 
-QUERIES: dict = {"gen_truth_texts": SCREEN["scan_dom_forms"]}
-ORACLE: dict = {"gen_truth_texts": SCREEN_SQL["scan_dom_forms"]}
+QUERIES: dict = {}
+ORACLE: dict = {}
 
 
 def query(name: str, oracle: str | None = None):

@@ -172,6 +172,17 @@ def _parsed(of, kind: str, name: str):
     return run
 
 
+def attributes(html: Column, tag: str, name: str) -> Column:
+    """The values of an attribute of all elements of a tag, in document order; those without it, or without a value, give none."""
+
+    @F.arrow_udf("array<string>")
+    def run(pages: pa.Array) -> pa.Array:
+        values = lambda x: [v for n in Page(x).nodes if n.tag == tag and n.has(name) and (v := n.get(name)) is not None]
+        return pa.array([None if x is None else values(x) for x in pages.to_pylist()], pa.list_(pa.string()))
+
+    return run(html)
+
+
 def scan_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row an element: screen_id, id, ord, tag, role, text, aria_label, bbox, source, sensitive."""
     rows = pages.select(F.col(id_col).alias("screen_id"), html_col)
