@@ -94,15 +94,21 @@ def filtered(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], list[b
     text, so null or repeated ids don't matter.
     """
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
-            found = batch.filter(pa.array(keep(texts), pa.bool_()))
-            yield pa.RecordBatch.from_arrays(found.columns[:-1], names=batch.schema.names[:-1])
+            for start in range(0, len(batch), ROWS):  # few texts at a time are copied
+                part = batch.slice(start, ROWS)
+                texts = [x.as_py() or b"" for x in part.column(at).cast(pa.binary())]
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(fresh(docs, "judged_text"))
-    return docs.select("*", text).mapInArrow(run, docs.schema)
+#: Rows that :func:`filtered` looks at together.
+ROWS = 512
 
 
 def mark(text_col: str = "text") -> Column:
