@@ -11,6 +11,17 @@ ACTIONS = ("click", "type", "scroll", "navigate", "none", "done", "blocked")
 BLOCK_REASONS = ("bot_detection", "login_required", "cannot_proceed")
 PII_TYPES = ("EMAIL", "PHONE", "PAN", "AADHAAR", "CARD", "OTP", "NAME", "ADDRESS")
 SOURCES = ("dom", "vision_ocr", "vision_face", "vision_object")
+# Messages, as the record contract words them.
+NEEDS_TARGET = "a ", " needs a target_id"
+UNKNOWN_TARGET = "target_id '", "' is not one of the marks you were given"
+NEEDS_TEXT = "a type action needs params.text"
+NEEDS_URL = "a navigate action needs params.url"
+NEEDS_REASON = "a blocked action needs params.reason, one of bot_detection, login_required, cannot_proceed"
+NO_URL = "navigate needs params.url"
+NO_TEXT = "type needs params.text"
+NO_FIELD = "cannot type into the target"
+GONE = "mark ", " is no longer on the page"
+NOTHING, FINISHED, STOPPED = "no action proposed", "task reported done", "stopped: "
 
 
 def _rank(risk: Column) -> Column:
@@ -62,11 +73,11 @@ def semantic_problem(action: Column, target: Column, params: Column, marks: Colu
     aimed = action.isin("click", "type")
     unknown = ~F.array_contains(F.coalesce(marks, F.array().cast("array<string>")), F.coalesce(target, F.lit("")))
     return (
-        F.when(aimed & _empty(target), F.concat(F.lit("a "), action, F.lit(" needs a target_id")))
-        .when(aimed & unknown, F.concat(F.lit("target_id '"), target, F.lit("' is not one of the marks you were given")))
-        .when((action == "type") & _empty(param(params, "text")), "a type action needs params.text")
-        .when((action == "navigate") & _empty(param(params, "url")), "a navigate action needs params.url")
-        .when((action == "blocked") & ~F.coalesce(param(params, "reason").isin(*BLOCK_REASONS), F.lit(False)), "a blocked action needs params.reason, one of " + ", ".join(BLOCK_REASONS))
+        F.when(aimed & _empty(target), F.concat(F.lit(NEEDS_TARGET[0]), action, F.lit(NEEDS_TARGET[1])))
+        .when(aimed & unknown, F.concat(F.lit(UNKNOWN_TARGET[0]), target, F.lit(UNKNOWN_TARGET[1])))
+        .when((action == "type") & _empty(param(params, "text")), NEEDS_TEXT)
+        .when((action == "navigate") & _empty(param(params, "url")), NEEDS_URL)
+        .when((action == "blocked") & ~F.coalesce(param(params, "reason").isin(*BLOCK_REASONS), F.lit(False)), NEEDS_REASON)
     )
 
 
@@ -83,12 +94,12 @@ def outcome(action: Column, target: Column, params: Column, exists: Column, is_f
         F.when(action == "none", made("skipped", "no_action"))
         .when(action == "done", made("done", None, param(params, "summary", "completed")))
         .when(action == "blocked", made("blocked", param(params, "reason", "cannot_proceed")))
-        .when((action == "navigate") & _empty(param(params, "url")), made("failed", "missing_parameter", "navigate needs params.url"))
+        .when((action == "navigate") & _empty(param(params, "url")), made("failed", "missing_parameter", NO_URL))
         .when(action.isin("navigate", "scroll"), made("executed"))
-        .when(_empty(target) | ~F.coalesce(exists, F.lit(False)), made("failed", "stale_target", F.concat(F.lit("mark "), F.coalesce(target, F.lit("<none>")), F.lit(" is no longer on the page"))))
+        .when(_empty(target) | ~F.coalesce(exists, F.lit(False)), made("failed", "stale_target", F.concat(F.lit(GONE[0]), F.coalesce(target, F.lit("<none>")), F.lit(GONE[1]))))
         .when(action == "click", made("executed"))
-        .when(~F.coalesce(is_field, F.lit(False)), made("failed", "unsupported_target", "cannot type into the target"))
-        .when(param(params, "text").isNull(), made("failed", "missing_parameter", "type needs params.text"))
+        .when(~F.coalesce(is_field, F.lit(False)), made("failed", "unsupported_target", NO_FIELD))
+        .when(param(params, "text").isNull(), made("failed", "missing_parameter", NO_TEXT))
         .otherwise(made("executed"))
     )
 
@@ -99,9 +110,9 @@ def step_state(action: Column, result: Column) -> Column:
     state = F.when(status == "skipped", "none").otherwise(status)
     text = (
         F.when(status == "executed", F.concat(F.lit("executed "), action))
-        .when(status == "skipped", "no action proposed")
-        .when(status == "done", "task reported done")
-        .when(status == "blocked", F.concat(F.lit("stopped: "), reason))
+        .when(status == "skipped", NOTHING)
+        .when(status == "done", FINISHED)
+        .when(status == "blocked", F.concat(F.lit(STOPPED), reason))
         .otherwise(F.concat(reason, F.lit(": "), result["detail"]))
     )
     return F.struct(state.alias("state"), text.alias("outcome"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskwright.functions import pii
+from maskwright.sources.scratch import persist
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -66,17 +67,32 @@ def span_rows(rows: DataFrame, keys: list[str], spans: str = "spans") -> DataFra
     return rows.select(*keys, F.posexplode_outer(spans).alias("at", "s")).where("s IS NOT NULL").select(*keys, "at", "s.*")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their row number within ``keys`` by ``order``; a key with very many rows is no single task's work.
+
+    Rows are sorted by ranges and written; a row's number is its place in its
+    range, after the key's rows in the ranges before.
+    """
+    part, before = "__part", "__before"
+    placed = persist(rows.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "ranked")
+    counts = placed.groupBy(part, *keys).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = persist(counts.withColumn(before, F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n"), "ranked")
+    here = F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order))
+    return placed.withColumn(name, here).join(counts, [part, *keys]).withColumn(name, (F.col(name) + F.col(before)).cast("int")).drop(part, before)
+
+
 def token_map(spans: DataFrame, scope: str = "scope_id", order: str = "ord") -> DataFrame:
     """(scope, type, value, number, token): private, never to be exported.
 
     ``spans`` are resolved rows of :func:`span_rows`; equal values of a type
-    share a token.  Values are reduced to one row each before they are ranked, so
-    the window sorts distinct values only.
+    share a token.  Values are reduced to one row each before they are ranked.
+    The map is written, so that joins with it can split a frequent value.
     """
     masked = spans.where(pii.decision(F.col("confidence")) != "allow")
     first = masked.groupBy(scope, "type", "value").agg(F.min(F.struct(order, "start")).alias("first"))
-    number = F.row_number().over(Window.partitionBy(scope, "type").orderBy("first"))
-    return first.withColumn("number", number).select(scope, "type", "value", "number", pii.token(F.col("type"), F.col("number")).alias("token"))
+    numbered = ranked(first.select(scope, "type", "value", F.col(f"first.{order}").alias("__ord"), F.col("first.start").alias("__start")), [scope, "type"], ["__ord", "__start"], "number")
+    return persist(numbered.select(scope, "type", "value", "number", pii.token(F.col("type"), F.col("number")).alias("token")), "tokens")
 
 
 def redact_scopes(rows: DataFrame, scope: str = "scope_id", order: str = "ord", text: str = "text", spans: str = "spans") -> DataFrame:

@@ -182,6 +182,12 @@ _ENDS = f"SELECT task_id, step, CASE WHEN state IN ('done', 'blocked', 'failed')
 _LOOP = f"SELECT task_id, coalesce((array_agg(status ORDER BY step) FILTER (status IS NOT NULL))[1], 'running') AS status, CAST(coalesce(min(step) FILTER (status IS NOT NULL), max(step)) AS INT) AS steps FROM ({_ENDS}) AS e GROUP BY task_id"
 
 
+@query("fold_task_loop", _LOOP)
+def fold_task_loop(spark, sf_dir):
+    """The batch fold of the loop; the stream gives the same rows for tasks that end."""
+    return L.finished(sql(spark, sf_dir, STEPS))
+
+
 @query("proj_synthesized", f"SELECT id, CASE WHEN action IN ('click', 'navigate') OR (action = 'type' AND is_field) THEN 'executed ' || action END AS outcome FROM {_A}")
 def proj_synthesized(spark, sf_dir):
     report = A.synthesized(F.col("action"), F.lit("button"), F.lit("Page"), F.col("is_field"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators.redact import has_structured, pii_free
+from maskwright.sources.scratch import persist, scratch
 
 BOX = "array<int>"
 SCREEN = f"""id string, type string, sourceUrl string, capturedAt string, annotatedAt string, viewport struct<width:int,height:int>,
@@ -22,30 +18,6 @@ REVIEW = "reviewedAt string, method string, distinctValues int, detections int,
 STAGES = ("observe", "decide", "reason", "confirm", "act", "error")
 
 
-_ours: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one in local mode without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _ours:
-            _ours.append(tempfile.mkdtemp(prefix="maskwright-"))
-            atexit.register(shutil.rmtree, _ours[0], ignore_errors=True)
-        shared = f"file://{_ours[0]}"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written in the shared folder: what is used more than once is computed once, and a lost executor loses none of it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def screens(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """Ground-truth screens of a folder of JSON files, without its two index files."""
     rows = spark.read.schema(SCREEN).option("multiLine", True).json(f"{folder}/{pattern}")

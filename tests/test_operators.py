@@ -116,6 +116,67 @@ def test_null_pixels(spark):
     assert [r.m is None for r in got] == [True, True, False, False] and [r.f for r in got] == [None, None, None, False] and [r.t is None for r in got] == [True, True, False, False]
 
 
+def test_png():
+    """Every filter and colour type, against pixels that were filtered by hand."""
+    import random
+    import struct
+    import zlib
+
+    from maskwright.sources import png
+
+    rng = random.Random(2)
+    for width, height, colour in [(5, 7, 6), (1, 1, 6), (4, 10, 2), (6, 5, 0)]:
+        n = png.CHANNELS[colour]
+        rows = [[rng.randrange(256) for _ in range(width * n)] for _ in range(height)]
+        lines = bytearray()
+        for y, row in enumerate(rows):
+            above = rows[y - 1] if y else [0] * len(row)
+            kind = y % 5
+            lines.append(kind)
+            for x, v in enumerate(row):
+                a, b, c = row[x - n] if x >= n else 0, above[x], above[x - n] if x >= n else 0
+                p = a + b - c
+                nearest = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+                lines.append((v - (0, a, b, (a + b) // 2, nearest)[kind]) & 255)
+        data = png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + png._chunk(b"IDAT", zlib.compress(bytes(lines))) + png._chunk(b"IEND", b"")
+        want = b"".join(bytes((*px, 255)) if n == 3 else bytes(px) if n == 4 else bytes((*px * 3, 255)) for row in rows for px in (row[i : i + n] for i in range(0, len(row), n)))
+        assert png.decode(data) == (width, height, want)
+        assert png.decode(png.encode(want, width, height)) == (width, height, want)
+        with pytest.raises(ValueError):
+            png.decode(data[:45] + bytes([data[45] ^ 1]) + data[46:])
+
+
+def test_png_files(spark, tmp_path):
+    from maskwright.sources import png
+
+    (tmp_path / "a.png").write_bytes(png.encode(bytes(range(16)), 2, 2))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (tmp_path / "c.txt").write_bytes(b"text")
+    got = png.scan_png(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.width, r.height, bytes(r.rgba)) for r in got] == [("a.png", 2, 2, bytes(range(16)))]
+    assert spark.createDataFrame([(None,)], "b binary").select(png.decoded(F.col("b")).alias("i")).first().i is None
+
+
+def test_numbers_of_a_hot_scope(spark):
+    from maskwright.operators.redact import ranked
+
+    rows = [("hot" if i % 3 else f"s{i % 7}", i * 37 % 5000, i) for i in range(5000)]
+    got = ranked(spark.createDataFrame(rows, "k string, o int, i int"), ["k"], ["o"], "n").collect()
+    want, last = {}, {}
+    for k, _, i in sorted(rows, key=lambda r: (r[0], r[1])):
+        want[i] = last[k] = last.get(k, 0) + 1
+    assert {r.i: r.n for r in got} == want
+
+
+def test_filled_templates(spark):
+    from maskwright.operators.generate import filled
+
+    rows = spark.createDataFrame([("{a} and {b}{a}{none}.", {"a": "é1", "b": "two"}), ("plain", {}), ("", {"a": "x"}), (None, {"a": "x"})], "t string, v map<string,string>")
+    got = [r.f for r in rows.select(filled(F.col("t"), F.col("v")).alias("f")).collect()]
+    assert got[0].text == "é1 and twoé1." and [got[0].text[s.start : s.end] for s in got[0].spans] == ["é1", "two", "é1"] and [s.type for s in got[0].spans] == ["A", "B", "A"]
+    assert got[1].text == "plain" and got[1].spans == [] and got[2].text == "" and got[3] is None
+
+
 def test_boxes_meet_across_cells(spark):
     import random
 
@@ -197,6 +258,90 @@ def test_failing_verifier_rejects_nothing(spark):
     assert verifier.verified(rows, lambda w, n: 0.0).count() == 0
 
 
+def _field(number: int, value) -> bytes:
+    """A protobuf field: a varint, or bytes, text or nested fields."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _lookup_model(logits) -> bytes:
+    """An ONNX model that gives each token its row of ``logits``."""
+    import numpy as np
+
+    shape = lambda *dims: b"".join(_field(1, _field(2, d)) for d in dims)
+    value = lambda name, kind, *dims: _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape(*dims))))
+    table = np.array(logits, np.float32)
+    weights = _field(1, table.shape[0]) + _field(1, table.shape[1]) + _field(2, 1) + _field(8, "table") + _field(9, table.tobytes())
+    node = _field(1, "table") + _field(1, "input_ids") + _field(2, "logits") + _field(4, "Gather")
+    graph = _field(1, node) + _field(2, "g") + _field(5, weights) + _field(11, value("input_ids", 7, "one", "n")) + _field(12, value("logits", 1, "one", "n", "labels"))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+
+
+def test_token_classifier_verifies_names(spark, tmp_path):
+    """A model file that knows one surname as a person: the other candidate is rejected; a wrong pin rejects nothing."""
+    pytest.importorskip("onnxruntime")
+    import hashlib
+
+    from maskwright.functions.model import TokenClassifier
+
+    vocabulary = ["[UNK]", "[CLS]", "[SEP]", "anita", "sharma", "vikrant", "bhardwaj", "name", ":"]
+    logits = [[9.0, 0.0, 0.0]] * len(vocabulary)
+    logits[4] = [0.0, 9.0, 0.0]
+    data = _lookup_model(logits)
+    (tmp_path / "model.onnx").write_bytes(data)
+    rows = spark.createDataFrame([("name: Anita Sharma",), ("name: Vikrant Bhardwaj",)], "text string")
+    model = TokenClassifier(str(tmp_path / "model.onnx"), vocabulary, hashlib.sha256(data).hexdigest())
+    assert model("name: Anita Sharma", "Anita Sharma") > 0.99 > 0.01 > model("name: Vikrant Bhardwaj", "Vikrant Bhardwaj")
+    assert [r.value for r in verifier.verified(rows, model).collect()] == ["Anita Sharma"]
+    wrong = TokenClassifier(str(tmp_path / "model.onnx"), vocabulary, "0" * 64)
+    assert verifier.verified(rows, wrong).count() == 2
+
+
+def test_reasoning_server(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from maskwright.operators.reason_http import replies
+
+    good = {"action": "none", "confidence": 0.5, "risk": "low", "explanation": "e", "reasoning_trace_id": "t"}
+
+    class Server(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            task = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["task"]
+            body = {"ok": json.dumps(good), "odd": "{}"}.get(task, "").encode()
+            self.send_response(503 if task == "busy" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = spark.createDataFrame([(i, GOOD.replace('"task":"t"', f'"task":"{t}"')) for i, t in enumerate(("ok", "odd", "busy", "ok"))] + [(9, "{}"), (10, None)], "id int, payload string").coalesce(1)
+    try:
+        got = {r.id: (r.status, r.code) for r in replies(rows, f"http://127.0.0.1:{server.server_port}/reason").collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert got == {0: (200, None), 1: (200, "invalid_response"), 2: (503, "server_rejected"), 3: (200, None), 9: (None, "invalid_response"), 10: (None, "invalid_response")}
+    gone = replies(rows.where("id = 0"), f"http://127.0.0.1:{server.server_port}/reason", timeout=2.0).first()
+    assert (gone.status, gone.code) == (None, "server_unreachable")
+
+
 def test_screen_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id":"a","elements":[{"oracleId":"o","role":"link","name":"n","bbox":[1,2,3,4]}],\n"pii":[],"texts":[]}')
     (tmp_path / "index.json").write_text('{"version":"1","rows":[{"id":"a","elements":1,"pii":0},{"id":"b"}]}')
