@@ -62,11 +62,24 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Texts that pass between Spark and Python at once, in bytes; a batch of rows alone has no such bound.
+BATCH_BYTES = 8 << 20
+
+
+def lean(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the UTF-8 bytes of the text (null: empty).
 
     Other columns of ``docs``, whatever their names, never reach an operator.
     """
+    lean(docs)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
@@ -94,6 +107,7 @@ def filtered(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], list[b
     text, so null or repeated ids don't matter.
     """
 
+    lean(docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
