@@ -74,9 +74,9 @@ def folded(items: Column, state: dict[str, Column], step, out: str) -> Column:
     with_out = lambda s, array: F.struct(*[(array if k == out else s[k]).alias(k) for k in state])
 
     def whole(items: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int"))
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")))
         block = lambda total, i: F.aggregate(F.slice(items, i * FOLD + 1, FOLD), with_out(total, state[out]), step, lambda s: with_out(s, F.concat(total[out], s[out])))
-        return F.when(F.size(items) <= FOLD, F.aggregate(items, begin, step, lambda s: s[out])).otherwise(F.aggregate(blocks, begin, block, lambda s: s[out]))
+        return F.aggregate(blocks, begin, block, lambda s: s[out])
 
     return bound(items, whole)
 
