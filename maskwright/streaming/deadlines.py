@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,9 +21,11 @@ SETTLE_MS, ANSWER_MS, DELIVER_MS, VISION_MS, IDLE_MS = 3_000, 120_000, 20_000, 1
 
 KINDS = ("sent", "delivered", "proposed", "proposed_here", "reported")
 NEVER = 1 << 62
+#: States that the steps of a stream share.
+BUCKETS = 1024
 
 
-def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds") -> DataFrame:
+def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
     """One row (step_id, outcome, waited) a step, from a stream of (step_id, event) with event times.
 
     Events are ``sent``, ``delivered``, ``proposed`` (an action that moves the
@@ -31,42 +35,59 @@ def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds") -> D
     delivered step without a proposal is delivered again after SETTLE_MS, and one
     that wasn't delivered fails after DELIVER_MS.  ``waited`` are the milliseconds
     from sending to the outcome's time.
+
+    Steps share a state by the hash of their id, ``buckets`` in all, so that Python
+    is called for each bucket that a trigger touches and not for each step.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done = state.get if state.exists else ([NEVER] * len(KINDS), False)
-        if state.hasTimedOut and done:
-            state.remove()
-            return
-        at = dict(zip(KINDS, seen, strict=True))
-        if not done:
-            for batch in batches:
-                for what, ms in zip(batch["event"], batch["ms"], strict=True):
-                    if what in at:
-                        at[what] = min(at[what], int(ms))
         passed = state.getCurrentWatermarkMs()
-        begin = min(at.values())
-        if at["delivered"] == NEVER:
-            outcome, due = "fail", begin + DELIVER_MS
-        elif at["proposed"] < NEVER:
-            outcome, due = "synthesize", at["delivered"] + SETTLE_MS
-        elif at["proposed_here"] < NEVER:
-            outcome, due = "fail", at["delivered"] + ANSWER_MS
-        else:
-            outcome, due = "redeliver", at["delivered"] + SETTLE_MS
-        if at["reported"] <= due:
-            outcome, due = "use_report", at["reported"]
-        ends = not done and due <= passed
-        done = done or ends
-        state.update((list(at.values()), done))
+        parts = [pa.ipc.open_stream(state.get[0]).read_all()] if state.exists else []
+        if not state.hasTimedOut:
+            parts += [_seen(batch) for batch in batches]
+        steps = pa.concat_tables(parts).group_by("step_id", use_threads=False).aggregate([*[(k, "min") for k in KINDS], ("until", "max"), ("touched", "max")])
+        at = {k: steps[f"{k}_min"].to_numpy() for k in KINDS}
+        until, touched = steps["until_max"].to_numpy().copy(), steps["touched_max"].to_numpy() > 0
+        begin = np.minimum.reduce(list(at.values()))
+        cases = [at["delivered"] == NEVER, at["proposed"] < NEVER, at["proposed_here"] < NEVER]
+        due = np.select(cases, [begin + DELIVER_MS, at["delivered"] + SETTLE_MS, at["delivered"] + ANSWER_MS], at["delivered"] + SETTLE_MS)
+        outcome = np.select(cases, ["fail", "synthesize", "fail"], "redeliver")
+        told = at["reported"] <= due
+        due, outcome = np.where(told, at["reported"], due), np.where(told, "use_report", outcome)
+        done = until > 0
+        ends = ~done & (due <= passed)
         # A settled step is remembered for a while, so that events that come late don't open it again.
-        state.setTimeoutTimestamp(passed + ANSWER_MS if done else max(due, passed + 1))
-        if ends:
-            yield pd.DataFrame({"step_id": [key[0]], "outcome": [outcome], "waited": [due - begin]})
+        until[ends | (done & touched)] = passed + ANSWER_MS
+        kept = ~done | touched | (until >= passed)
+        if kept.any():
+            rest = pa.table({"step_id": steps["step_id"], **at, "until": until, "touched": np.zeros(len(until), "int8")}).filter(pa.array(kept))
+            state.update((_packed(rest),))
+            state.setTimeoutTimestamp(max(int(np.where(until > 0, until, due)[kept].min()), passed + 1))
+        elif state.exists:
+            state.remove()
+        if ends.any():
+            yield pd.DataFrame({"step_id": steps["step_id"].filter(pa.array(ends)).to_pylist(), "outcome": outcome[ends], "waited": (due - begin)[ends]})
+
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event"))
+    rows = events.withWatermark(time, delay).select(F.col("step_id").cast("string").alias("step_id"), F.coalesce(kind, F.lit(0)).cast("byte").alias("kind"), F.col(time), (F.unix_micros(time) / 1000).cast("long").alias("ms"))
+    rows = rows.withColumn("bucket", F.pmod(F.hash("step_id"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(run, "step_id string, outcome string, waited long", "steps binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _seen(batch: pd.DataFrame) -> pa.Table:
+    """The times of a batch's events in the form of the state: a column for each of KINDS, and ``until``, which is 0 until the step is settled."""
+    batch = batch[batch["kind"] > 0]
+    kind, ms = batch["kind"].to_numpy(), batch["ms"].to_numpy("int64")
+    n = len(batch)
+    at = {k: np.where(kind == i, ms, NEVER) for i, k in enumerate(KINDS, 1)}
+    return pa.table({"step_id": pa.array(batch["step_id"], pa.string(), from_pandas=True), **at, "until": np.zeros(n, "int64"), "touched": np.ones(n, "int8")})
+
 
-    rows = events.withWatermark(time, delay).select(F.col("step_id").cast("string").alias("step_id"), "event", F.col(time), (F.unix_micros(time) / 1000).cast("long").alias("ms"))
-    schema = "seen array<long>, done boolean"
-    return rows.groupBy("step_id").applyInPandasWithState(run, "step_id string, outcome string, waited long", schema, "append", GroupStateTimeout.EventTimeTimeout)
+def _packed(steps: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, steps.schema) as out:
+        out.write_table(steps)
+    return sink.getvalue().to_pybytes()
 
 
 def vision_results(started: DataFrame, finished: DataFrame, delay: str = "10 seconds") -> DataFrame:
