@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.sources.readers import scratch
 
 
-def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: DataFrame | None = None) -> DataFrame:
-    """``df`` as a stream of so many triggers, by ``order`` or dealt at random; then one of ``end``."""
+COMES = "__comes"
+
+
+def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: DataFrame | None = None, delay: str | None = None) -> DataFrame:
+    """``df`` as a stream of so many triggers, by ``order`` or dealt at random; then one of ``end``.
+
+    Rows dealt at random may be as late as the table is long.  With ``delay`` a row
+    comes in its own place or up to so much later than others by ``ts``, so that a
+    watermark of that delay loses none, however long the table is.
+    """
     spark = df.sparkSession
     path = scratch(spark, "stream")
-    if order:
+    if order or delay:
         # Files are taken in the order in which they were written.
-        cuts = df.approxQuantile(order, [i / triggers for i in range(1, triggers)], 0.01)
+        rows = df.withColumn(COMES, F.col(order) if order else _comes(df, delay))
+        cuts = rows.approxQuantile(COMES, [i / triggers for i in range(1, triggers)], 0.01)
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            part = df if low is None else df.where(F.col(order) > low)
-            part = part if high is None else part.where(F.col(order) <= high)
-            part.coalesce(1).write.mode("append").parquet(path)
+            part = rows if low is None else rows.where(F.col(COMES) > low)
+            part = part if high is None else part.where(F.col(COMES) <= high)
+            part = part.drop(COMES)
+            (part.coalesce(1) if order else part.repartition(1)).write.mode("append").parquet(path)
     else:
         df.repartition(triggers).write.parquet(path)
     if end is not None:
@@ -28,6 +38,13 @@ def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: Da
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _comes(df: DataFrame, delay: str) -> Column:
+    """When a row comes, in seconds: its ``ts`` and, by a hash of the row, a part of the delay. Rows without a time come first."""
+    share = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) / 1_000_000
+    late = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {delay}")) / 1e6
+    return F.coalesce(F.unix_micros("ts") / 1e6 + share * late, F.lit(0.0))
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives until its source is empty, as a table."""
     spark = stream.sparkSession

@@ -3,9 +3,9 @@
 import random
 import uuid
 
-import pytest
 from pyspark.sql import functions as F
 
+from maskwright.catalog import QUERIES
 from maskwright.streaming import deadlines, replay
 
 
@@ -61,3 +61,21 @@ def test_settled_ignores_late_events_of_settled_steps(spark):
     stream = replay.streamed(rows, len(events), "n").drop("n")
     got, _ = run(deadlines.settled(stream, delay="1 second"))
     assert sorted(tuple(r) for r in got) == [("a", "redeliver", 3_050), ("b", "fail", 20_000), ("c", "redeliver", 3_500)]
+
+
+def test_replay_within_a_delay_loses_nothing(spark):
+    hours = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    rows = spark.range(600).select(F.col("id").alias("step_id"), hours.alias("ts"))  # ten hours, an hour's delay
+    stream = replay.streamed(rows, end=replay.end_of(rows, step_id=-1), delay="1 hour").withWatermark("ts", "1 hour")
+    query = stream.dropDuplicates(["step_id", "ts"]).writeStream.format("memory").queryName("within").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.step_id for r in spark.table("within").collect()) == list(range(-1, 600))
+    assert sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators) == 0
+
+
+def test_vision_timeouts_of_a_table_longer_than_the_delay(spark, tmp_path):
+    """Event ids are milliseconds: these span nine hours."""
+    spark.range(0, 33_000_000, 11_001).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.result for r in QUERIES["stream_vision_timeout"](spark, str(tmp_path)).collect()}
+    result = lambda e: "timed_out" if e * 37 % 20_000 >= 15_000 or e % 13 == 0 else "failed" if e % 9 == 0 else "ok"
+    assert got == {e: result(e) for e in range(0, 33_000_000, 11_001)}
