@@ -79,3 +79,9 @@ def test_vision_timeouts_of_a_table_longer_than_the_delay(spark, tmp_path):
     got = {r.event_id: r.result for r in QUERIES["stream_vision_timeout"](spark, str(tmp_path)).collect()}
     result = lambda e: "timed_out" if e * 37 % 20_000 >= 15_000 or e % 13 == 0 else "failed" if e % 9 == 0 else "ok"
     assert got == {e: result(e) for e in range(0, 33_000_000, 11_001)}
+
+
+def test_synthesized_proposals(spark, tmp_path):
+    spark.range(3_000).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r.id for r in QUERIES["stream_synthesize"](spark, str(tmp_path)).collect())
+    assert got == [i for i in range(3_000) if i % 4 and i % 3 == 1 and (i % 5 == 0 or i * 37 % 5_000 > 2_800)]
