@@ -20,9 +20,10 @@ or run twice leaves the same file.  They go to ``spark.checkpoint.dir`` through
 Arrow's file systems (local and mounted paths, HDFS, S3, GCS, ABFS).
 
 Encoding splits a text where a blank precedes a character that isn't white
-space: the byte-level pre-tokenizer always starts a token there, so a stretch
-between two such places is encoded once a task and looked up afterwards.  New
-stretches of printable ASCII go to the tokenizer's model piece by piece.
+space, and where a line feed stands between two such characters: the byte-level
+pre-tokenizer always starts a token there, so a stretch between two such places
+is encoded once a worker and looked up afterwards.  New stretches of printable
+ASCII and Latin letters go to the tokenizer's model piece by piece.
 
 Scale: one range shuffle by id and text, then narrow passes.  Reading deals out
 segments, not files.  A document's start is its partition's start, added up from
@@ -43,6 +44,7 @@ import struct
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +58,18 @@ from maskwright.llm.common import persist, scratch
 
 END_ID = 2
 SEGMENT_BYTES = 4 << 20
-#: Distinct stretches of text whose ids a task remembers.
-STRETCHES = 500_000
-#: Stretches of printable ASCII, in which the byte-level pre-tokenizer changes nothing but the blank, without a start of a special token.
-PLAIN = re.compile(r" ?[!-;=-~]+").fullmatch
+#: Distinct stretches of text, and of their pieces, whose ids a worker remembers.
+STRETCHES, PIECES = 500_000, 1_000_000
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Stretches of printable ASCII and Latin letters, without a start of a special token: their pieces are known from the pattern below.
+PLAIN = re.compile(f"[ \n]?[!-;=-~{_LETTERS}]+").fullmatch
 # Fixed value: the byte-level pre-tokenizer's pattern, for such stretches.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+").findall
-ODD = re.compile(r" (?=\s)| $")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\n").findall
+# Fixed value: the character that the byte-level pre-tokenizer writes for each byte.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: White space behind a blank or line feed, or at the end; then only a blank before a character is a place to cut.
+ODD = re.compile(r"[ \n](?=\s)|[ \n]$")
 CUT = re.compile(r"(?= \S)")
 MAGIC = b"MWTOKENS"
 ENTRY, FOOTER = struct.Struct("<QQQ"), struct.Struct("<QQ8s")
@@ -72,9 +79,9 @@ class _Numbers(dict):
     """Stretches by number; one that is asked for first gets the next and waits to be encoded."""
 
     def __init__(self):
-        self.waiting: list[str] = []
+        self.waiting: list = []
 
-    def __missing__(self, stretch: str) -> int:
+    def __missing__(self, stretch) -> int:
         self.waiting.append(stretch)
         n = self[stretch] = len(self)
         return n
@@ -88,51 +95,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        #: Ids of pieces, as bytes.
+        self.pieces: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.pieces = _Numbers(), {}
+        self.known = _Numbers()
         #: Ids of all stretches behind one another, and where each begins; number 0 is the end id.
         self.known[None] = 0
         self.ids, self.begin = np.array([self.end_id], np.int64), np.array([0, 1], np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            # What the pre-tokenizer would hand over: a blank is written as U+0120.
-            got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.replace(" ", "\u0120"))]
+            # What the pre-tokenizer would hand over.
+            shown = piece.encode().decode("latin-1").translate(BYTES)
+            got = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return got
 
     @staticmethod
-    def stretches(text: str) -> list[str]:
-        if not text:
-            return []
+    def stretches(text: str) -> list:
+        """Names of a text's stretches: what follows their blank, all if it is a line feed, and the first in a tuple."""
         if ODD.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        return [first, *out] if first else out
+            first, *rest = CUT.split(text)
+            names = [None, *[x[1:] for x in rest]]
+        else:
+            names = text.replace("\n", " \n").split(" ")
+            first = names[0]
+        if not first:
+            return names[1:]
+        names[0] = (first,)
+        return names
+
+    @staticmethod
+    def stretch(name: str | tuple[str]) -> str:
+        return name[0] if isinstance(name, tuple) else name if name[0] == "\n" else " " + name
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another, each text's with the end id, and their numbers."""
         if len(self.known) > STRETCHES:
             self.forget()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         parts, end = [], np.zeros(1, np.int64)
         for text in texts:
             cut = self.stretches(text)
             parts += [np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut)), end]
         if waiting := self.known.waiting:
-            ids, sizes = array("I"), array("I")
-            for stretch in waiting:
-                before = len(ids)
+            ids, sizes = bytearray(), array("I")
+            for name in waiting:
+                stretch, before = self.stretch(name), len(ids)
                 if PLAIN(stretch):
                     for piece in PIECE(stretch):
-                        ids.extend(self._piece(piece))
+                        ids += self._piece(piece)
                 else:
-                    ids.extend(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
-                sizes.append(len(ids) - before)
+                    ids += array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
+                sizes.append((len(ids) - before) // 4)
             waiting.clear()
-            self.ids = np.concatenate([self.ids, np.array(ids, np.int64)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
         number = np.concatenate([*parts, np.empty(0, np.int64)])
         begin = self.begin[number]
@@ -143,6 +163,12 @@ class Encoder:
         return ids, np.diff(stop[last], prepend=0) if len(texts) else np.empty(0, np.int64)
 
 
+@cache
+def _encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this worker, which goes on with what earlier tasks have met."""
+    return Encoder(path, end_id)
+
+
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
@@ -226,7 +252,7 @@ def _written(path: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), Encoder(path, end_id)
+        part, encode = TaskContext.get().partitionId(), _encoder(path, end_id)
         name, out = f"{folder}/part-{part:06d}.tokens", None
         names, texts, size = [], [], 0
         rows: list[tuple] = []

@@ -399,6 +399,23 @@ def test_encoder_forgets(monkeypatch):
         assert e([t])[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+@given(st.text(alphabet="ab Z9.'<|\n\t\x1f\x85éÑ×÷ɏɐ²ª漢🙂\u0301\u200b", max_size=12))
+def test_encoder_cuts_at_line_feeds(text):
+    e = _encoder()
+    for t in (text, text + "\n" + text, f"é{text}\nÀ"):
+        assert e([t])[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_encoder_meets_words_at_line_feeds_once():
+    assert token_store.Encoder.stretches("on.\nWas on.\nAn on.\nWas") == [("on.",), "\nWas", "on.", "\nAn", "on.", "\nWas"]
+    e = token_store.Encoder(P.path("byte_bpe_50k.json"))
+    e(["a été.\nÀ b été.\nIci"])
+    pieces = set(e.pieces)
+    assert pieces == {"a", " été", ".", "\n", "À", " b", "Ici"}
+    e.forget()
+    assert set(e.pieces) == pieces
+
+
 def _encoder(cache=[]):  # noqa: B006
     if not cache:
         cache.append(token_store.Encoder(P.path("byte_bpe_50k.json")))
