@@ -61,16 +61,20 @@ _EVENTS = """SELECT id, 'sent' AS event, 0 AS ms FROM t UNION ALL SELECT id, 'de
     CAST(CASE WHEN NOT delivered THEN 20000 WHEN kind = 0 THEN 3050 WHEN reports AND 250 + reported <= (CASE kind WHEN 1 THEN 3050 ELSE 120050 END) THEN 250 + reported WHEN kind = 1 THEN 3050 ELSE 120050 END AS BIGINT) AS waited FROM {duck(_STEP)} AS t""")
 def stream_settle(spark, sf_dir):
     """What becomes of each proposal, by its events and the deadlines."""
+    return _settled(spark, sf_dir)
+
+
+def _settled(spark, sf_dir, where="true"):
     rows = spark.sql(_EVENTS.replace("FROM t", "FROM {t}"), t=sql(spark, sf_dir, _STEP))
     rows = rows.select(F.col("id").cast("string").alias("step_id"), "event", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ms")).alias("ts"))
-    out = replay.replayed(rows, lambda s: deadlines.settled(s, delay="1 hour"), end=replay.end_of(rows, step_id="end", event="sent"))
+    out = replay.replayed(rows, lambda s: deadlines.settled(s, delay="1 hour").where(where), end=replay.end_of(rows, step_id="end", event="sent"))
     return out.select(F.col("step_id").cast("long").alias("id"), "outcome", "waited")
 
 
 @query("stream_synthesize", f"SELECT id FROM {duck(_STEP)} AS t WHERE delivered AND kind = 1 AND NOT (reports AND 250 + reported <= 3050)")
 def stream_synthesize(spark, sf_dir):
     """Proposals that moved the page and for which no report came in time."""
-    return stream_settle(spark, sf_dir).where("outcome = 'synthesize'").select("id")
+    return _settled(spark, sf_dir, "outcome = 'synthesize'").select("id")
 
 
 @query("stream_vision_timeout", "SELECT event_id, CASE WHEN event_id * 37 % 20000 >= 15000 OR event_id % 13 = 0 THEN 'timed_out' WHEN event_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS result FROM events")

@@ -20,6 +20,7 @@ SETTLE_MS, ANSWER_MS, DELIVER_MS, VISION_MS, IDLE_MS = 3_000, 120_000, 20_000, 1
 
 
 KINDS = ("sent", "delivered", "proposed", "proposed_here", "reported")
+OUTCOMES = pa.array(["fail", "synthesize", "redeliver", "use_report"])
 NEVER = 1 << 62
 #: States that the steps of a stream share.
 BUCKETS = 1024
@@ -51,9 +52,9 @@ def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds", buck
         begin = np.minimum.reduce(list(at.values()))
         cases = [at["delivered"] == NEVER, at["proposed"] < NEVER, at["proposed_here"] < NEVER]
         due = np.select(cases, [begin + DELIVER_MS, at["delivered"] + SETTLE_MS, at["delivered"] + ANSWER_MS], at["delivered"] + SETTLE_MS)
-        outcome = np.select(cases, ["fail", "synthesize", "fail"], "redeliver")
+        outcome = np.select(cases, [0, 1, 0], 2)
         told = at["reported"] <= due
-        due, outcome = np.where(told, at["reported"], due), np.where(told, "use_report", outcome)
+        due, outcome = np.where(told, at["reported"], due), np.where(told, 3, outcome)
         done = until > 0
         ends = ~done & (due <= passed)
         # A settled step is remembered for a while, so that events that come late don't open it again.
@@ -66,12 +67,21 @@ def settled(events: DataFrame, time: str = "ts", delay: str = "10 seconds", buck
         elif state.exists:
             state.remove()
         if ends.any():
-            yield pd.DataFrame({"step_id": steps["step_id"].filter(pa.array(ends)).to_pylist(), "outcome": outcome[ends], "waited": (due - begin)[ends]})
+            rows = pa.table({"step_id": steps["step_id"], "outcome": OUTCOMES.take(pa.array(outcome)), "waited": due - begin}).filter(pa.array(ends))
+            yield pd.DataFrame({"steps": [_packed(rows)]})
 
     kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event"))
     rows = events.withWatermark(time, delay).select(F.col("step_id").cast("string").alias("step_id"), F.coalesce(kind, F.lit(0)).cast("byte").alias("kind"), F.col(time), (F.unix_micros(time) / 1000).cast("long").alias("ms"))
     rows = rows.withColumn("bucket", F.pmod(F.hash("step_id"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInPandasWithState(run, "step_id string, outcome string, waited long", "steps binary", "append", GroupStateTimeout.EventTimeTimeout)
+    # What a bucket settles at once leaves it as one value: rows would pass through pandas one object at a time.
+    packs = rows.groupBy("bucket").applyInPandasWithState(run, "steps binary", "steps binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return packs.mapInArrow(_unpacked, "step_id string, outcome string, waited long")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack in batch.column(0):
+            yield from pa.ipc.open_stream(pack.as_buffer()).read_all().to_batches(max_chunksize=10_000)
 
 
 def _seen(batch: pd.DataFrame) -> pa.Table:
@@ -85,7 +95,8 @@ def _seen(batch: pd.DataFrame) -> pa.Table:
 
 def _packed(steps: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, steps.schema) as out:
+    # Most times are NEVER, and a state is written anew with each trigger.
+    with pa.ipc.new_stream(sink, steps.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
         out.write_table(steps)
     return sink.getvalue().to_pybytes()
 

@@ -11,17 +11,20 @@ from maskwright.sources.readers import scratch
 
 
 COMES = "__comes"
+#: Tasks a core of the operators that hold state, at most: each opens, commits and cleans a store of its own at every trigger.
+STORES = 2
 
 
 def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: DataFrame | None = None, delay: str | None = None) -> DataFrame:
     """``df`` as a stream of so many triggers, by ``order`` or dealt at random; then one of ``end``.
 
+    Without an order a trigger takes a few files, so that writing them isn't the work of as few tasks as there are triggers.
     Rows dealt at random may be as late as the table is long.  With ``delay`` a row
     comes in its own place or up to so much later than others by ``ts``, so that a
     watermark of that delay loses none, however long the table is.
     """
     spark = df.sparkSession
-    path = scratch(spark, "stream")
+    path, files = scratch(spark, "stream"), 1
     if order or delay:
         # Files are taken in the order in which they were written.
         rows = df.withColumn(COMES, F.col(order) if order else _comes(df, delay))
@@ -32,10 +35,13 @@ def streamed(df: DataFrame, triggers: int = 3, order: str | None = None, end: Da
             part = part.drop(COMES)
             (part.coalesce(1) if order else part.repartition(1)).write.mode("append").parquet(path)
     else:
-        df.repartition(triggers).write.parquet(path)
+        files = max(1, spark.sparkContext.defaultParallelism // triggers)
+        # Dealing by a hash of the row saves the sort that dealing in turn needs to be repeatable.
+        dealt = df.repartition(triggers) if files == 1 else df.repartition(triggers * files, F.xxhash64(*df.columns))
+        dealt.write.parquet(path)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _comes(df: DataFrame, delay: str) -> Column:
@@ -49,7 +55,14 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives until its source is empty, as a table."""
     spark = stream.sparkSession
     path, checkpoint = scratch(spark, "drained"), scratch(spark, "checkpoint")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    # A stream takes the session's setting as it starts, and keeps it.
+    spark.conf.set(key, min(int(before), STORES * spark.sparkContext.defaultParallelism))
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

@@ -85,3 +85,29 @@ def test_synthesized_proposals(spark, tmp_path):
     spark.range(3_000).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(r.id for r in QUERIES["stream_synthesize"](spark, str(tmp_path)).collect())
     assert got == [i for i in range(3_000) if i % 4 and i % 3 == 1 and (i % 5 == 0 or i * 37 % 5_000 > 2_800)]
+
+
+def test_states_are_in_few_stores(spark, tmp_path, monkeypatch):
+    """Each store costs a task and a commit at every trigger, however few rows there are; the session's setting is left as it was."""
+    spark.range(3_000).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(replay, "scratch", lambda _, name: f"file://{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        got = QUERIES["stream_settle"](spark, str(tmp_path)).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert got == 3_000 and len(stores) <= replay.STORES * spark.sparkContext.defaultParallelism
+
+
+def test_triggers_of_several_files_lose_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.range(10_000).select(F.col("id").alias("step_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    monkeypatch.setattr(replay, "scratch", lambda _, name: f"file://{tmp_path}/{name}")
+    stream = replay.streamed(rows, 2, end=replay.end_of(rows, step_id=-1))
+    assert len(list((tmp_path / "stream").glob("part-*"))) == 5  # two a trigger on four cores, and the end
+    query = stream.writeStream.format("memory").queryName("several").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.step_id for r in spark.table("several").collect()) == list(range(-1, 10_000))
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows][2:] == [1]  # the end is a trigger of its own
