@@ -22,8 +22,9 @@ Arrow's file systems (local and mounted paths, HDFS, S3, GCS, ABFS).
 Encoding splits a text where a blank precedes a character that isn't white
 space, and where a line feed stands between two such characters: the byte-level
 pre-tokenizer always starts a token there, so a stretch between two such places
-is encoded once a worker and looked up afterwards.  New stretches of printable
-ASCII and Latin letters go to the tokenizer's model piece by piece.
+is encoded once a worker and looked up afterwards: Arrow cuts a segment's texts
+and finds its distinct stretches, and Python looks only those up.  New stretches
+of printable ASCII and Latin letters go to the tokenizer's model piece by piece.
 
 Scale: one range shuffle by id and text, then narrow passes.  Reading deals out
 segments, not files.  A document's start is its partition's start, added up from
@@ -43,11 +44,12 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,21 +72,28 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 #: White space behind a blank or line feed, or at the end; then only a blank before a character is a place to cut.
 ODD = re.compile(r"[ \n](?=\s)|[ \n]$")
+#: The same for Arrow, whose \s is ASCII's; and APART.
+ODD_BYTES = "[ \n][\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]$|\x01"
 CUT = re.compile(r"(?= \S)")
+#: Marks that are a piece of their own between a word and the end of a stretch.
+MARKS, BLANK = frozenset(",.;:!?)"), chr(BYTES[0x20])
+#: Those that are cut off as stretches of their own, under names that begin with APART, in texts where each stands behind a letter
+#: and before a blank, a line feed or the end.
+STOPS, APART = ",.", "\x01"
+JOINED = f"(?:^|[^{_LETTERS}])[{STOPS}]|[{STOPS}][^ \n]"
 MAGIC = b"MWTOKENS"
 ENTRY, FOOTER = struct.Struct("<QQQ"), struct.Struct("<QQ8s")
 
 
-class _Numbers(dict):
-    """Stretches by number; one that is asked for first gets the next and waits to be encoded."""
+class _Known(dict):
+    """Ids of stretches by their names, as bytes; one that is asked for first is encoded."""
 
-    def __init__(self):
-        self.waiting: list = []
+    def __init__(self, encode: Callable[[str | tuple[str]], bytes]):
+        self.encode = encode
 
-    def __missing__(self, stretch) -> int:
-        self.waiting.append(stretch)
-        n = self[stretch] = len(self)
-        return n
+    def __missing__(self, name) -> bytes:
+        got = self[name] = self.encode(name)
+        return got
 
 
 class Encoder:
@@ -94,25 +103,45 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end_id)
+        self.tokenize = self.tokenizer.model.tokenize
         #: Ids of pieces, as bytes.
         self.pieces: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Numbers()
-        #: Ids of all stretches behind one another, and where each begins; number 0 is the end id.
-        self.known[None] = 0
-        self.ids, self.begin = np.array([self.end_id], np.int64), np.array([0, 1], np.int64)
+        self.known = _Known(self._encoded)
+        # What is before a text's first blank, if it begins with one.
+        self.known[""] = self.known["",] = b""
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             # What the pre-tokenizer would hand over.
-            shown = piece.encode().decode("latin-1").translate(BYTES)
-            got = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            shown = piece.replace(" ", BLANK) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTES)
+            got = self.pieces[piece] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
         return got
 
+    def _encoded(self, name: str | tuple[str]) -> bytes:
+        # Most are a word, or a word and a mark.
+        if type(name) is str:
+            word = name if name.isalpha() else name[:-1] if name[-1] in MARKS and name[:-1].isalpha() else ""
+            if word and (word.isascii() or max(word) < "\u0250"):
+                got = self._piece(" " + word)
+                return got if word is name else got + self._piece(name[-1])
+            if name[0] == APART:
+                return self._piece(name[1:])
+        stretch = self.stretch(name)
+        if PLAIN(stretch):
+            return b"".join(map(self._piece, PIECE(stretch)))
+        return self._plainly(stretch)
+
+    def _plainly(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _odd(self, text: str) -> bytes:
+        return self._plainly(text) if APART in text else b"".join(map(self.known.__getitem__, self.stretches(text)))
+
     @staticmethod
     def stretches(text: str) -> list:
         """Names of a text's stretches: what follows their blank, all if it is a line feed, and the first in a tuple."""
@@ -133,34 +162,37 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts behind one another, each text's with the end id, and their numbers."""
+        if not texts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         if len(self.known) > STRETCHES:
             self.forget()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        parts, end = [], np.zeros(1, np.int64)
-        for text in texts:
-            cut = self.stretches(text)
-            parts += [np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut)), end]
-        if waiting := self.known.waiting:
-            ids, sizes = bytearray(), array("I")
-            for name in waiting:
-                stretch, before = self.stretch(name), len(ids)
-                if PLAIN(stretch):
-                    for piece in PIECE(stretch):
-                        ids += self._piece(piece)
-                else:
-                    ids += array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
-                sizes.append((len(ids) - before) // 4)
-            waiting.clear()
-            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)])
-        number = np.concatenate([*parts, np.empty(0, np.int64)])
-        begin = self.begin[number]
-        size = self.begin[number + 1] - begin
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
-        last = np.cumsum([len(x) for x in parts[::2]]) + np.arange(len(texts))
-        return ids, np.diff(stop[last], prepend=0) if len(texts) else np.empty(0, np.int64)
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, ODD_BYTES)
+        # The same cuts as stretches() makes, for all texts at once; an odd one is a single stretch here.
+        column = pc.if_else(odd, "", column)
+        apart = column
+        for mark in STOPS:
+            apart = pc.replace_substring(apart, mark, f" {APART}{mark}")
+        column = pc.if_else(pc.match_substring_regex(column, JOINED), column, apart)
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        first = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+        is_first = np.zeros(len(lists.values), bool)
+        is_first[offsets[:-1]] = True
+        names = pc.if_else(pa.array(is_first), pa.scalar(None, pa.large_string()), lists.values).dictionary_encode()
+        entries = list(map(self.known.__getitem__, names.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        number = names.indices.fill_null(0).to_numpy().astype(np.int64)
+        number[offsets[:-1]] = len(entries) + np.arange(len(texts))
+        for text, name, is_odd in zip(texts, first, odd.to_pylist(), strict=True):
+            entries.append(self._odd(text) if is_odd else self.known[name,])
+        number = np.insert(number, offsets[1:], len(entries))
+        entries.append(self.end)
+        taken = pa.array(entries, pa.large_binary()).take(pa.array(number))
+        stop = np.frombuffer(taken.buffers()[1], np.int64, len(number) + 1) // 4
+        ids = np.frombuffer(taken.buffers()[2], np.uint32, int(stop[-1])).astype(np.int64)
+        return ids, np.diff(stop[offsets[1:] + 1 + np.arange(len(texts))], prepend=0)
 
 
 @cache

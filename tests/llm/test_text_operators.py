@@ -416,6 +416,23 @@ def test_encoder_meets_words_at_line_feeds_once():
     assert set(e.pieces) == pieces
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abé ,.\n\x01\x1c\xa0'1漢", max_size=14), max_size=4))
+def test_encoder_cuts_off_marks(texts):
+    e = _encoder()
+    texts = [*texts, "ab, a. b", "ab,. a", " ,a", " \x01, a", "\x01.", "a,", ".", "\na, b", "a\u0301, b", "it's, we'll."]
+    ids, sizes = e(texts)
+    want = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_encoder_meets_words_before_marks_once():
+    e = token_store.Encoder(P.path("byte_bpe_50k.json"))
+    e(["On and, on and. Été, été on.\nOn été"])
+    names = {n for n in e.known if n and isinstance(n, str)}
+    assert names == {"and", "on", "Été", "été", "\nOn", "\x01,", "\x01."}  # with their marks they were stretches of their own
+
+
 def _encoder(cache=[]):  # noqa: B006
     if not cache:
         cache.append(token_store.Encoder(P.path("byte_bpe_50k.json")))
